@@ -3,7 +3,7 @@
 Two independent codebooks, one for each half of the vectors, form a product grid. A vector lies in
 the cell of its nearest two codewords. To find its neighbours it visits cells in the order of the
 multi-sequence traversal, i.e. by the sum of the two halves' squared distances, as many as a
-calibration on the fitting sample needs for the target recall, and verifies the cosine in double
+calibration on the fitting sample needs for the target recall (LEAST_VISITS at least), and verifies the cosine in double
 precision. Only vectors with the same label are compared.
 
 Codebooks and the number of visits are fitted on at most SAMPLE vectors, chosen by a hash; every
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, min_labels, stash
 
-SAMPLE, CELL, TILE, MAX_CODES = 20_000, 128, 2048, 1024
+SAMPLE, CELL, TILE, MAX_CODES, LEAST_VISITS = 20_000, 128, 2048, 1024, 4
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -86,12 +86,13 @@ def fit(sample: np.ndarray, labels: np.ndarray, n: int, n_labels: int, threshold
         hit = seen[at + i] == own[j][:, None]
         rank.append(np.where(hit.any(1), hit.argmax(1) + 1, most + 1))
     rank = np.sort(np.concatenate(rank))
+    index.visits = min(LEAST_VISITS, most)
     if len(rank):
-        index.visits = int(min(most, rank[min(len(rank) - 1, int(np.ceil(target * len(rank))))]))
+        index.visits = int(np.clip(rank[min(len(rank) - 1, int(np.ceil(target * len(rank))))], min(LEAST_VISITS, most), most))
     return index
 
 
-def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="label", threshold: float = 0.98, target_recall: float = 0.99, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="label", threshold: float = 0.98, target_recall: float = 0.999, tile: int = TILE) -> DataFrame:
     """(key, n_links, component) of every distinct key."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
