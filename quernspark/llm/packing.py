@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, BLOCK, CACHED = 2048, 4096, 400_000
+CAPACITY, BLOCK, CACHED = 2048, 4096, 500_000
 _CLOSE_BLANKS = re.compile(r" (?:\s|$)")
 
 
@@ -33,8 +33,10 @@ class TextEncoder:
     """Ids of whole texts, remembering those of single words.
 
     The vocabulary's own rule never joins a blank with what stands before it, so a text can be cut
-    before each single blank that a word follows, and the pieces encoded alone. Where white space
-    follows white space the whole text goes to the tokenizer at once.
+    before each single blank that a word follows, and the pieces encoded alone. The new words of a
+    text are encoded together: where a token begins with a blank, a word begins. Where white space
+    follows a blank the whole text goes to the tokenizer at once. The memory takes the first CACHED
+    words it meets, and then no more.
     """
 
     def __init__(self, path: str):
@@ -43,30 +45,41 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.opens = np.array([(t or "").startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))])
         self.known: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, dtype="<u4") for x in map(self._packed, texts)]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _packed(self, text: str) -> bytes:
+    def ids(self, text: str) -> np.ndarray:
         if not text:
-            return b""
+            return np.empty(0, dtype="<u4")
         if _CLOSE_BLANKS.search(text):
-            return self._encode([text])[0]
-        known, (first, *words) = self.known, text.split(" ")
-        words = [" " + w for w in words]
-        words.insert(0, first)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, self._encode(new)))
-            return b"".join([known[w] for w in words])
+            return self._encode(text)
+        first, *words = text.split(" ")
+        known = self.known
+        parts = [known.get(w) for w in words]
+        if None in parts:
+            fresh = list(dict.fromkeys(w for w, part in zip(words, parts) if part is None))
+            ids = self._encode(" " + " ".join(fresh))
+            starts = np.flatnonzero(self.opens[ids]).tolist()
+            data = ids.tobytes()
+            new = {w: data[4 * i : 4 * j] for w, i, j in zip(fresh, starts, [*starts[1:], len(ids)], strict=True)}
+            parts = [new[w] if part is None else part for w, part in zip(words, parts)]
+            if len(known) < CACHED:
+                known.update(new)
+        head = self._encode(first).tobytes() if first else b""
+        return np.frombuffer(head + b"".join(parts), dtype="<u4")
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder_for(path: str) -> TextEncoder:
+    """One encoder a Python worker; a worker runs many tasks."""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
 
 
 class BlockPacker:
@@ -89,9 +102,9 @@ class BlockPacker:
         by_length: dict[int, list] = {}
         for p in self.loose:
             by_length.setdefault(len(p[2]), []).append(p)
-        left = len(self.loose)
+        left, counts = len(self.loose), {k: len(v) for k, v in by_length.items()}
         while left > keep and left:
-            chosen = best_fill({k: len(v) for k, v in by_length.items()}, self.capacity)
+            chosen = best_fill(counts, self.capacity)
             total = sum(k * n for k, n in chosen.items())
             if not keep and total < self.capacity and total & (total - 1):
                 break
@@ -101,8 +114,9 @@ class BlockPacker:
                     piece = by_length[length].pop()
                     yield self.sequence, offset, piece
                     offset, left = offset + length, left - 1
-                if not by_length[length]:
-                    del by_length[length]
+                counts[length] -= n
+                if not counts[length]:
+                    del counts[length], by_length[length]
             self.sequence += 1
         self.loose = [p for ps in by_length.values() for p in ps]
 
@@ -166,7 +180,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
     schema = PIECES.replace("ids array<int>", "ids_crc32 long") if digest_only else PIECES
 
     def pack(batches):
-        encoder, packer = TextEncoder(vocabulary), BlockPacker(capacity, TaskContext.get().partitionId() << 40)
+        encoder, packer = encoder_for(vocabulary), BlockPacker(capacity, TaskContext.get().partitionId() << 40)
         names = [x.split()[0] for x in schema.split(", ")]
 
         def rows(placed):
@@ -181,7 +195,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
         out: list[tuple] = []
         for pdf in batches:
             for doc, words in zip(pdf["key"], pdf["text"]):
-                ids = np.append(encoder.ids([words or ""])[0], np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoder.ids(words or ""), np.uint32(end_id)).astype("<u4")
                 row = (None if pd.isna(doc) else int(doc), len(ids))
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity].copy()
