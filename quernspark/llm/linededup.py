@@ -134,7 +134,8 @@ def dedup_lines(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN
     removed the numbers of its lines. drop_emptied leaves out documents that lose every word."""
     runs = repeated_runs(docs, key, text, min_words).select(F.col("doc").alias("r_doc"), F.col("th").alias("r_th"), "runs")
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].cast("long").alias("doc"), text_key(docs[text]).alias("th"))
-    held = held.join(runs, (F.col("th") == F.col("r_th")) & F.col("doc").eqNullSafe(F.col("r_doc")), "left")
+    # by sort and merge at every size: the runs grow with the documents, so they are never broadcast
+    held = held.join(runs.hint("merge"), (F.col("th") == F.col("r_th")) & F.col("doc").eqNullSafe(F.col("r_doc")), "left")
     old = F.col(f"row.{text}")
     lines = F.split(old, "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"]))))
