@@ -183,7 +183,7 @@ def keep_one_of_each(docs: DataFrame, key="doc_id", text="text", shingle: int =
     """docs without near copies: of each component the row with the smallest key stays; rows without a key stay."""
     comps = simhash_components(docs, key, text, shingle, **how)
     gone = comps.where("key <> component").select(F.col("key").alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[key] == gone["__gone"], "left_anti")  # never broadcast: it grows with the documents
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
