@@ -1,4 +1,298 @@
-"""The queries of the retrieval and evaluation operators, and their SQL."""
+"""The queries of the retrieval and evaluation operators over the given tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+documents are the chunks, benchmark items the questions and gold passages; the vector of a document
+or item is the one whose vec_id is its id; labels stand in for verdicts, conversations for runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunk, diagnose, evaluate, generate, retrieve
+from .plans import ask
+
+
+def _read(spark, sf, name, *columns) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def _docs(spark, sf):
+    return _read(spark, sf, "documents", F.col("doc_id").alias("chunk_id"), "text", "source")
+
+
+def _questions(spark, sf):
+    return _read(spark, sf, "benchmark", F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def _vectors(spark, sf):
+    return _read(spark, sf, "embeddings", F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+
+
+def _queries(spark, sf):
+    items = _read(spark, sf, "benchmark", F.col("item_id").alias("query_id"))
+    return items.join(_read(spark, sf, "embeddings", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+
+
+def _modes(spark):
+    return spark.createDataFrame(list(enumerate(evaluate.MODES)), "ord int, mode string")
+
+
+def html_clean(spark, sf):
+    pages = _read(spark, sf, "pages")
+    return pages.select("page_id", T.html_title(F.col("html"), F.lit("")).alias("title"), T.html_text(F.col("html")).alias("text"))
+
+
+def html_flat(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", T.html_flat(F.col("html")).alias("text"))
+
+
+def tokenize(spark, sf):
+    return _docs(spark, sf).select(F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def norm_text(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.md5(T.norm(F.col("text"))).alias("norm_md5"), F.length(T.norm_blanks(F.col("text"))).cast("long").alias("n"))
+
+
+def doc_stats(spark, sf):
+    return retrieve.doc_stats(_docs(spark, sf)).select("chunk_id", F.col("dl").cast("long").alias("dl"))
+
+
+def term_stats(spark, sf):
+    docs = _docs(spark, sf)
+    return retrieve.term_stats(docs, docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_top20(spark, sf):
+    return retrieve.bm25(_docs(spark, sf), _questions(spark, sf)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def l2_top20(spark, sf):
+    return retrieve.dense(_vectors(spark, sf), _queries(spark, sf)).select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
+
+
+def rrf_fusion(spark, sf):
+    out = retrieve.rrf(retrieve.dense(_vectors(spark, sf), _queries(spark, sf)), retrieve.bm25(_docs(spark, sf), _questions(spark, sf)))
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def rerank_top5(spark, sf):
+    docs, asked = _docs(spark, sf), _questions(spark, sf)
+    out = retrieve.rerank(retrieve.bm25(docs, asked), docs, asked)
+    return out.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _ranked(spark, sf):
+    return ask.all_modes(_questions(spark, sf), _docs(spark, sf), _vectors(spark, sf), _queries(spark, sf))
+
+
+def mode_topn_ablation(spark, sf):
+    ranked = _ranked(spark, sf)
+    return ranked.groupBy("mode").agg(F.count("*").alias("rows"), F.count_distinct("query_id").alias("questions"), F.count_distinct("chunk_id").alias("chunks"), F.max("rank").cast("long").alias("cut"))
+
+
+def context_block(spark, sf):
+    docs, asked = _docs(spark, sf), _questions(spark, sf)
+    top = retrieve.bm25(docs, asked).where(F.col("rank") <= retrieve.TOP_N)
+    return generate.contexts(top, docs).select("query_id", "context")
+
+
+def sources_set(spark, sf):
+    docs, asked = _docs(spark, sf), _questions(spark, sf)
+    top = retrieve.bm25(docs, asked).where(F.col("rank") <= retrieve.TOP_N)
+    return generate.contexts(top, docs).select("query_id", F.array_join("sources", ",").alias("sources"))
+
+
+def answers(spark, sf):
+    """Rows only: the default model's sentence choice has no SQL twin here."""
+    out = ask.ask(_questions(spark, sf), _docs(spark, sf), _vectors(spark, sf), _queries(spark, sf))
+    return out.select("query_id", "answer", F.array_join("sources", ",").alias("sources"), F.length("prompt").alias("prompt_chars"))
+
+
+def _golds(spark, sf):
+    return evaluate.contained_in(_read(spark, sf, "benchmark"), _read(spark, sf, "documents"))
+
+
+def gold_expand(spark, sf):
+    hits = _golds(spark, sf)
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))
+    return hits.select("item_id", "doc_id", (nth - 1).cast("long").alias("gold_idx"))
+
+
+def answerable_split(spark, sf):
+    n = _golds(spark, sf).groupBy("item_id").agg(F.count("*").alias("golds"))
+    rows = _read(spark, sf, "benchmark").join(n, "item_id", "left").fillna(0, "golds")
+    kind = F.when(F.col("golds") == 0, "unanswerable").when(F.col("golds") == 1, "single").otherwise("multi")
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def _facts(spark, sf):
+    """Facts of each (mode, question): does any gold document, or its source, stand in the context?"""
+    ranked = _ranked(spark, sf)
+    docs = _docs(spark, sf).select("chunk_id", "source")
+    gold = _golds(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id")).join(docs, "chunk_id")
+    files = gold.select("query_id", "source").distinct().withColumn("in_file", F.lit(True))
+    rows = ranked.join(docs, "chunk_id").join(gold.select("query_id", "chunk_id").withColumn("in_passage", F.lit(True)), ["query_id", "chunk_id"], "left").join(files, ["query_id", "source"], "left")
+    hits = rows.groupBy("mode", "query_id").agg(F.max(F.coalesce("in_file", F.lit(False))).alias("f"), F.max(F.coalesce("in_passage", F.lit(False))).alias("p"))
+    known = gold.select("query_id").distinct().withColumn("answerable", F.lit(True))
+    out = hits.join(known, "query_id", "left").fillna(False, "answerable")
+    return out.select("mode", F.col("query_id").alias("id"), "answerable", F.when(F.col("answerable"), F.col("f")).alias("file_hit"), F.when(F.col("answerable"), F.col("p")).alias("passage_hit"))
+
+
+def hit_rates(spark, sf):
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6).alias(c)
+    return _facts(spark, sf).groupBy("mode").agg(rate("file_hit"), rate("passage_hit"), F.count_if("answerable").alias("n"))
+
+
+def _turns(spark, sf):
+    """Each user turn with the assistant's next turn, as a question and its answer."""
+    c = _read(spark, sf, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = c.withColumn("answer", F.lead("text").over(order)).withColumn("next_role", F.lead("role").over(order))
+    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+def refusal_rate(spark, sf):
+    c = _read(spark, sf, "conversations")
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(T.is_refusal(F.col("text"))).alias("refused"), F.round(F.avg(T.word_count(F.col("text"))), 6).alias("words"), F.count_if(T.word_count(F.col("text")) <= diagnose.TERSE).alias("terse"))
+
+
+def turn_pairs(spark, sf):
+    rows = _turns(spark, sf)
+    return rows.select("conv_id", "turn", F.md5(T.reference(F.col("question"), F.col("answer"))).alias("reference_md5"))
+
+
+def percentile_latency(spark, sf):
+    docs = _read(spark, sf, "documents")
+    return docs.groupBy("source").agg(F.round(T.percentile(F.col("n_chars"), 0.5), 6).alias("p50"), F.round(T.percentile(F.col("n_chars"), 0.95), 6).alias("p95"), F.count("*").alias("n"))
+
+
+def _judged(spark, sf):
+    """Judged rows from the labels: metrics and run facts are fixed functions of ids and verdicts."""
+    d = _read(spark, sf, "documents", "doc_id", "n_chars").join(_read(spark, sf, "labels"), "doc_id", "left")
+    mode = F.element_at(F.array(*map(F.lit, evaluate.MODES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    nan = F.lit(float("nan"))
+    rows = d.select(
+        mode.alias("mode"), F.floor(F.col("doc_id") / 4).alias("id"), (F.col("n_chars") % 3).alias("gold_idx"), F.col("n_chars").cast("double").alias("latency_ms"),
+        F.when(F.col("quality").isNull(), nan).otherwise(F.col("quality") * 0.5 + F.col("n_chars") % 7 / 14.0).alias("faithfulness"), (F.col("n_chars") % 11 / 11.0).alias("answer_relevancy"),
+        F.when(F.col("toxic").isNull(), nan).otherwise(1.0 - F.col("toxic") * 0.5).alias("context_precision"), (F.col("n_chars") % 5 / 5.0).alias("context_recall"),
+        (F.col("quality") == 1).alias("passage_hit"), (F.coalesce("toxic", F.lit(0)) == 1).alias("refused"), F.repeat(F.lit("word "), (F.col("n_chars") % 20 + 1).cast("int")).alias("answer"), F.col("quality").isNotNull().alias("answerable"),
+    )
+    return rows.withColumn("file_hit", F.col("passage_hit"))
+
+
+def ablation_table(spark, sf):
+    j = _judged(spark, sf)
+    return evaluate.ablation(j, j, _modes(spark)).drop("ord")
+
+
+def collapse_multi_ref(spark, sf):
+    j = _judged(spark, sf).withColumn("id", F.floor(F.col("id") / 3)).withColumn("gold_idx", F.struct("gold_idx", "latency_ms", "answer_relevancy"))
+    return evaluate.collapse_references(j, ("context_precision", "context_recall")).withColumns({c: F.round(c, 6) for c in evaluate.REF_DEPENDENT})
+
+
+def poison_guard(spark, sf):
+    return evaluate.poison(_judged(spark, sf))
+
+
+def _diagnosed(spark, sf):
+    return _judged(spark, sf).withColumn("diagnosis", diagnose.diagnosis())
+
+
+def diagnosis_hist(spark, sf):
+    return diagnose.histogram(_diagnosed(spark, sf))
+
+
+def failure_rows(spark, sf):
+    return diagnose.failures(_diagnosed(spark, sf))
+
+
+def abstention(spark, sf):
+    return diagnose.abstention(_judged(spark, sf), _modes(spark)).drop("ord")
+
+
+def worst_n(spark, sf):
+    return diagnose.worst(_judged(spark, sf))
+
+
+def rerank_delta(spark, sf):
+    return diagnose.rerank_delta(_judged(spark, sf)).fillna(False, ["gained", "lost"])
+
+
+def summary_grid(spark, sf):
+    j = _judged(spark, sf)
+    return diagnose.summary(j, j, _modes(spark)).drop("ord")
+
+
+def eval_validate(spark, sf):
+    """The rules on documents as examples: blank texts, repeated texts, unknown languages, size off."""
+    d = _read(spark, sf, "documents")
+    first = F.min("doc_id").over(Window.partitionBy(F.md5(T.norm_blanks(F.col("text")))))
+    rows = d.withColumn("first", first)
+    rules = {"blank": T.norm_blanks(F.col("text")) == "", "repeated": F.col("first") != F.col("doc_id"), "unknown language": ~F.col("lang").isin("en", "de", "fr", "es"), "length": F.col("n_chars") != F.length("text")}
+    told = F.explode(F.filter(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in rules.items()]), lambda x: x.isNotNull()))
+    return rows.select("doc_id", told.alias("problem"))
+
+
+def type_counts(spark, sf):
+    return _read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
+def window_chunks(spark, sf):
+    out = chunk.window_chunks(_read(spark, sf, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("text_md5"))
+
+
+def midsentence_ratio(spark, sf):
+    chunks = chunk.window_chunks(_read(spark, sf, "documents", "doc_id", "text")).join(_read(spark, sf, "documents", "doc_id", "lang"), "doc_id")
+    return chunk.mid_sentence_ratio(chunks, "lang")
+
+
+def chunk_documents(spark, sf):
+    """Rows only: the splitter merges with overlap."""
+    return chunk.chunk_documents(_read(spark, sf, "documents", "doc_id", "text"), key="doc_id").select("doc_id", "pos", "chunk_id", "text")
+
+
+def chunk_stats(spark, sf):
+    return chunk.chunk_stats(chunk_documents(spark, sf), "doc_id")
+
+
+def section_chunks(spark, sf):
+    """Rows only: pages without sections fall back to one chunk or more of the whole page."""
+    return chunk.chunk_sections(_read(spark, sf, "pages", F.col("page_id").alias("source"), "html"))
+
+
+def token_batches(spark, sf):
+    """Rows only: batches depend on the partitions."""
+    return chunk.token_batches(_read(spark, sf, "documents", "doc_id", "text")).groupBy("batch").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+
+
+def top_sources(spark, sf):
+    return chunk.top_sources(_docs(spark, sf))
+
+
+def anti_join_worklist(spark, sf):
+    d = _read(spark, sf, "documents", F.col("doc_id").alias("id"))
+    done = _read(spark, sf, "labels").select(F.element_at(F.array(*map(F.lit, evaluate.MODES)), (F.col("doc_id") % 4 + 1).cast("int")).alias("mode"), F.col("doc_id").alias("id"))
+    return evaluate.worklist(_modes(spark), d, done)
+
+
+def avg_precision(spark, sf):
+    docs = _read(spark, sf, "documents", "doc_id", "source").join(_read(spark, sf, "labels"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    verdicts = docs.select(F.lit("all").alias("mode"), F.col("source").alias("id"), rank.alias("rank"), F.col("quality").alias("relevant"))
+    return evaluate.average_precision(verdicts).select(F.col("id").alias("source"), F.round("context_precision", 6).alias("ap"))
+
+
+def verdict_shares(spark, sf):
+    d = _read(spark, sf, "documents", "doc_id", "source").join(_read(spark, sf, "labels"), "doc_id")
+    out = evaluate.verdict_share(d.select(F.lit("all").alias("mode"), F.col("source").alias("id"), F.col("quality").alias("holds")), "faithfulness")
+    return out.select(F.col("id").alias("source"), F.round("faithfulness", 6).alias("faithfulness"))
+
+
+QUERIES = {f.__name__: f for f in (html_clean, html_flat, tokenize, norm_text, doc_stats, term_stats, bm25_top20, l2_top20, rrf_fusion, rerank_top5, mode_topn_ablation, context_block, sources_set, answers, gold_expand, answerable_split, hit_rates, refusal_rate, turn_pairs, percentile_latency, ablation_table, collapse_multi_ref, poison_guard, diagnosis_hist, failure_rows, abstention, worst_n, rerank_delta, summary_grid, eval_validate, type_counts, window_chunks, midsentence_ratio, chunk_documents, chunk_stats, section_chunks, token_batches, top_sources, anti_join_worklist, avg_precision, verdict_shares)}
+
+from .oracle import ORACLE  # noqa: E402, F401
