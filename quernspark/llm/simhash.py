@@ -95,7 +95,7 @@ def key_rows(nodes: DataFrame, blocks: int, agree: int, words: int, key_words: i
             if not len(pdf):
                 continue
             fp = np.frombuffer(b"".join(pdf["fp"]), dtype=">u8").astype(np.uint64).reshape(-1, words)
-            table = np.bitwise_count(fp[:, None, :] ^ refs[None]).sum(axis=2, dtype=np.int16)
+            table = np.minimum(np.bitwise_count(fp[:, None, :] ^ refs[None]).sum(axis=2, dtype=np.int16), 255).astype(np.uint8)  # a cut can only bring distances nearer
             rows = [table[i].tobytes() for i in range(len(fp))]
             first = 0
             for w in range(key_words):
@@ -151,7 +151,7 @@ def near_links(keyed: DataFrame, words: int, max_bits: int, tile: int = TILE) ->
                 continue
             head, rest = rest.iloc[:stop], rest.iloc[stop:]
             fp = np.frombuffer(b"".join(head["fp"]), dtype=">u8").astype(np.uint64).reshape(-1, words)
-            table = np.frombuffer(b"".join(head["distances"]), dtype=np.int16).reshape(-1, PIVOTS)
+            table = np.frombuffer(b"".join(head["distances"]), dtype=np.uint8).reshape(-1, PIVOTS).astype(np.int16)
             labels = link_sorted(np.cumsum(new[:stop]), fp, table, max_bits)
             rep = head["rep"].to_numpy()
             apart = labels != np.arange(stop)
@@ -173,7 +173,7 @@ def simhash_components(docs: DataFrame, key="doc_id", text="text", shingle: int
     nodes = stash(slim.groupBy("fp").agg(F.min("key").alias("rep")), "simhash")
     if blocks is None:
         blocks, agree = plan_blocks(nodes.count(), max_bits)
-    keyed = stash(key_rows(nodes.where("rep is not null"), blocks, agree, words, key_words), "simhash")
+    keyed = key_rows(nodes.where("rep is not null"), blocks, agree, words, key_words)
     comps = connected_components(near_links(keyed, words, max_bits))
     named = nodes.join(comps, nodes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return slim.join(named, "fp").select("key", "fp", "component")

@@ -271,7 +271,7 @@ def test_keep_one_of_each_finds_near_copies(spark, real):
         words = t.split(" ")
         words[len(words) // 2] = "changed"
         rows += [(i, t, None), (100 + i, t, None), (200 + i, " ".join(words), None)]
-    how = {"words": 4, "max_bits": 44, "blocks": 8, "agree": 2, "key_words": 2}
+    how = {"words": 3, "max_bits": 33, "blocks": 8, "agree": 2, "key_words": 2}
     docs = documents(spark, rows).withColumnRenamed("n_chars", "fp").withColumnRenamed("lang", "component")
     kept = simhash.keep_one_of_each(docs, **how)
     ids = {r.doc_id for r in kept.collect()}
