@@ -132,7 +132,8 @@ def link_sorted(group: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits:
 def near_links(keyed: DataFrame, words: int, max_bits: int, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between reps: a spanning forest of the links within each key."""
     hot = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    dealt = keyed.join(hot, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    # written first, so that its size is known when Spark chooses the join: a row for each crowded key only
+    dealt = keyed.join(stash(hot, "simhash"), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "fp", "rep", "distances")
