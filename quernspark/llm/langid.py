@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_batches
+
 BUCKETS, MAX_TRAIN, PENALTY = 1 << 16, 20_000, 3.0
 _letters: np.ndarray | None = None
 
@@ -125,6 +127,7 @@ def train(labelled: DataFrame, text="text", lang="lang", max_rows: int = MAX_TRA
 
 def predict_column(spark, model: LanguageModel, text: Column) -> Column:
     """struct(lang_pred, score) of a text; the model's size is fixed by the languages and BUCKETS."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")

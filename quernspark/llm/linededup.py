@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash, text_key
+from .shared import stash, text_batches, text_key
 
 MIN_WORDS = 50
 WINDOW = "doc long, th long, start int, stop int, anchor long, at int, win long"
@@ -91,6 +91,7 @@ def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = M
 
     th is text_key of the text. Runs are maximal matches with the first place of a window.
     """
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), text_key(F.col(text)).alias("th"), F.col(text).alias("text"))
     win = stash(windows(slim, min_words), "lines")
     place = F.struct("doc", "th", "at")

@@ -25,7 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, BLOCK, CACHED = 2048, 4096, 500_000
+from .shared import text_batches
+
+CAPACITY, BLOCK, CACHED = 2048, 4096, 150_000
 _CLOSE_BLANKS = re.compile(r" (?:\s|$)")
 
 
@@ -200,13 +202,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity].copy()
                     out.extend(rows((packer.whole if len(part) == capacity else packer.add)((row, start, part))))
-                if len(out) > 2000:
+                if len(out) > 500:
                     yield frame(out)
                     out = []
         out.extend(rows(packer.finish()))
         if out:
             yield frame(out)
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(pack, schema)
 
 

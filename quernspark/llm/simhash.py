@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, min_labels, stash
+from .shared import connected_components, min_labels, stash, text_batches
 
 PIVOTS, PIVOT_SEED, TILE = 16, 20, 4096
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
@@ -170,6 +170,7 @@ def _with_end(batches):
 
 def simhash_components(docs: DataFrame, key="doc_id", text="text", shingle: int = 3, words: int = 1, max_bits: int = 3, blocks: int | None = None, agree: int | None = None, key_words: int = 1) -> DataFrame:
     """(key, fp, component) for every row of docs. Without blocks and agree, no link within max_bits is lost."""
+    text_batches(docs.sparkSession)
     slim = stash(docs.select(F.col(key).cast("long").alias("key"), simhash(F.col(text), shingle, words).alias("fp")), "simhash")
     nodes = stash(slim.groupBy("fp").agg(F.min("key").alias("rep")), "simhash")
     if blocks is None:
