@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import text_batches
 
-CAPACITY, BLOCK, CACHED = 2048, 4096, 150_000
+CAPACITY, BLOCK, REMEMBERED = 2048, 4096, 150_000
 _CLOSE_BLANKS = re.compile(r" (?:\s|$)")
 
 
@@ -37,11 +37,11 @@ class TextEncoder:
     The vocabulary's own rule never joins a blank with what stands before it, so a text can be cut
     before each single blank that a word follows, and the pieces encoded alone. The new words of a
     text are encoded together: where a token begins with a blank, a word begins. Where white space
-    follows a blank the whole text goes to the tokenizer at once. The memory takes the first CACHED
-    words it meets, and then no more.
+    follows a blank the whole text goes to the tokenizer at once. The memory takes the first
+    remembered words it meets (about 130 bytes each), and then no more; it never changes an id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,6 +49,7 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.opens = np.array([(t or "").startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))])
         self.known: dict[str, bytes] = {}
+        self.remembered = remembered
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -68,20 +69,20 @@ class TextEncoder:
             data = ids.tobytes()
             new = {w: data[4 * i : 4 * j] for w, i, j in zip(fresh, starts, [*starts[1:], len(ids)], strict=True)}
             parts = [new[w] if part is None else part for w, part in zip(words, parts)]
-            if len(known) < CACHED:
+            if len(known) < self.remembered:
                 known.update(new)
         head = self._encode(first).tobytes() if first else b""
         return np.frombuffer(head + b"".join(parts), dtype="<u4")
 
 
-_encoders: dict[str, TextEncoder] = {}
+_encoders: dict[tuple[str, int], TextEncoder] = {}
 
 
-def encoder_for(path: str) -> TextEncoder:
+def encoder_for(path: str, remembered: int = REMEMBERED) -> TextEncoder:
     """One encoder a Python worker; a worker runs many tasks."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = TextEncoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 class BlockPacker:
@@ -174,15 +175,16 @@ def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 1, key: str = "doc_id", text: str = "text", digest_only: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 1, key: str = "doc_id", text: str = "text", digest_only: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row a piece with its ids (or, with digest_only, their CRC-32 in ids_crc32).
 
-    vocabulary is the path of a tokenizers file, there on every executor.
+    vocabulary is the path of a tokenizers file, there on every executor. remembered bounds the word
+    memory of a Python worker.
     """
     schema = PIECES.replace("ids array<int>", "ids_crc32 long") if digest_only else PIECES
 
     def pack(batches):
-        encoder, packer = encoder_for(vocabulary), BlockPacker(capacity, TaskContext.get().partitionId() << 40)
+        encoder, packer = encoder_for(vocabulary, remembered), BlockPacker(capacity, TaskContext.get().partitionId() << 40)
         names = [x.split()[0] for x in schema.split(", ")]
 
         def rows(placed):
@@ -220,4 +222,4 @@ def default_vocabulary() -> str:
 
 
 def op2_pack(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), digest_only=True)
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), digest_only=True, remembered=600_000)
