@@ -46,7 +46,6 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.opens = np.array([(t or "").startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))])
         self.known: dict[str, bytes] = {}
         self.remembered = remembered

@@ -110,7 +110,7 @@ def test_pack_round_trip(spark, real):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.default_vocabulary())
-    rows = ODD + [(100, " two  blanks \n and tabs\t\tx \u00a0 y ", None), (101, " lead", None), (102, "trail \n", None)] + [(1000 + r.doc_id, r.text, None) for r in real.limit(60).collect()]
+    rows = ODD + [(100, " two  blanks \n and tabs\t\tx \u00a0 y ", None), (101, " lead", None), (102, "trail \n", None), (103, "a <|endoftext|> b<|endoftext|>c <|endoftext|> <|endoftext|>", None)] + [(1000 + r.doc_id, r.text, None) for r in real.limit(60).collect()]
     docs = documents(spark, rows)
     got = packing.pack_documents(docs, packing.default_vocabulary()).collect()
     texts = {}
