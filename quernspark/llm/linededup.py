@@ -1,17 +1,24 @@
 """Line dedup: winnowing over line hashes.
 
-A run of lines counts as repeated if it has at least min_words words. Every line opens a window:
-the shortest run from it on that has min_words. Each window selects the least line hash in it, so
-any two texts that share such a run select a common line: the guaranteed fingerprint.
+A run of words counts as repeated if it has at least min_words words in a row and an earlier place
+has the same ones. Lines are cut further, so that a passage is found wherever it stands in a line:
+after words that end a sentence and, where more than LONG words follow one another without such an
+end, after words whose hash is the least of their neighbours' (the same words are cut alike in
+every text). Each of these short lines opens a window: the shortest run from it on that has two
+fifths of min_words. Each window selects the least line hash in it, so any two texts that share
+such a run select a common line: the guaranteed fingerprint.
 
 1. Windows of all documents, each with its selected line (anchor) and the hash of all its lines.
 2. Anchors that are selected at one place only cannot lie in a repeated run; their windows go.
 3. The rest are joined by position with the first place that has an equal window, that is one match
    for each occurrence and not all pairs, however common a passage is.
-4. Matches on the same diagonal are merged, and extended both ways line by line against the first
-   document, also by lines too short to open a window.
-5. The later run is deleted. Places are ordered by id, then by line; where a run overlaps its first
-   place in the same document, that place stays.
+4. Matches on the same diagonal are merged, and extended both ways word by word against the first
+   place, at most min_words words a side: what lies farther has windows of its own.
+5. Runs of min_words words or more are deleted at the later place. Places are ordered by id, then
+   by word; where a run overlaps its first place in the same document, min_words words stay.
+
+A common run is found if it holds two fifths of min_words in whole short lines; of a repeated
+passage that begins and ends inside sentences, only the two cut sentences don't count for that.
 
 Defined cases: null texts stay null; empty texts and texts of fewer words stay as they are; rows
 that repeat an id and a text are one document, and get the same result; ids that are null come
@@ -20,130 +27,200 @@ first; an empty table gives an empty result; columns of any name stay.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stash, text_batches, text_key
 
-MIN_WORDS = 50
-WINDOW = "doc long, th long, start int, stop int, anchor long, at int, win long"
-
-
-def text_windows(text: str, min_words: int) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
-    """(line hashes, [(start, stop, anchor, place of the anchor, hash of the window)])."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    hashes = np.array([xxhash.xxh64_intdigest(x, 7) for x in lines], dtype=np.uint64).view(np.int64)
-    upto = np.cumsum([0] + [len(x.split()) for x in lines])
-    stops = np.searchsorted(upto, upto[:-1] + min_words)  # the first line end with enough words
+MIN_WORDS, LONG, NEAR = 50, 16, 5
+WINDOW = "doc long, th long, start int, stop int, anchor long, win long, at int"
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, 7) for x in words], dtype=np.uint64).view(np.int64)
+
+
+def least_of_neighbours(words: list[bytes]) -> np.ndarray:
+    """Places whose hash is below those of the NEAR words before, and not above those after."""
+    own = word_hashes(words)
+    pad = np.full(NEAR, np.iinfo(np.int64).max)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, own, pad]), 2 * NEAR + 1)
+    return np.flatnonzero((own < near[:, :NEAR].min(axis=1)) & (own <= near[:, NEAR + 1 :].min(axis=1)))
+
+
+def line_ends(raw: bytes) -> tuple[list[bytes], list[int]]:
+    """(words, ends): the short lines end before the words numbered in ends."""
+    words, ends, last = [], [], 0
+    for line in raw.split(b"\n"):
+        own = line.split()
+        at = [i + 1 for i, x in enumerate(own, len(words)) if x[-1] in b".!?"]
+        words += own
+        if len(words) > last and (not at or at[-1] < len(words)):
+            at.append(len(words))
+        for end in at:
+            if end - last > LONG:
+                cuts = least_of_neighbours(words[last:end]) + last + 1
+                ends += [x for x in cuts.tolist() if x < end]
+            ends.append(end)
+            last = end
+    return words, ends
+
+
+def text_windows(text: str, least: int) -> list[tuple[int, int, int, int, int]]:
+    """[(first word, last word, anchor, hash of the window, the anchor's first word)]."""
+    words, ends = line_ends(text.encode("utf-8", "surrogatepass"))
+    starts = [0, *ends[:-1]]
+    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[a:b]), 7) for a, b in zip(starts, ends)], dtype=np.uint64).view(np.int64)
+    stops = np.searchsorted(ends, np.array(starts[: len(ends)]) + least)  # the first line end with enough words
     out = []
-    for start, stop in enumerate(stops.tolist()):
-        if stop > len(lines):
+    for i, stop in enumerate(stops.tolist()):
+        if stop >= len(ends):
             break
-        own = hashes[start:stop]
-        at = start + len(own) - 1 - int(np.argmin(own[::-1]))  # of equal minima the last
-        out.append((start, stop - 1, int(hashes[at]), at, xxhash.xxh64_intdigest(own.tobytes(), 11)))
-    return hashes, out
+        own = hashes[i : stop + 1]
+        at = i + len(own) - 1 - int(np.argmin(own[::-1]))  # of equal minima the last
+        out.append((starts[i], ends[stop] - 1, int(hashes[at]), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 11)).astype(np.int64)), starts[at]))
+    return out
 
 
-def windows(docs: DataFrame, min_words: int) -> DataFrame:
+def windows(docs: DataFrame, least: int) -> DataFrame:
     def make(batches):
         for pdf in batches:
             rows = []
             for doc, th, text in zip(pdf["doc"], pdf["th"], pdf["text"]):
-                rows += [(None if pd.isna(doc) else int(doc), th, *w[:4], np.uint64(w[4]).astype(np.int64)) for w in text_windows(text, min_words)[1]]
+                rows += [(None if pd.isna(doc) else int(doc), th, *w) for w in text_windows(text, least)]
                 if len(rows) > 50_000:
-                    yield _frame(rows)
+                    yield _frame(rows, WINDOW)
                     rows = []
             if rows:
-                yield _frame(rows)
+                yield _frame(rows, WINDOW)
 
     return docs.where("text is not null").select("doc", "th", "text").mapInPandas(make, WINDOW)
 
 
-def _frame(rows):
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in WINDOW.split(", ")])
-    return out.astype({"doc": "Int64"})
+def _frame(rows, schema):
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc": "Int64"})
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    @F.pandas_udf("binary")
-    def hashes(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: np.array([xxhash.xxh64_intdigest(y, 7) for y in x.encode("utf-8", "surrogatepass").split(b"\n")], dtype=np.uint64).tobytes())
+def borders(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
+    """(doc, th, start, stop, before, after): hashes of the words around each asked run, the nearest first."""
+    asked = asked.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    asked = asked.select(F.col("doc").alias("a_doc"), F.col("th").alias("a_th"), F.col("runs.start").alias("starts"), F.col("runs.stop").alias("stops"))
+    met = docs.join(asked.hint("merge"), (F.col("th") == F.col("a_th")) & F.col("doc").eqNullSafe(F.col("a_doc"))).select("doc", "th", "text", "starts", "stops")
+    schema = "doc long, th long, start int, stop int, before binary, after binary"
+
+    def around(batches):
+        for pdf in batches:
+            rows = []
+            for doc, th, text, starts, stops in zip(*(pdf[c] for c in pdf.columns)):
+                words = text.encode("utf-8", "surrogatepass").split()
+                for a, b in zip(starts.tolist(), stops.tolist()):
+                    before, after = word_hashes(words[max(0, a - reach) : a][::-1]), word_hashes(words[b + 1 : b + 1 + reach])
+                    rows.append((None if pd.isna(doc) else int(doc), th, a, b, before.tobytes(), after.tobytes()))
+                if len(rows) > 5_000:
+                    yield _frame(rows, schema)
+                    rows = []
+            if rows:
+                yield _frame(rows, schema)
 
-    return docs.where("text is not null").select("doc", "th", hashes("text").alias("lines"))
+    return met.mapInPandas(around, schema).dropDuplicates(["doc", "th", "start", "stop"])
 
 
-def extend(own: np.ndarray, first: np.ndarray, start: int, stop: int, first_start: int) -> tuple[int, int]:
-    """The run start..stop (inclusive), as far as the lines before and after it agree too."""
-    shift = first_start - start
-    while start > 0 and start + shift > 0 and own[start - 1] == first[start + shift - 1]:
-        start -= 1
-    while stop + 1 < len(own) and stop + shift + 1 < len(first) and own[stop + 1] == first[stop + shift + 1]:
-        stop += 1
-    return start, stop
+def common(a: bytes, b: bytes) -> int:
+    """How many words agree from the first on."""
+    a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(apart[0]) if len(apart) else n
 
 
 def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, th, runs): of each document with repeated runs, their first and last lines, counted from 0.
+    """(doc, th, runs): of each document with repeated runs, their first and last words, counted from 0.
 
-    th is text_key of the text. Runs are maximal matches with the first place of a window.
+    th is text_key of the text. The runs are in order and do not touch one another.
     """
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), text_key(F.col(text)).alias("th"), F.col(text).alias("text"))
-    win = stash(windows(slim, min_words), "lines")
+    win = stash(windows(slim, max(1, 2 * min_words // 5)), "lines")
     place = F.struct("doc", "th", "at")
     anchors = win.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
-    kept = stash(win.join(anchors, "anchor", "left_semi").drop("anchor", "at"), "lines")
+    kept = stash(win.join(anchors.hint("merge"), "anchor", "left_semi").drop("anchor", "at"), "lines")
     spot = F.struct("doc", "th", "start", "stop")
     first = kept.groupBy("win").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).where("f <> l").select("win", "f")
-    match = kept.join(first, "win").where(~F.col("f").eqNullSafe(spot))
-    match = match.select("doc", "th", "start", "stop", F.col("f.doc").alias("doc1"), F.col("f.th").alias("th1"), F.col("f.start").alias("start1"))
+    match = kept.join(first.hint("merge"), "win").where(~F.col("f").eqNullSafe(spot))
+    match = match.select("doc", "th", "start", "stop", F.col("f.doc").alias("doc1"), F.col("f.th").alias("th1"), (F.col("f.start") - F.col("start")).alias("shift")).distinct()
     # windows of one diagonal that touch are one run; a window of this kind spans one document's lines at most
-    diagonal = Window.partitionBy("doc", "th", "doc1", "th1", F.col("start1") - F.col("start")).orderBy("start")
+    diagonal = Window.partitionBy("doc", "th", "doc1", "th1", "shift").orderBy("start")
     match = match.withColumn("new", (F.col("start") > F.coalesce(F.max("stop").over(diagonal.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
-    match = match.withColumn("shift", F.col("start1") - F.col("start")).withColumn("run", F.sum("new").over(diagonal))
+    match = match.withColumn("run", F.sum("new").over(diagonal))
     runs = match.groupBy("doc", "th", "doc1", "th1", "shift", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
-    runs = stash(runs, "lines")
-    needed = runs.select("doc", "th").unionByName(runs.select(F.col("doc1").alias("doc"), F.col("th1").alias("th"))).distinct()
-    named = line_hashes(slim).alias("l")
-    lines = stash(named.join(needed.alias("n"), F.col("l.th").eqNullSafe(F.col("n.th")) & F.col("l.doc").eqNullSafe(F.col("n.doc")), "left_semi").dropDuplicates(["doc", "th"]), "lines")
-    at = lambda a, d, t: (F.col(f"{a}.th") == F.col(f"r.{t}")) & F.col(f"{a}.doc").eqNullSafe(F.col(f"r.{d}"))
-    both = runs.alias("r").join(lines.alias("o"), at("o", "doc", "th")).join(lines.alias("f"), at("f", "doc1", "th1"))
-    same = F.col("r.doc").eqNullSafe(F.col("r.doc1")) & (F.col("r.th") == F.col("r.th1"))
-    both = both.select("r.doc", "r.th", "r.start", "r.stop", "r.shift", same.alias("same"), F.col("o.lines").alias("own"), F.col("f.lines").alias("first"))
+    runs = stash(runs.withColumn("start1", F.col("start") + F.col("shift")).withColumn("stop1", F.col("stop") + F.col("shift")), "lines")
+    asked = runs.select("doc", "th", "start", "stop").union(runs.select("doc1", "th1", "start1", "stop1")).distinct()
+    edge = stash(borders(slim, asked, min_words), "lines")
+
+    def at(side, n=""):
+        named = edge.select(*[F.col(c).alias(f"{side}_{c}") for c in edge.columns])
+        return named, F.col(f"{side}_doc").eqNullSafe(F.col(f"doc{n}")) & (F.col(f"{side}_th") == F.col(f"th{n}")) & (F.col(f"{side}_start") == F.col(f"start{n}")) & (F.col(f"{side}_stop") == F.col(f"stop{n}"))
+
+    both = runs.join(*at("o")).join(*at("f", 1))
+    same = F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("th") == F.col("th1"))
+    both = both.select("doc", "th", "start", "stop", "shift", same.alias("same"), "o_before", "f_before", "o_after", "f_after")
 
     def grow(batches):
         for pdf in batches:
             out = []
-            for doc, th, start, stop, shift, same, own, first in zip(*(pdf[c] for c in pdf.columns)):
-                own, first = np.frombuffer(own, np.int64), np.frombuffer(first, np.int64)
-                lo, hi = extend(own, first, start, stop, start + shift)
-                if same:  # the first place itself stays
-                    lo = max(lo, stop + shift + 1)
-                out.append((None if pd.isna(doc) else int(doc), th, lo, hi))
-            yield pd.DataFrame(out, columns=["doc", "th", "lo", "hi"]).astype({"doc": "Int64"})
+            for doc, th, start, stop, shift, same, ob, fb, oa, fa in zip(*(pdf[c] for c in pdf.columns)):
+                lo, hi = start - common(ob, fb), stop + common(oa, fa)
+                if hi - lo + 1 >= min_words:
+                    # in the same document min_words words of the first place stay
+                    out.append((None if pd.isna(doc) else int(doc), th, max(lo, lo + shift + min_words) if same else lo, hi))
+            yield _frame(out, "doc long, th long, lo int, hi int")
 
     grown = both.mapInPandas(grow, "doc long, th long, lo int, hi int").where("lo <= hi").distinct()
+    # spans that overlap or touch become one
+    order = Window.partitionBy("doc", "th").orderBy("lo", "hi")
+    grown = grown.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
+    grown = grown.withColumn("run", F.sum("new").over(order)).groupBy("doc", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return stash(grown.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs")), "lines")
 
 
+def cut(text: str, los, his) -> str:
+    """text without words los[k] to his[k], nor the blanks after them (at the end: before them)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    spots = [m.span() for m in WORD.finditer(raw)]
+    out, at = [], 0
+    for lo, hi in zip(los, his):
+        out.append(raw[at : spots[lo][0]])
+        if hi + 1 < len(spots):
+            at = spots[hi + 1][0]
+        else:
+            out, at = [b"".join(out).rstrip(b" \t\n\v\f\r")], spots[hi][1]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def cut_runs(text: Column, runs: Column) -> Column:
+    @F.pandas_udf("string")
+    def without(text: pd.Series, los: pd.Series, his: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut(t, a, b) for t, a, b in zip(text, los, his)], dtype=object)
+
+    return without(text, runs["lo"], runs["hi"])
+
+
 def dedup_lines(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
-    """(row, text, n_lines, removed): row is the input's row, text the one without repeated runs,
-    removed the numbers of its lines. drop_emptied leaves out documents that lose every word."""
+    """(row, text, removed): row is the input's row, text the one without repeated runs, removed the
+    numbers of its first and last words by run. drop_emptied leaves out documents that lose every word."""
     runs = repeated_runs(docs, key, text, min_words).select(F.col("doc").alias("r_doc"), F.col("th").alias("r_th"), "runs")
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].cast("long").alias("doc"), text_key(docs[text]).alias("th"))
     # by sort and merge at every size: the runs grow with the documents, so they are never broadcast
     held = held.join(runs.hint("merge"), (F.col("th") == F.col("r_th")) & F.col("doc").eqNullSafe(F.col("r_doc")), "left")
-    old = F.col(f"row.{text}")
-    lines = F.split(old, "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"]))))
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["lo"]) & (i <= r["hi"]))), "\n")
-    new = F.when(F.col("runs").isNull(), old).otherwise(rest)
-    n = F.when(old.isNull(), 0).otherwise(F.length(old) - F.length(F.replace(old, F.lit("\n"), F.lit(""))) + 1)
-    out = held.select("row", new.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.array_sort(gone), F.array().cast("array<int>")).alias("removed"))
+    old, met = F.col(f"row.{text}"), F.col("runs").isNotNull()
+    new = F.when(met, cut_runs(F.when(met, old), F.col("runs"))).otherwise(old)
+    out = held.select("row", new.alias("text"), F.coalesce("runs", F.array().cast("array<struct<lo:int,hi:int>>")).alias("removed"))
     return out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")) if drop_emptied else out
 
 
@@ -155,4 +232,5 @@ def without_repeated_lines(docs: DataFrame, key="doc_id", text="text", min_words
 
 def op6_linededup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("row.doc_id", "text", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"] + 1)
+    return dedup_lines(docs).select("row.doc_id", "text", n_removed.alias("n_removed"), "removed")

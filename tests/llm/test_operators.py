@@ -281,66 +281,64 @@ def test_keep_one_of_each_finds_near_copies(spark, real):
 
 # --- 6 line dedup
 
-def plain_line_dedup(rows, least=50):
-    """Windows by direct comparison; the first place of each, extension line by line."""
-    docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
-    places, first = [], {}
-    for i, t in docs:
-        lines = t.split("\n")
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                if sum(len(x.encode().split()) for x in lines[a : b + 1]) >= least:
-                    w = "\n".join(lines[a : b + 1])
-                    places.append((i, t, a, b, w))
-                    first.setdefault(w, (i, t, a, b))
-                    break
-    gone = {}
-    runs = {}
-    for i, t, a, b, w in places:
-        i1, t1, a1, _ = first[w]
-        if (i1, t1, a1) != (i, t, a):
-            runs.setdefault((i, t, i1, t1, a1 - a), []).append((a, b))
-    for (i, t, i1, t1, shift), spans in runs.items():
-        lines, lines1 = t.split("\n"), t1.split("\n")
-        merged = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1] + 1:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            lo, hi = a, b
-            while lo > 0 and lo + shift > 0 and lines[lo - 1] == lines1[lo + shift - 1]:
-                lo -= 1
-            while hi + 1 < len(lines) and hi + shift + 1 < len(lines1) and lines[hi + 1] == lines1[hi + shift + 1]:
-                hi += 1
-            if (i, t) == (i1, t1):
-                lo = max(lo, b + shift + 1)
-            gone.setdefault((i, t), set()).update(range(lo, hi + 1))
-    return {(i, t): "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get((i, t), ())) for i, t in docs}
+def plain_repeats(rows, least=50):
+    """{(id, text): words that lie in least words in a row of which an earlier place has a copy}, by direct comparison."""
+    first, out = {}, {}
+    for i, t in sorted({(i, t) for i, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0)):
+        words, met = t.encode().split(), set()
+        for a in range(len(words) - least + 1):
+            place = first.setdefault(b" ".join(words[a : a + least]), (i, t, a))
+            if place != (i, t, a):
+                met.update(range(a, a + least))
+        out[i, t] = met
+    return out
 
 
 def test_line_dedup(spark, real):
     rng = random.Random(8)
     word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 999))
     line = lambda n: " ".join(word() for _ in range(n))
+    prose = lambda n: re.sub(r"((?:\S+ ){9}\S+) ", r"\1. ", line(n))
     shared = [line(n) for n in (60, 20, 20, 20, 5)]
     rows = [(r.doc_id, r.text) for r in real.collect()]
     rows += [(1000 + i, "\n".join([line(7), *shared, line(9)])) for i in range(5)]
     rows += [(1100 + i, "\n".join([line(3), shared[1], line(30)])) for i in range(9)]  # 20 words alone are no run
-    rows += [(1200, "\n".join([shared[0], "x", shared[0], *shared[1:4], shared[0]])), (1201, "\n".join(["again " * 20] * 6)), (1202, None), (1203, ""), (1000, rows[0][1])]
+    rows += [(1200, "\n".join([shared[0], "x", shared[0], *shared[1:4], shared[0]])), (1201, "\n".join(["again " * 20] * 6)), (1202, None), (1203, ""), (1000, rows[0][1]), (None, line(60))]
+    inside = {n: prose(n) if n % 2 else line(n) for n in (52, 61, 75, 90, 133, 200)}  # passages that begin and end inside lines
+    for n, passage in inside.items():
+        rows += [(2000 + 10 * n + i, f"{prose(rng.randint(5, 40))} {passage} {prose(rng.randint(5, 40))}\n{line(12)}") for i in range(4)]
+    rows += [(5000 + i, f"{line(20)} {inside[61][: len(inside[61]) // 2]} {line(30)}") for i in range(3)]
     docs = documents(spark, [(i, t, None) for i, t in rows]).withColumnRenamed("lang", "runs").withColumnRenamed("source", "th")
     got = linededup.dedup_lines(docs).select("row.doc_id", "row.text", linededup.F.col("text").alias("new"), "removed").collect()
-    want = plain_line_dedup(rows)
     assert len(got) == len(rows)
+    repeats, left = plain_repeats(rows), {}
     for r in got:
-        assert r.new == (want[r.doc_id, r.text] if r.text is not None else None)
-    assert sum(r.new != r.text for r in got) > 8
+        if r.text is None:
+            assert r.new is None and not r.removed
+            continue
+        gone = {n for x in r.removed for n in range(x.lo, x.hi + 1)}
+        assert gone <= repeats[r.doc_id, r.text]  # nothing but words of repeated runs
+        assert r.new.split() == [w for n, w in enumerate(r.text.split()) if n not in gone]
+        assert gone or r.new == r.text
+        left[r.doc_id, r.new] = r.doc_id
+        assert r.doc_id not in range(1100, 1109) and r.doc_id not in range(5000, 5003) or not gone
+    assert sum(bool(r.removed) for r in got) > 25
+    grams = {}
+    for i, new in left:  # no document still has 50 words in a row of another one
+        words = new.split()
+        for a in range(len(words) - 49):
+            assert grams.setdefault(" ".join(words[a : a + 50]), i) == i
     clean = linededup.without_repeated_lines(docs)
     assert clean.columns == docs.columns and clean.where("doc_id in (1202, 1203)").count() == 2
     assert linededup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_cut():
+    text = "a b.\n c d \n\ne"
+    assert linededup.cut(text, [2], [3]) == "a b.\n e" and linededup.cut(text, [2], [4]) == "a b."
+    assert linededup.cut(text, [0, 3], [1, 3]) == "c e" and linededup.cut(text, [0], [4]) == ""
+
+
 # --- 7 WARC
 
 def test_warc_round_trip(spark):
