@@ -4,21 +4,21 @@ A run of words counts as repeated if it has at least min_words words in a row an
 has the same ones. Lines are cut further, so that a passage is found wherever it stands in a line:
 after words that end a sentence and, where more than LONG words follow one another without such an
 end, after words whose hash is the least of their neighbours' (the same words are cut alike in
-every text). Each of these short lines opens a window: the shortest run from it on that has two
-fifths of min_words. Each window selects the least line hash in it, so any two texts that share
-such a run select a common line: the guaranteed fingerprint.
-
-1. Windows of all documents, each with its selected line (anchor) and the hash of all its lines.
-2. Anchors that are selected at one place only cannot lie in a repeated run; their windows go.
-3. The rest are joined by position with the first place that has an equal window, that is one match
-   for each occurrence and not all pairs, however common a passage is.
-4. Matches on the same diagonal are merged, and extended both ways word by word against the first
-   place, at most min_words words a side: what lies farther has windows of its own.
-5. Runs of min_words words or more are deleted at the later place. Places are ordered by id, then
+every text). Of each window, the shortest run of these short lines from any of them on that has a
+quarter of min_words, the least line hash is selected: the guaranteed fingerprint's place. The
+fingerprint itself is the hash of the lines from there on that have a quarter of min_words.
+
+1. Fingerprints of all documents with their places.
+2. Fingerprints met once only go; the rest are joined by position with the first place that has the
+   same, that is one match for each occurrence and not all pairs, however common a passage is.
+3. Matches on the same diagonal are merged, and extended both ways word by word against the first
+   place, at most min_words words a side: what lies farther has fingerprints of its own.
+4. Runs of min_words words or more are deleted at the later place. Places are ordered by id, then
    by word; where a run overlaps its first place in the same document, min_words words stay.
 
-A common run is found if it holds two fifths of min_words in whole short lines; of a repeated
-passage that begins and ends inside sentences, only the two cut sentences don't count for that.
+A common run is found in any case if it holds half of min_words and two short lines more in whole
+short lines; of a repeated passage that begins and ends inside sentences, only the two cut
+sentences don't count for that.
 
 Defined cases: null texts stay null; empty texts and texts of fewer words stay as they are; rows
 that repeat an id and a text are one document, and get the same result; ids that are null come
@@ -38,69 +38,84 @@ from pyspark.sql import functions as F
 from .shared import stash, text_batches, text_key
 
 MIN_WORDS, LONG, NEAR = 50, 16, 5
-WINDOW = "doc long, th long, start int, stop int, anchor long, win long, at int"
+PLACE = "doc long, th long, start int, stop int, win long"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+END = re.compile(rb"\n|(?<=[.!?])[\x20\x09-\x0d]")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, 7) for x in words], dtype=np.uint64).view(np.int64)
 
 
-def least_of_neighbours(words: list[bytes]) -> np.ndarray:
-    """Places whose hash is below those of the NEAR words before, and not above those after."""
-    own = word_hashes(words)
-    pad = np.full(NEAR, np.iinfo(np.int64).max)
-    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, own, pad]), 2 * NEAR + 1)
-    return np.flatnonzero((own < near[:, :NEAR].min(axis=1)) & (own <= near[:, NEAR + 1 :].min(axis=1)))
-
-
-def line_ends(raw: bytes) -> tuple[list[bytes], list[int]]:
-    """(words, ends): the short lines end before the words numbered in ends."""
-    words, ends, last = [], [], 0
-    for line in raw.split(b"\n"):
-        own = line.split()
-        at = [i + 1 for i, x in enumerate(own, len(words)) if x[-1] in b".!?"]
-        words += own
-        if len(words) > last and (not at or at[-1] < len(words)):
-            at.append(len(words))
-        for end in at:
-            if end - last > LONG:
-                cuts = least_of_neighbours(words[last:end]) + last + 1
-                ends += [x for x in cuts.tolist() if x < end]
-            ends.append(end)
-            last = end
-    return words, ends
-
-
-def text_windows(text: str, least: int) -> list[tuple[int, int, int, int, int]]:
-    """[(first word, last word, anchor, hash of the window, the anchor's first word)]."""
-    words, ends = line_ends(text.encode("utf-8", "surrogatepass"))
-    starts = [0, *ends[:-1]]
-    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[a:b]), 7) for a, b in zip(starts, ends)], dtype=np.uint64).view(np.int64)
-    stops = np.searchsorted(ends, np.array(starts[: len(ends)]) + least)  # the first line end with enough words
-    out = []
-    for i, stop in enumerate(stops.tolist()):
-        if stop >= len(ends):
-            break
-        own = hashes[i : stop + 1]
-        at = i + len(own) - 1 - int(np.argmin(own[::-1]))  # of equal minima the last
-        out.append((starts[i], ends[stop] - 1, int(hashes[at]), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 11)).astype(np.int64)), starts[at]))
-    return out
-
-
-def windows(docs: DataFrame, least: int) -> DataFrame:
+def cuts(lines: list[list[bytes]]) -> list[list[int]]:
+    """Of each line, before which words it is cut: after those whose hash is below those of the NEAR
+    words before, and not above those of the NEAR words after."""
+    flat, begins, none = [], [], 2**64 - 1
+    for words in lines:
+        flat += [none] * NEAR
+        begins.append(len(flat))
+        flat += [xxhash.xxh64_intdigest(x, 7) for x in words]
+    own = np.array(flat + [none] * NEAR, dtype=np.uint64)
+    least = own != none
+    for k in range(1, NEAR + 1):
+        least[k:] &= own[k:] < own[:-k]
+        least[:-k] &= own[:-k] <= own[k:]
+    at = np.flatnonzero(least)
+    return [(x - b + 1).tolist() for x, b in zip(np.split(at, np.searchsorted(at, begins[1:])), begins)]
+
+
+def short_lines(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the short lines, numbers of the words they end before)."""
+    hashes, sizes = [], []
+    lines = [words for words in map(bytes.split, END.split(raw)) if words]
+    inner = iter(cuts([words for words in lines if len(words) > LONG]) if lines else [])
+    for words in lines:
+        at = 0
+        for end in [*(next(inner) if len(words) > LONG else []), len(words)]:
+            if end > at:
+                hashes.append(xxhash.xxh64_intdigest(b" ".join(words[at:end]), 7))
+                sizes.append(end - at)
+                at = end
+    return np.array(hashes, dtype=np.uint64).view(np.int64), np.cumsum(sizes, dtype=np.int64)
+
+
+def fingerprints(text: str, least: int) -> list[np.ndarray]:
+    """[first words, last words, hashes] of the runs from the selected lines on."""
+    hashes, ends = short_lines(text.encode("utf-8", "surrogatepass"))
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    stops = np.searchsorted(ends, starts + least)  # the first line end with enough words
+    n = int(np.searchsorted(stops, len(ends)))  # windows that the text holds
+    best, at = np.arange(n), np.arange(n)
+    for step in range(1, int((stops[:n] - at).max()) + 1 if n else 0):
+        at = at[at + step <= stops[at]]
+        less = at[hashes[at + step] <= hashes[best[at]]]  # of equal minima the last
+        best[less] = less + step
+    chosen = np.unique(best)
+    chosen = chosen[chosen < n]
+    runs = [xxhash.xxh64_intdigest(hashes[a : b + 1].tobytes(), 11) for a, b in zip(chosen.tolist(), stops[chosen].tolist())]
+    return [starts[chosen], ends[stops[chosen]] - 1, np.array(runs, dtype=np.uint64).view(np.int64)]
+
+
+def places(docs: DataFrame, least: int) -> DataFrame:
+    def frame(docs, parts):
+        n = [len(p[0]) for _, p in parts]
+        start, stop, win = (np.concatenate([p[k] for _, p in parts]) for k in range(3))
+        doc = pd.Series([docs[i][0] for i, _ in parts], dtype="Int64").repeat(n).reset_index(drop=True)
+        return pd.DataFrame({"doc": doc, "th": np.repeat([docs[i][1] for i, _ in parts], n), "start": start.astype(np.int32), "stop": stop.astype(np.int32), "win": win})
+
     def make(batches):
         for pdf in batches:
-            rows = []
-            for doc, th, text in zip(pdf["doc"], pdf["th"], pdf["text"]):
-                rows += [(None if pd.isna(doc) else int(doc), th, *w) for w in text_windows(text, least)]
-                if len(rows) > 50_000:
-                    yield _frame(rows, WINDOW)
-                    rows = []
-            if rows:
-                yield _frame(rows, WINDOW)
+            docs = [(None if pd.isna(d) else int(d), t) for d, t in zip(pdf["doc"], pdf["th"])]
+            parts = []
+            for i, text in enumerate(pdf["text"]):
+                parts.append((i, fingerprints(text, least)))
+                if sum(len(p[0]) for _, p in parts[-50:]) > 20_000:
+                    yield frame(docs, parts)
+                    parts = []
+            if parts:
+                yield frame(docs, parts)
 
-    return docs.where("text is not null").select("doc", "th", "text").mapInPandas(make, WINDOW)
+    return docs.where("text is not null").select("doc", "th", "text").mapInPandas(make, PLACE)
 
 
 def _frame(rows, schema):
@@ -146,15 +161,15 @@ def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = M
     """
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), text_key(F.col(text)).alias("th"), F.col(text).alias("text"))
-    win = stash(windows(slim, max(1, 2 * min_words // 5)), "lines")
-    place = F.struct("doc", "th", "at")
-    anchors = win.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
-    kept = stash(win.join(anchors.hint("merge"), "anchor", "left_semi").drop("anchor", "at"), "lines")
+    place = stash(places(slim, max(1, min_words // 4)), "lines")
+    # one shuffle of the places by fingerprint serves the three steps; they are joined by merging at every size
+    often = place.groupBy("win").count().where("count > 1").select("win")
+    kept = place.join(often.hint("merge"), "win", "left_semi")
     spot = F.struct("doc", "th", "start", "stop")
-    first = kept.groupBy("win").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).where("f <> l").select("win", "f")
+    first = kept.groupBy("win").agg(F.min(spot).alias("f"))
     match = kept.join(first.hint("merge"), "win").where(~F.col("f").eqNullSafe(spot))
-    match = match.select("doc", "th", "start", "stop", F.col("f.doc").alias("doc1"), F.col("f.th").alias("th1"), (F.col("f.start") - F.col("start")).alias("shift")).distinct()
-    # windows of one diagonal that touch are one run; a window of this kind spans one document's lines at most
+    match = match.select("doc", "th", "start", "stop", F.col("f.doc").alias("doc1"), F.col("f.th").alias("th1"), (F.col("f.start") - F.col("start")).alias("shift"))
+    # matches of one diagonal that touch are one run
     diagonal = Window.partitionBy("doc", "th", "doc1", "th1", "shift").orderBy("start")
     match = match.withColumn("new", (F.col("start") > F.coalesce(F.max("stop").over(diagonal.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
     match = match.withColumn("run", F.sum("new").over(diagonal))
