@@ -54,7 +54,7 @@ def cuts(lines: list[list[bytes]]) -> list[list[int]]:
     for words in lines:
         flat += [none] * NEAR
         begins.append(len(flat))
-        flat += [xxhash.xxh64_intdigest(x, 7) for x in words]
+        flat += map(xxhash.xxh64_intdigest, words)
     own = np.array(flat + [none] * NEAR, dtype=np.uint64)
     least = own != none
     for k in range(1, NEAR + 1):
@@ -123,7 +123,7 @@ def _frame(rows, schema):
 
 
 def borders(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
-    """(doc, th, start, stop, before, after): hashes of the words around each asked run, the nearest first."""
+    """(doc, th, start, stop, before, after): the words around each asked run, at most reach a side."""
     asked = asked.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
     asked = asked.select(F.col("doc").alias("a_doc"), F.col("th").alias("a_th"), F.col("runs.start").alias("starts"), F.col("runs.stop").alias("stops"))
     met = docs.join(asked.hint("merge"), (F.col("th") == F.col("a_th")) & F.col("doc").eqNullSafe(F.col("a_doc"))).select("doc", "th", "text", "starts", "stops")
@@ -135,29 +135,21 @@ def borders(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
             for doc, th, text, starts, stops in zip(*(pdf[c] for c in pdf.columns)):
                 words = text.encode("utf-8", "surrogatepass").split()
                 for a, b in zip(starts.tolist(), stops.tolist()):
-                    before, after = word_hashes(words[max(0, a - reach) : a][::-1]), word_hashes(words[b + 1 : b + 1 + reach])
-                    rows.append((None if pd.isna(doc) else int(doc), th, a, b, before.tobytes(), after.tobytes()))
+                    rows.append((None if pd.isna(doc) else int(doc), th, a, b, b" ".join(words[max(0, a - reach) : a]), b" ".join(words[b + 1 : b + 1 + reach])))
                 if len(rows) > 5_000:
                     yield _frame(rows, schema)
                     rows = []
             if rows:
                 yield _frame(rows, schema)
 
-    return met.mapInPandas(around, schema).dropDuplicates(["doc", "th", "start", "stop"])
-
-
-def common(a: bytes, b: bytes) -> int:
-    """How many words agree from the first on."""
-    a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-    n = min(len(a), len(b))
-    apart = np.flatnonzero(a[:n] != b[:n])
-    return int(apart[0]) if len(apart) else n
+    # rows that repeat an id and a text answer alike
+    return met.mapInPandas(around, schema).groupBy("doc", "th", "start", "stop").agg(F.first("before").alias("before"), F.first("after").alias("after"))
 
 
 def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, th, runs): of each document with repeated runs, their first and last words, counted from 0.
-
-    th is text_key of the text. The runs are in order and do not touch one another.
+    """(doc, th, runs): of each document its matches with first places, as start, stop (its own first and
+    last words, counted from 0), shift (to those of the first place), same (document), and the first
+    place's words before and after. th is text_key of the text. without_runs extends and judges them.
     """
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), text_key(F.col(text)).alias("th"), F.col(text).alias("text"))
@@ -175,33 +167,36 @@ def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = M
     match = match.withColumn("run", F.sum("new").over(diagonal))
     runs = match.groupBy("doc", "th", "doc1", "th1", "shift", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
     runs = stash(runs.withColumn("start1", F.col("start") + F.col("shift")).withColumn("stop1", F.col("stop") + F.col("shift")), "lines")
-    asked = runs.select("doc", "th", "start", "stop").union(runs.select("doc1", "th1", "start1", "stop1")).distinct()
-    edge = stash(borders(slim, asked, min_words), "lines")
-
-    def at(side, n=""):
-        named = edge.select(*[F.col(c).alias(f"{side}_{c}") for c in edge.columns])
-        return named, F.col(f"{side}_doc").eqNullSafe(F.col(f"doc{n}")) & (F.col(f"{side}_th") == F.col(f"th{n}")) & (F.col(f"{side}_start") == F.col(f"start{n}")) & (F.col(f"{side}_stop") == F.col(f"stop{n}"))
-
-    both = runs.join(*at("o")).join(*at("f", 1))
+    edge = borders(slim, runs.select(F.col("doc1").alias("doc"), F.col("th1").alias("th"), F.col("start1").alias("start"), F.col("stop1").alias("stop")).distinct(), min_words)
+    edge = edge.select(*[F.col(c).alias(f"f_{c}") for c in edge.columns])
+    there = F.col("f_doc").eqNullSafe(F.col("doc1")) & (F.col("f_th") == F.col("th1")) & (F.col("f_start") == F.col("start1")) & (F.col("f_stop") == F.col("stop1"))
     same = F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("th") == F.col("th1"))
-    both = both.select("doc", "th", "start", "stop", "shift", same.alias("same"), "o_before", "f_before", "o_after", "f_after")
+    both = runs.join(edge.hint("merge"), there).select("doc", "th", F.struct("start", "stop", "shift", same.alias("same"), F.col("f_before").alias("before"), F.col("f_after").alias("after")).alias("run"))
+    return stash(both.groupBy("doc", "th").agg(F.collect_list("run").alias("runs")), "lines")
 
-    def grow(batches):
-        for pdf in batches:
-            out = []
-            for doc, th, start, stop, shift, same, ob, fb, oa, fa in zip(*(pdf[c] for c in pdf.columns)):
-                lo, hi = start - common(ob, fb), stop + common(oa, fa)
-                if hi - lo + 1 >= min_words:
-                    # in the same document min_words words of the first place stay
-                    out.append((None if pd.isna(doc) else int(doc), th, max(lo, lo + shift + min_words) if same else lo, hi))
-            yield _frame(out, "doc long, th long, lo int, hi int")
-
-    grown = both.mapInPandas(grow, "doc long, th long, lo int, hi int").where("lo <= hi").distinct()
-    # spans that overlap or touch become one
-    order = Window.partitionBy("doc", "th").orderBy("lo", "hi")
-    grown = grown.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
-    grown = grown.withColumn("run", F.sum("new").over(order)).groupBy("doc", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return stash(grown.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs")), "lines")
+
+def common(a: list[bytes], b: list[bytes]) -> int:
+    """How many words agree from the first on."""
+    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def spans(words: list[bytes], runs, min_words: int) -> tuple[list[int], list[int]]:
+    """First and last words of what goes: runs extended both ways, those of min_words words or more, merged."""
+    found = []
+    for start, stop, shift, same, before, after in runs:
+        lo = start - common(words[max(0, start - min_words) : start][::-1], before.split()[::-1])
+        hi = stop + common(words[stop + 1 : stop + 1 + min_words], after.split())
+        if hi - lo + 1 >= min_words:
+            # in the same document min_words words of the first place stay
+            found.append((max(lo, lo + shift + min_words) if same else lo, hi))
+    los, his = [], []
+    for lo, hi in sorted(x for x in found if x[0] <= x[1]):
+        if his and lo <= his[-1] + 1:
+            his[-1] = max(hi, his[-1])
+        else:
+            los.append(lo)
+            his.append(hi)
+    return los, his
 
 
 def cut(text: str, los, his) -> str:
@@ -218,12 +213,21 @@ def cut(text: str, los, his) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def cut_runs(text: Column, runs: Column) -> Column:
-    @F.pandas_udf("string")
-    def without(text: pd.Series, los: pd.Series, his: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cut(t, a, b) for t, a, b in zip(text, los, his)], dtype=object)
+def without_runs(text: Column, runs: Column, min_words: int) -> Column:
+    """struct(text, lo, hi): the text without its repeated runs, and their first and last words."""
+
+    @F.pandas_udf("text string, lo array<int>, hi array<int>")
+    def shorter(text: pd.Series, *runs: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, *own in zip(text, *runs):
+            if t is None:
+                out.append((None, None, None))
+                continue
+            los, his = spans(t.encode("utf-8", "surrogatepass").split(), zip(*(x.tolist() for x in own)), min_words)
+            out.append((cut(t, los, his) if los else t, los, his))
+        return pd.DataFrame(out, columns=["text", "lo", "hi"], dtype=object)
 
-    return without(text, runs["lo"], runs["hi"])
+    return shorter(text, *[runs[c] for c in ("start", "stop", "shift", "same", "before", "after")])
 
 
 def dedup_lines(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
@@ -234,8 +238,9 @@ def dedup_lines(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN
     # by sort and merge at every size: the runs grow with the documents, so they are never broadcast
     held = held.join(runs.hint("merge"), (F.col("th") == F.col("r_th")) & F.col("doc").eqNullSafe(F.col("r_doc")), "left")
     old, met = F.col(f"row.{text}"), F.col("runs").isNotNull()
-    new = F.when(met, cut_runs(F.when(met, old), F.col("runs"))).otherwise(old)
-    out = held.select("row", new.alias("text"), F.coalesce("runs", F.array().cast("array<struct<lo:int,hi:int>>")).alias("removed"))
+    held = held.select("row", old.alias("old"), without_runs(F.when(met, old), F.col("runs"), min_words).alias("new"))
+    gone = F.coalesce(F.arrays_zip("new.lo", "new.hi"), F.array().cast("array<struct<lo:int,hi:int>>"))
+    out = held.select("row", F.coalesce("new.text", "old").alias("text"), gone.alias("removed"))
     return out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")) if drop_emptied else out
 
 
