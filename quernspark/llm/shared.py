@@ -30,10 +30,18 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The shuffle files behind it go as soon as it is written, as nothing reads them again.
+    """
+    spark, path, cleanup = df.sparkSession, shared_dir(df.sparkSession, tag), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
