@@ -9,12 +9,13 @@ quarter of min_words, the least line hash is selected: the guaranteed fingerprin
 fingerprint itself is the hash of the lines from there on that have a quarter of min_words.
 
 1. Fingerprints of all documents with their places.
-2. Fingerprints met once only go; the rest are joined by position with the first place that has the
-   same, that is one match for each occurrence and not all pairs, however common a passage is.
-3. Matches on the same diagonal are merged, and extended both ways word by word against the first
-   place, at most min_words words a side: what lies farther has fingerprints of its own.
-4. Runs of min_words words or more are deleted at the later place. Places are ordered by id, then
-   by word; where a run overlaps its first place in the same document, min_words words stay.
+2. Fingerprints met once only go. Around the places of the others, each run of min_words words that
+   holds such a fingerprint gets a hash of its own words.
+3. A run of min_words words whose hash has an earlier place is deleted at the later one: each run is
+   held against the first place of the whole run, so it does not matter how often its parts stand
+   elsewhere before, and the number of rows stays linear however common a passage is.
+4. Places are ordered by id, then by word; where a run overlaps its first place in the same
+   document, that place's min_words words stay.
 
 A common run is found in any case if it holds half of min_words and two short lines more in whole
 short lines; of a repeated passage that begins and ends inside sentences, only the two cut
@@ -32,12 +33,13 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stash, text_batches, text_key
 
 MIN_WORDS, LONG, NEAR = 50, 16, 5
+BASE = 0x9E3779B97F4A7C15
 PLACE = "doc long, th long, start int, stop int, win long"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 END = re.compile(rb"\n|(?<=[.!?])[\x20\x09-\x0d]")
@@ -118,79 +120,77 @@ def places(docs: DataFrame, least: int) -> DataFrame:
     return docs.where("text is not null").select("doc", "th", "text").mapInPandas(make, PLACE)
 
 
-def _frame(rows, schema):
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc": "Int64"})
-
-
-def borders(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
-    """(doc, th, start, stop, before, after): the words around each asked run, at most reach a side."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(BASE ** k, BASE ** -k) modulo 2 ** 64 for k below n."""
+    out = np.array([[BASE], [pow(BASE, -1, 2**64)]], dtype=np.uint64).repeat(n, axis=1)
+    out[:, :1] = 1
+    return tuple(np.multiply.accumulate(out, axis=1))
+
+
+def whole_runs(words: list[bytes], starts, stops, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the runs of n words that hold one of the given places."""
+    last = len(words) - n
+    if last < 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts, stops = np.asarray(starts, dtype=np.int64), np.asarray(stops, dtype=np.int64)
+    lo, hi = np.clip(np.minimum(starts, stops - n + 1), 0, last), np.clip(np.maximum(starts, stops - n + 1), 0, last)
+    asked = np.zeros(last + 2, dtype=np.int64)
+    np.add.at(asked, lo, 1)
+    np.add.at(asked, hi + 1, -1)
+    at = np.flatnonzero(np.cumsum(asked[:-1]))
+    up, down = powers(len(words))
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(word_hashes(words).view(np.uint64) * up, out=sums[1:])
+    x = (sums[at + n] - sums[at]) * down[at]
+    return at, (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def run_hashes(docs: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
+    """(hash, doc, th, at): the runs of min_words words around the asked places (doc, th, start, stop)."""
     asked = asked.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
     asked = asked.select(F.col("doc").alias("a_doc"), F.col("th").alias("a_th"), F.col("runs.start").alias("starts"), F.col("runs.stop").alias("stops"))
     met = docs.join(asked.hint("merge"), (F.col("th") == F.col("a_th")) & F.col("doc").eqNullSafe(F.col("a_doc"))).select("doc", "th", "text", "starts", "stops")
-    schema = "doc long, th long, start int, stop int, before binary, after binary"
 
     def around(batches):
         for pdf in batches:
-            rows = []
+            parts, held = [], 0
             for doc, th, text, starts, stops in zip(*(pdf[c] for c in pdf.columns)):
-                words = text.encode("utf-8", "surrogatepass").split()
-                for a, b in zip(starts.tolist(), stops.tolist()):
-                    rows.append((None if pd.isna(doc) else int(doc), th, a, b, b" ".join(words[max(0, a - reach) : a]), b" ".join(words[b + 1 : b + 1 + reach])))
-                if len(rows) > 5_000:
-                    yield _frame(rows, schema)
-                    rows = []
-            if rows:
-                yield _frame(rows, schema)
+                at, hashes = whole_runs(text.encode("utf-8", "surrogatepass").split(), starts, stops, min_words)
+                parts.append(pd.DataFrame({"hash": hashes, "doc": pd.array([None if pd.isna(doc) else int(doc)], dtype="Int64").repeat(len(at)), "th": np.full(len(at), th, dtype=np.int64), "at": at.astype(np.int32)}))
+                held += len(at)
+                if held > 50_000:
+                    yield pd.concat(parts)
+                    parts, held = [], 0
+            if held:
+                yield pd.concat(parts)
 
-    # rows that repeat an id and a text answer alike
-    return met.mapInPandas(around, schema).groupBy("doc", "th", "start", "stop").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    return met.mapInPandas(around, "hash long, doc long, th long, at int")
 
 
 def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, th, runs): of each document its matches with first places, as start, stop (its own first and
-    last words, counted from 0), shift (to those of the first place), same (document), and the first
-    place's words before and after. th is text_key of the text. without_runs extends and judges them.
+    """(doc, th, runs): of each document the first and last words (lo, hi; counted from 0) of what goes,
+    a run of min_words words at a time. th is text_key of the text. without_runs merges them.
     """
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), text_key(F.col(text)).alias("th"), F.col(text).alias("text"))
     place = stash(places(slim, max(1, min_words // 4)), "lines")
-    # one shuffle of the places by fingerprint serves the three steps; they are joined by merging at every size
     often = place.groupBy("win").count().where("count > 1").select("win")
     kept = place.join(often.hint("merge"), "win", "left_semi")
-    spot = F.struct("doc", "th", "start", "stop")
-    first = kept.groupBy("win").agg(F.min(spot).alias("f"))
-    match = kept.join(first.hint("merge"), "win").where(~F.col("f").eqNullSafe(spot))
-    match = match.select("doc", "th", "start", "stop", F.col("f.doc").alias("doc1"), F.col("f.th").alias("th1"), (F.col("f.start") - F.col("start")).alias("shift"))
-    # matches of one diagonal that touch are one run
-    diagonal = Window.partitionBy("doc", "th", "doc1", "th1", "shift").orderBy("start")
-    match = match.withColumn("new", (F.col("start") > F.coalesce(F.max("stop").over(diagonal.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
-    match = match.withColumn("run", F.sum("new").over(diagonal))
-    runs = match.groupBy("doc", "th", "doc1", "th1", "shift", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
-    runs = stash(runs.withColumn("start1", F.col("start") + F.col("shift")).withColumn("stop1", F.col("stop") + F.col("shift")), "lines")
-    edge = borders(slim, runs.select(F.col("doc1").alias("doc"), F.col("th1").alias("th"), F.col("start1").alias("start"), F.col("stop1").alias("stop")).distinct(), min_words)
-    edge = edge.select(*[F.col(c).alias(f"f_{c}") for c in edge.columns])
-    there = F.col("f_doc").eqNullSafe(F.col("doc1")) & (F.col("f_th") == F.col("th1")) & (F.col("f_start") == F.col("start1")) & (F.col("f_stop") == F.col("stop1"))
-    same = F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("th") == F.col("th1"))
-    both = runs.join(edge.hint("merge"), there).select("doc", "th", F.struct("start", "stop", "shift", same.alias("same"), F.col("f_before").alias("before"), F.col("f_after").alias("after")).alias("run"))
-    return stash(both.groupBy("doc", "th").agg(F.collect_list("run").alias("runs")), "lines")
-
-
-def common(a: list[bytes], b: list[bytes]) -> int:
-    """How many words agree from the first on."""
-    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
-def spans(words: list[bytes], runs, min_words: int) -> tuple[list[int], list[int]]:
-    """First and last words of what goes: runs extended both ways, those of min_words words or more, merged."""
-    found = []
-    for start, stop, shift, same, before, after in runs:
-        lo = start - common(words[max(0, start - min_words) : start][::-1], before.split()[::-1])
-        hi = stop + common(words[stop + 1 : stop + 1 + min_words], after.split())
-        if hi - lo + 1 >= min_words:
-            # in the same document min_words words of the first place stay
-            found.append((max(lo, lo + shift + min_words) if same else lo, hi))
+    # one shuffle of the runs by hash serves both sides; they are joined by merging at every size
+    rows = stash(run_hashes(slim, kept.select("doc", "th", "start", "stop"), min_words), "lines").repartition("hash")
+    spot = F.struct("doc", "th", "at")
+    first = rows.groupBy("hash").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).where(~F.col("f").eqNullSafe(F.col("l"))).select("hash", "f")
+    match = rows.join(first.hint("merge"), "hash").where(~F.col("f").eqNullSafe(spot))
+    same = F.col("doc").eqNullSafe(F.col("f.doc")) & (F.col("th") == F.col("f.th"))
+    lo, hi = F.when(same, F.greatest(F.col("at"), F.col("f.at") + min_words)).otherwise(F.col("at")), F.col("at") + min_words - 1
+    match = match.select("doc", "th", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    return stash(match.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "lines")
+
+
+def merged(runs) -> tuple[list[int], list[int]]:
+    """First and last words of the runs (lo, hi), those that touch as one."""
     los, his = [], []
-    for lo, hi in sorted(x for x in found if x[0] <= x[1]):
+    for lo, hi in sorted(runs):
         if his and lo <= his[-1] + 1:
             his[-1] = max(hi, his[-1])
         else:
@@ -213,7 +213,7 @@ def cut(text: str, los, his) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def without_runs(text: Column, runs: Column, min_words: int) -> Column:
+def without_runs(text: Column, runs: Column) -> Column:
     """struct(text, lo, hi): the text without its repeated runs, and their first and last words."""
 
     @F.pandas_udf("text string, lo array<int>, hi array<int>")
@@ -223,11 +223,11 @@ def without_runs(text: Column, runs: Column, min_words: int) -> Column:
             if t is None:
                 out.append((None, None, None))
                 continue
-            los, his = spans(t.encode("utf-8", "surrogatepass").split(), zip(*(x.tolist() for x in own)), min_words)
+            los, his = merged(zip(*(x.tolist() for x in own)))
             out.append((cut(t, los, his) if los else t, los, his))
         return pd.DataFrame(out, columns=["text", "lo", "hi"], dtype=object)
 
-    return shorter(text, *[runs[c] for c in ("start", "stop", "shift", "same", "before", "after")])
+    return shorter(text, *[runs[c] for c in ("lo", "hi")])
 
 
 def dedup_lines(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
@@ -238,7 +238,7 @@ def dedup_lines(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN
     # by sort and merge at every size: the runs grow with the documents, so they are never broadcast
     held = held.join(runs.hint("merge"), (F.col("th") == F.col("r_th")) & F.col("doc").eqNullSafe(F.col("r_doc")), "left")
     old, met = F.col(f"row.{text}"), F.col("runs").isNotNull()
-    held = held.select("row", old.alias("old"), without_runs(F.when(met, old), F.col("runs"), min_words).alias("new"))
+    held = held.select("row", old.alias("old"), without_runs(F.when(met, old), F.col("runs")).alias("new"))
     gone = F.coalesce(F.arrays_zip("new.lo", "new.hi"), F.array().cast("array<struct<lo:int,hi:int>>"))
     out = held.select("row", F.coalesce("new.text", "old").alias("text"), gone.alias("removed"))
     return out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")) if drop_emptied else out
