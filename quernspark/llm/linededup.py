@@ -1,25 +1,21 @@
-"""Line dedup: winnowing over line hashes.
+"""Line dedup: winnowing over hashes of words in a row.
 
 A run of words counts as repeated if it has at least min_words words in a row and an earlier place
-has the same ones. Lines are cut further, so that a passage is found wherever it stands in a line:
-after words that end a sentence and, where more than LONG words follow one another without such an
-end, after words whose hash is the least of their neighbours' (the same words are cut alike in
-every text). Of each window, the shortest run of these short lines from any of them on that has a
-quarter of min_words, the least line hash is selected: the guaranteed fingerprint's place. The
-fingerprint itself is the hash of the lines from there on that have a quarter of min_words.
+has the same ones, whatever lines they stand in: passages also begin and end inside lines. Of each
+min_words words in a row, the part of half as many words with the least hash is selected (of equal
+ones the last): the guaranteed fingerprint. The same words have the same fingerprint in every text,
+so a run of min_words words is repeated only if its fingerprint is met twice.
 
 1. Fingerprints of all documents with their places.
-2. Fingerprints met once only go. Around the places of the others, each run of min_words words that
-   holds such a fingerprint gets a hash of its own words.
+2. Fingerprints met once only go. Each run of min_words words whose fingerprint is one of the others
+   gets a hash of its own words.
 3. A run of min_words words whose hash has an earlier place is deleted at the later one: each run is
    held against the first place of the whole run, so it does not matter how often its parts stand
    elsewhere before, and the number of rows stays linear however common a passage is.
 4. Places are ordered by id, then by word; where a run overlaps its first place in the same
    document, that place's min_words words stay.
 
-A common run is found in any case if it holds half of min_words and two short lines more in whole
-short lines; of a repeated passage that begins and ends inside sentences, only the two cut
-sentences don't count for that.
+No repeated run is missed. Runs are told apart by hashes of 64 bits.
 
 Defined cases: null texts stay null; empty texts and texts of fewer words stay as they are; rows
 that repeat an id and a text are one document, and get the same result; ids that are null come
@@ -38,133 +34,94 @@ from pyspark.sql import functions as F
 
 from .shared import stash, text_batches, text_key
 
-MIN_WORDS, LONG, NEAR = 50, 16, 5
+MIN_WORDS = 50
 BASE = 0x9E3779B97F4A7C15
-PLACE = "doc long, th long, start int, stop int, win long"
+PLACE = "doc long, th long, start int, win long"
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-END = re.compile(rb"\n|(?<=[.!?])[\x20\x09-\x0d]")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, 7) for x in words], dtype=np.uint64).view(np.int64)
 
 
-def cuts(lines: list[list[bytes]]) -> list[list[int]]:
-    """Of each line, before which words it is cut: after those whose hash is below those of the NEAR
-    words before, and not above those of the NEAR words after."""
-    flat, begins, none = [], [], 2**64 - 1
-    for words in lines:
-        flat += [none] * NEAR
-        begins.append(len(flat))
-        flat += map(xxhash.xxh64_intdigest, words)
-    own = np.array(flat + [none] * NEAR, dtype=np.uint64)
-    least = own != none
-    for k in range(1, NEAR + 1):
-        least[k:] &= own[k:] < own[:-k]
-        least[:-k] &= own[:-k] <= own[k:]
-    at = np.flatnonzero(least)
-    return [(x - b + 1).tolist() for x, b in zip(np.split(at, np.searchsorted(at, begins[1:])), begins)]
-
-
-def short_lines(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the short lines, numbers of the words they end before)."""
-    hashes, sizes = [], []
-    lines = [words for words in map(bytes.split, END.split(raw)) if words]
-    inner = iter(cuts([words for words in lines if len(words) > LONG]) if lines else [])
-    for words in lines:
-        at = 0
-        for end in [*(next(inner) if len(words) > LONG else []), len(words)]:
-            if end > at:
-                hashes.append(xxhash.xxh64_intdigest(b" ".join(words[at:end]), 7))
-                sizes.append(end - at)
-                at = end
-    return np.array(hashes, dtype=np.uint64).view(np.int64), np.cumsum(sizes, dtype=np.int64)
-
-
-def fingerprints(text: str, least: int) -> list[np.ndarray]:
-    """[first words, last words, hashes] of the runs from the selected lines on."""
-    hashes, ends = short_lines(text.encode("utf-8", "surrogatepass"))
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    stops = np.searchsorted(ends, starts + least)  # the first line end with enough words
-    n = int(np.searchsorted(stops, len(ends)))  # windows that the text holds
-    best, at = np.arange(n), np.arange(n)
-    for step in range(1, int((stops[:n] - at).max()) + 1 if n else 0):
-        at = at[at + step <= stops[at]]
-        less = at[hashes[at + step] <= hashes[best[at]]]  # of equal minima the last
-        best[less] = less + step
-    chosen = np.unique(best)
-    chosen = chosen[chosen < n]
-    runs = [xxhash.xxh64_intdigest(hashes[a : b + 1].tobytes(), 11) for a, b in zip(chosen.tolist(), stops[chosen].tolist())]
-    return [starts[chosen], ends[stops[chosen]] - 1, np.array(runs, dtype=np.uint64).view(np.int64)]
-
-
-def places(docs: DataFrame, least: int) -> DataFrame:
-    def frame(docs, parts):
-        n = [len(p[0]) for _, p in parts]
-        start, stop, win = (np.concatenate([p[k] for _, p in parts]) for k in range(3))
-        doc = pd.Series([docs[i][0] for i, _ in parts], dtype="Int64").repeat(n).reset_index(drop=True)
-        return pd.DataFrame({"doc": doc, "th": np.repeat([docs[i][1] for i, _ in parts], n), "start": start.astype(np.int32), "stop": stop.astype(np.int32), "win": win})
-
-    def make(batches):
-        for pdf in batches:
-            docs = [(None if pd.isna(d) else int(d), t) for d, t in zip(pdf["doc"], pdf["th"])]
-            parts = []
-            for i, text in enumerate(pdf["text"]):
-                parts.append((i, fingerprints(text, least)))
-                if sum(len(p[0]) for _, p in parts[-50:]) > 20_000:
-                    yield frame(docs, parts)
-                    parts = []
-            if parts:
-                yield frame(docs, parts)
-
-    return docs.where("text is not null").select("doc", "th", "text").mapInPandas(make, PLACE)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(BASE ** k, BASE ** -k) modulo 2 ** 64 for k below n."""
-    out = np.array([[BASE], [pow(BASE, -1, 2**64)]], dtype=np.uint64).repeat(n, axis=1)
-    out[:, :1] = 1
-    return tuple(np.multiply.accumulate(out, axis=1))
-
-
-def whole_runs(words: list[bytes], starts, stops, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the runs of n words that hold one of the given places."""
-    last = len(words) - n
-    if last < 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    starts, stops = np.asarray(starts, dtype=np.int64), np.asarray(stops, dtype=np.int64)
-    lo, hi = np.clip(np.minimum(starts, stops - n + 1), 0, last), np.clip(np.maximum(starts, stops - n + 1), 0, last)
-    asked = np.zeros(last + 2, dtype=np.int64)
-    np.add.at(asked, lo, 1)
-    np.add.at(asked, hi + 1, -1)
-    at = np.flatnonzero(np.cumsum(asked[:-1]))
-    up, down = powers(len(words))
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+def row_hashes(words: list[bytes], *sizes: int) -> list[np.ndarray]:
+    """For each size, the hashes of all runs of so many words: polynomials of the words' hashes modulo 2 ** 64."""
+    n = len(words)
+    power = np.array([[BASE], [pow(BASE, -1, 2**64)]], dtype=np.uint64).repeat(n, axis=1)
+    power[:, :1] = 1
+    up, down = np.multiply.accumulate(power, axis=1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(word_hashes(words).view(np.uint64) * up, out=sums[1:])
-    x = (sums[at + n] - sums[at]) * down[at]
-    return at, (x ^ (x >> np.uint64(31))).view(np.int64)
+    out = []
+    for size in sizes:
+        x = (sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(x ^ (x >> np.uint64(29)))
+    return out
+
+
+def least_places(parts: np.ndarray, n: int) -> np.ndarray:
+    """Of each n successive parts the place of the least, of equal ones the last."""
+    out = [np.empty(0, np.int64)]
+    for at in range(0, len(parts) - n + 1, 1 << 16):  # bounded, however long the text
+        windows = np.lib.stride_tricks.sliding_window_view(parts[at : at + (1 << 16) + n - 1], n)
+        out.append(at + np.arange(len(windows)) + n - 1 - windows[:, ::-1].argmin(axis=1))
+    return np.concatenate(out)
+
+
+def fingerprints(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the fingerprints of all runs of n words."""
+    words, part = text.encode("utf-8", "surrogatepass").split(), max(1, n // 2)
+    if len(words) < n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    (hashes,) = row_hashes(words, part)
+    at = np.unique(least_places(hashes, n - part + 1))
+    return at, hashes[at].view(np.int64)
 
 
-def run_hashes(docs: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
-    """(hash, doc, th, at): the runs of min_words words around the asked places (doc, th, start, stop)."""
-    asked = asked.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
-    asked = asked.select(F.col("doc").alias("a_doc"), F.col("th").alias("a_th"), F.col("runs.start").alias("starts"), F.col("runs.stop").alias("stops"))
-    met = docs.join(asked.hint("merge"), (F.col("th") == F.col("a_th")) & F.col("doc").eqNullSafe(F.col("a_doc"))).select("doc", "th", "text", "starts", "stops")
+def by_document(docs: DataFrame, make, schema: str) -> DataFrame:
+    """Rows (doc, th, at, hash) from make(text, ...), which gives places and hashes."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def frame(parts):
+        n = [len(at) for _, _, at, _ in parts]
+        doc = pd.Series([d for d, _, _, _ in parts], dtype="Int64").repeat(n).reset_index(drop=True)
+        columns = (doc, np.repeat([th for _, th, _, _ in parts], n), np.concatenate([p[2] for p in parts]).astype(np.int32), np.concatenate([p[3] for p in parts]))
+        return pd.DataFrame(dict(zip(names, columns)))
 
-    def around(batches):
+    def rows(batches):
         for pdf in batches:
             parts, held = [], 0
-            for doc, th, text, starts, stops in zip(*(pdf[c] for c in pdf.columns)):
-                at, hashes = whole_runs(text.encode("utf-8", "surrogatepass").split(), starts, stops, min_words)
-                parts.append(pd.DataFrame({"hash": hashes, "doc": pd.array([None if pd.isna(doc) else int(doc)], dtype="Int64").repeat(len(at)), "th": np.full(len(at), th, dtype=np.int64), "at": at.astype(np.int32)}))
-                held += len(at)
+            for doc, th, *given in zip(*(pdf[c] for c in pdf.columns)):
+                parts.append((None if pd.isna(doc) else int(doc), th, *make(*given)))
+                held += len(parts[-1][2])
                 if held > 50_000:
-                    yield pd.concat(parts)
+                    yield frame(parts)
                     parts, held = [], 0
             if held:
-                yield pd.concat(parts)
+                yield frame(parts)
+
+    return docs.mapInPandas(rows, schema)
 
-    return met.mapInPandas(around, "hash long, doc long, th long, at int")
+
+def places(docs: DataFrame, n: int) -> DataFrame:
+    return by_document(docs.where("text is not null").select("doc", "th", "text"), lambda text: fingerprints(text, n), PLACE)
+
+
+def whole_runs(text: str, asked, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the runs of n words whose fingerprint is at one of the asked places."""
+    part = max(1, n // 2)
+    parts, runs = row_hashes(text.encode("utf-8", "surrogatepass").split(), part, n)
+    at = np.flatnonzero(np.isin(least_places(parts, n - part + 1), asked))
+    return at, runs[at].view(np.int64)
+
+
+def run_hashes(docs: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
+    """(doc, th, at, hash): the runs of min_words words whose fingerprints are asked (doc, th, start)."""
+    asked = asked.groupBy("doc", "th").agg(F.collect_set("start").alias("starts"))
+    asked = asked.select(F.col("doc").alias("a_doc"), F.col("th").alias("a_th"), "starts")
+    met = docs.join(asked.hint("merge"), (F.col("th") == F.col("a_th")) & F.col("doc").eqNullSafe(F.col("a_doc"))).select("doc", "th", "text", "starts")
+    return by_document(met, lambda text, starts: whole_runs(text, starts, min_words), "doc long, th long, at int, hash long")
 
 
 def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -173,11 +130,11 @@ def repeated_runs(docs: DataFrame, key="doc_id", text="text", min_words: int = M
     """
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), text_key(F.col(text)).alias("th"), F.col(text).alias("text"))
-    place = stash(places(slim, max(1, min_words // 4)), "lines")
+    place = stash(places(slim, min_words), "lines")
     often = place.groupBy("win").count().where("count > 1").select("win")
     kept = place.join(often.hint("merge"), "win", "left_semi")
     # one shuffle of the runs by hash serves both sides; they are joined by merging at every size
-    rows = stash(run_hashes(slim, kept.select("doc", "th", "start", "stop"), min_words), "lines").repartition("hash")
+    rows = stash(run_hashes(slim, kept.select("doc", "th", "start"), min_words), "lines").repartition("hash")
     spot = F.struct("doc", "th", "at")
     first = rows.groupBy("hash").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).where(~F.col("f").eqNullSafe(F.col("l"))).select("hash", "f")
     match = rows.join(first.hint("merge"), "hash").where(~F.col("f").eqNullSafe(spot))
