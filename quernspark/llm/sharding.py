@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import shared_dir, stash
 
@@ -48,17 +49,23 @@ def shuffle_into_shards(rows: DataFrame, key: str, size: str, shards: int = 16,
 
 
 def write_shards(docs: DataFrame, path: str | None = None, shards: int = 16, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20) -> str:
-    """Write whole records as Parquet, a folder a shard; within it, slot gives the order. Returns the path."""
+    """Write whole records as Parquet, a folder a shard, with slot (the order in it) and grown_shard. Returns the path."""
     sized = docs.withColumn("__size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     out = shuffle_into_shards(sized, key, "__size", shards, bucket_bytes)
     path = path or shared_dir(docs.sparkSession, "sharded")
-    out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "slot", F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(path)
+    out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "slot", "grown_shard", F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(path)
     return path
 
 
+def read_shards(spark, path: str, schema: StructType) -> DataFrame:
+    """Records of that schema that write_shards wrote, with slot, grown_shard and __shard."""
+    return spark.read.schema(StructType(list(schema.fields)).add("slot", "long").add("grown_shard", "integer").add("__shard", "integer")).parquet(path)
+
+
 def op8_shard(spark, sf_dir: str) -> DataFrame:
+    """Whole records are scattered and written; size and checksum are those of the texts read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    back = read_shards(spark, write_shards(docs), docs.schema)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    out = shuffle_into_shards(rows, "doc_id", "size")
-    return out.select("row.*", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), F.col("__shard").alias("shard"), "slot", "grown_shard")
