@@ -36,7 +36,7 @@ def shuffle_into_shards(rows: DataFrame, key: str, size: str, shards: int = 16,
     """
     held = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), F.monotonically_increasing_id().alias("own"))
     held = held.withColumn("shard", rendezvous(F.col(f"row.{key}"), shards, seed)).withColumn("grown_shard", rendezvous(F.col(f"row.{key}"), shards + 1, seed))
-    held = stash(held, "shards")
+    held = stash(held, "shards", "zstd")
     total = held.agg(F.count("*"), F.sum(f"row.{size}")).first()
     buckets = max(1, -(-max((total[1] or 0) // bucket_bytes, total[0] // bucket_rows) // shards) + 1)
     held = held.withColumn("bucket", F.pmod(F.xxhash64("own", F.lit(seed)), F.lit(buckets)).cast("int"))
@@ -53,7 +53,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = 16, key
     sized = docs.withColumn("__size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     out = shuffle_into_shards(sized, key, "__size", shards, bucket_bytes)
     path = path or shared_dir(docs.sparkSession, "sharded")
-    out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "slot", "grown_shard", F.col("shard").alias("__shard")).write.partitionBy("__shard").parquet(path)
+    out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "slot", "grown_shard", F.col("shard").alias("__shard")).write.partitionBy("__shard").option("compression", "zstd").parquet(path)
     return path
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +30,17 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The shuffle files behind it go as soon as it is written, as nothing reads them again.
+    The shuffle files behind it go as soon as it is written, as nothing reads them again. Whole texts
+    are best written with codec "zstd".
     """
     spark, path, cleanup = df.sparkSession, shared_dir(df.sparkSession, tag), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup)
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,6 +53,19 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def whole_number(x: str | None) -> int | None:
+    """An id that went to Python as text."""
+    return None if x is None else int(x)
+
+
+def frame_of(rows: list, schema: str) -> pd.DataFrame:
+    """rows (tuples in the order of schema, or dicts) as pandas columns that keep 64-bit numbers beside nulls."""
+    kinds = dict(x.split(" ") for x in schema.split(", "))
+    whole = {"long": "Int64", "int": "Int32"}
+    columns = {name: [r[name] for r in rows] for name in kinds} if rows and isinstance(rows[0], dict) else dict(zip(kinds, zip(*rows) if rows else [()] * len(kinds)))
+    return pd.DataFrame({name: pd.array(list(x), dtype=whole[kinds[name]]) if kinds[name] in whole else pd.Series(list(x), dtype=object if kinds[name] != "double" else float) for name, x in columns.items()})
+
+
 def text_key(text: Column) -> Column:
     """A second key beside the id, so that rows with one id and different texts stay apart."""
     return F.xxhash64(text)
