@@ -20,12 +20,11 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import frame_of, text_batches, whole_number
 
 CAPACITY, BLOCK, REMEMBERED = 2048, 4096, 150_000
 _CLOSE_BLANKS = re.compile(r" (?:\s|$)")
@@ -184,34 +183,27 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
 
     def pack(batches):
         encoder, packer = encoder_for(vocabulary, remembered), BlockPacker(capacity, TaskContext.get().partitionId() << 40)
-        names = [x.split()[0] for x in schema.split(", ")]
-
         def rows(placed):
             for sequence, offset, ((doc, tokens), start, ids) in placed:
                 yield doc, start, len(ids), zlib.crc32(ids.tobytes()) if digest_only else ids.astype(np.int32), tokens, sequence, offset
 
-        def frame(out):
-            made = pd.DataFrame(out, columns=names)
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            return made
-
         out: list[tuple] = []
         for pdf in batches:
             for doc, words in zip(pdf["key"], pdf["text"]):
                 ids = np.append(encoder.ids(words or ""), np.uint32(end_id)).astype("<u4")
-                row = (None if pd.isna(doc) else int(doc), len(ids))
+                row = (whole_number(doc), len(ids))
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity].copy()
                     out.extend(rows((packer.whole if len(part) == capacity else packer.add)((row, start, part))))
                 if len(out) > 500:
-                    yield frame(out)
+                    yield frame_of(out, schema)
                     out = []
         out.extend(rows(packer.finish()))
         if out:
-            yield frame(out)
+            yield frame_of(out, schema)
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(pack, schema)
+    return docs.select(F.col(key).cast("long").cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(pack, schema)  # ids as text: pandas would make floats of a column with nulls
 
 
 def default_vocabulary() -> str:

@@ -7,7 +7,7 @@ others are revisit records, which carry the HTTP header but no payload.
 
 Reading: a sequential reader takes the file in blocks, inflates one member at a time with an
 incremental decompressor, frames the record by its Content-Length and checks its digests. Memory
-holds one record and one block, whatever the size of the archive.
+holds one record and one block, whatever the size of the archive; a record may have MOST bytes.
 
 Defined cases: a null payload is empty; a null id gives a record without one; rows that repeat an
 id are repeated records; an empty table gives archives without records.
@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stash
+from .shared import frame_of, shared_dir, stash, whole_number
 
-REVISIT_BYTES, BLOCK = 100, 1 << 20
+REVISIT_BYTES, BLOCK, STEP, MOST = 100, 1 << 20, 1 << 14, 1 << 31
 DATE = "1970-01-01T00:00:00Z"  # archives depend on their input alone
+RECORD = "key long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+NAMES = [x.split()[0] for x in RECORD.split(", ")]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -51,20 +53,23 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(stream, block: int = BLOCK) -> Iterator[bytes]:
-    """The inflated members of a gzip stream, one after the other."""
-    data, z, out = b"", zlib.decompressobj(31), []
-    while True:
-        if not data and not (data := stream.read(block)):
-            if out or z.unconsumed_tail:
-                raise ValueError("the archive ends inside a record")
-            return
-        out.append(z.decompress(data))
-        data = b""
-        if z.eof:
-            data = z.unused_data
-            yield b"".join(out)
-            z, out = zlib.decompressobj(31), []
+def members(stream, block: int = BLOCK, most: int = MOST) -> Iterator[bytes]:
+    """The inflated members of a gzip stream, one after the other; one of more than most bytes raises."""
+    z, out, held, begun = zlib.decompressobj(31), [], 0, False
+    while data := stream.read(block):
+        at = 0
+        while at < len(data):  # in small steps: what follows a member is copied once a step
+            part = data[at : at + STEP]
+            out.append(z.decompress(part, most - held + 1))
+            held, begun = held + len(out[-1]), True
+            if held > most:
+                raise ValueError("a record is larger than it may be")
+            at += len(part) - len(z.unused_data)
+            if z.eof:
+                yield b"".join(out)
+                z, out, held, begun = zlib.decompressobj(31), [], 0, False
+    if begun:
+        raise ValueError("the archive ends inside a record")
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -91,11 +96,12 @@ def read_record(data: bytes) -> dict:
     if kind == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a payload has another digest")
     number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    return {"key": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to")}
+    kept = payload if kind == "response" else None
+    return dict(zip(NAMES, (number("warc-record-id"), fields.get("warc-target-uri"), kept, length, digest, kind, number("warc-refers-to"))))
 
 
 def write_archives(pages: DataFrame, key="page_id", url="url", payload="html", path: str | None = None) -> DataFrame:
-    """Write all rows; (archive, records) of each archive. Payloads are shuffled once at most, by id."""
+    """Write all rows; (archive, records) of each archive. Payloads are shuffled once at most, by digest."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
@@ -104,7 +110,10 @@ def write_archives(pages: DataFrame, key="page_id", url="url", payload="html", p
     first = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     first = stash(first.where("n > 1 and first is not null").drop("n"), "warc")
     rows = rows.join(first, "digest", "left")  # a digest with very many rows is split by adaptive execution
-    # a revisit keeps its payload's length only
+    # ids go to Python as text: pandas would make floats of a column of numbers with nulls
+    refers = F.when(~F.col("key").eqNullSafe(F.col("first")), F.col("first"))
+    rows = rows.select(F.col("key").cast("string").alias("key"), "url", "payload", "digest", refers.cast("string").alias("refers"))
+
     def write(batches):
         target, base = fs.FileSystem.from_uri(path)
         target.create_dir(base, recursive=True)
@@ -112,10 +121,8 @@ def write_archives(pages: DataFrame, key="page_id", url="url", payload="html", p
         name, n = f"{base}/part-{part:06d}.warc.gz", 0
         with target.open_output_stream(f"{name}.{attempt}.tmp", compression=None) as out:
             for pdf in batches:
-                for k, u, body, digest, first in zip(*(pdf[c] for c in ("key", "url", "payload", "digest", "first"))):
-                    k = None if pd.isna(k) else int(k)
-                    refers = None if pd.isna(first) or k == int(first) else int(first)
-                    out.write(gzip_member(record_bytes(k, u, bytes(body), digest, refers)))
+                for k, u, body, digest, refers in zip(*(pdf[c] for c in ("key", "url", "payload", "digest", "refers"))):
+                    out.write(gzip_member(record_bytes(whole_number(k), u, bytes(body), digest, whole_number(refers))))
                     n += 1
         target.move(f"{name}.{attempt}.tmp", name)
         yield pd.DataFrame({"archive": [f"{path}/part-{part:06d}.warc.gz"], "records": [n]})
@@ -123,9 +130,6 @@ def write_archives(pages: DataFrame, key="page_id", url="url", payload="html", p
     return stash(rows.mapInPandas(write, "archive string, records long"), "warc")
 
 
-RECORD = "key long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-
-
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row for each record of the files in column archive, an archive to a task."""
 
@@ -141,20 +145,15 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                         if not with_payload:
                             rows[-1]["payload"] = None
                         if held > 8 << 20 or len(rows) == 2000:
-                            yield _frame(rows)
+                            yield frame_of(rows, RECORD)
                             rows, held = [], 0
                     if rows:
-                        yield _frame(rows)
+                        yield frame_of(rows, RECORD)
 
     n = max(1, archives.count())
     return archives.select("archive").repartition(n, "archive").mapInPandas(read, RECORD)
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-    return out.astype({"key": "Int64", "refers_to": "Int64", "payload": object, "url": object})
-
-
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     rows = read_archives(archives, with_payload=False)
