@@ -67,7 +67,7 @@ def powers(n: int) -> np.ndarray:
 
 
 def stretch_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each stretch values[lo[i]:hi[i]] (lo and hi ascending): a polynomial modulo 2 ** 64, mixed.
+    """A 64-bit hash of each stretch values[lo[i]:hi[i]] (lo and hi ascending, some may be empty): a polynomial modulo 2 ** 64, mixed.
 
     Worked off in blocks, so that memory beside the values follows the longest stretch.
     """
@@ -77,10 +77,10 @@ def stretch_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, table: np
         if i == j:
             continue
         at, stop = lo[i], hi[j - 1]
-        up, down = powers(stop - at)
+        up, down = powers(stop - at + 1)
         part = values[at:stop] if table is None else table[values[at:stop]]
         sums = np.zeros(stop - at + 1, dtype=np.uint64)
-        np.cumsum(part * up, out=sums[1:])
+        np.cumsum(part * up[:-1], out=sums[1:])
         out[i:j] = (sums[hi[i:j] - at] - sums[lo[i:j] - at]) * down[lo[i:j] - at]
     out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(29))
