@@ -6,15 +6,20 @@ multi-sequence traversal, i.e. by the sum of the two halves' squared distances,
 calibration on the fitting sample needs for the target recall (LEAST_VISITS at least), and verifies the cosine in double
 precision. Only vectors with the same label are compared.
 
-Codebooks and the number of visits are fitted on at most SAMPLE vectors, chosen by a hash; every
-vector is indexed and every vector asks. The number of codewords follows the number of vectors, so
-that a cell's expected size stays the same. Cells with very many vectors are cut into tiles, and each
-asker meets every tile: groups are bounded and no pair is lost. A group returns counts and a
-spanning forest of its links, never the pairs.
+Equal vectors of a label are one from here on, with their number. Codebooks and the number of visits
+are fitted on at most SAMPLE of these, chosen by a hash; every vector is indexed and every vector
+asks. Before the codebooks are fitted the sample is thinned: of vectors that link with each other one
+stays, so that a large group of near copies takes few codewords. The calibration finds, for each link
+of the sample, how many cells its asker visits until it comes to it, each asker with the same weight;
+there is no cap on the visits but the number of cells. The number of codewords follows the number of
+vectors, so that a cell's expected size stays the same (CELL), up to MAX_CODES codewords a half. Cells
+with very many vectors are cut into tiles, and each asker meets every tile: groups are bounded and no
+pair is lost. A group returns counts and a spanning forest of its links, never the pairs.
 
 Defined cases: vectors that are null, zero, of a wrong length, or hold null or non-finite
 components link with nothing, nor do those with a null label. Rows that repeat a vec_id are one vector
-(the least by label and components). A null vec_id is a vector without links. Equal vectors link.
+(the least by label and components of those that can link). Each row with a null vec_id is a vector
+without links. Equal vectors link.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, min_labels, stash
 
-SAMPLE, CELL, TILE, MAX_CODES, LEAST_VISITS = 20_000, 128, 2048, 1024, 4
+SAMPLE, CELL, TILE, LEAST_CODES, MAX_CODES, LEAST_VISITS = 20_000, 16, 2048, 4, 2048, 4
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -70,41 +75,78 @@ class MultiIndex:
         return np.take_along_axis(a * len(self.second) + b, best, 1)
 
 
+def thinned(sample: np.ndarray, labels: np.ndarray, threshold: float) -> np.ndarray:
+    """Of the vectors of a label that link with each other about one, in the order of the sample."""
+    out = []
+    for name in np.unique(labels):
+        x = sample[labels == name]
+        kept = x[:0]
+        for at in range(0, len(x), 512):
+            part = x[at : at + 512]
+            part = part[~(part @ kept.T >= threshold).any(axis=1)]
+            kept = np.concatenate([kept, part[~np.tril(part @ part.T >= threshold, -1).any(axis=1)]])
+        out.append(kept)
+    return np.concatenate(out)
+
+
+def visits_until(index: MultiIndex, asker: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """How many cells each asker visits until it comes to the cell in which the vector met lies."""
+    half, out = index.half, []
+    for at in range(0, len(asker), 256):
+        x, y = asker[at : at + 256], met[at : at + 256]
+        d1, d2 = squared(x[:, :half], index.first), squared(x[:, half:], index.second)
+        c1, c2 = nearest(y[:, :half], index.first), nearest(y[:, half:], index.second)
+        rows = np.arange(len(x))
+        bound = d1[rows, c1] + d2[rows, c2]
+        d2.sort(axis=1)
+        out += [int(np.searchsorted(b, t - a + 1e-12, side="right").sum()) for a, b, t in zip(d1, d2, bound)]
+    return np.array(out, dtype=np.int64)
+
+
 def fit(sample: np.ndarray, labels: np.ndarray, n: int, n_labels: int, threshold: float, target: float, seed: int = 5) -> MultiIndex:
     """Codebooks for n vectors, and the visits that find target of the sample's links in both directions."""
     rng, dim = np.random.default_rng(seed), sample.shape[1]
-    codes = int(np.clip(np.sqrt(n / max(1, n_labels) / CELL), 1, min(MAX_CODES, len(sample))))
-    half = (dim + 1) // 2
-    index = MultiIndex(kmeans(sample[:, :half], codes, rng), kmeans(sample[:, half:], codes, rng), 1)
-    asked = rng.permutation(len(sample))[: min(len(sample), 4000)]
-    most = min(codes * codes, 64)
-    seen, own = index.cells(sample[asked], most), index.cells(sample, 1)[:, 0]
-    rank = []
+    thin = thinned(sample, labels, threshold)
+    codes = int(np.clip(np.ceil(np.sqrt(n / max(1, n_labels) / CELL)), LEAST_CODES, MAX_CODES))
+    codes, half = min(codes, len(thin)), (dim + 1) // 2
+    index = MultiIndex(kmeans(thin[:, :half], codes, rng), kmeans(thin[:, half:], codes, rng), 1)
+    asked, askers, met, weight = rng.permutation(len(sample))[:4000], [], [], []
     for at in range(0, len(asked), 512):
         q = asked[at : at + 512]
-        i, j = np.nonzero((sample[q] @ sample.T >= threshold) & (labels[q][:, None] == labels[None]) & (q[:, None] != np.arange(len(sample))[None]))
-        hit = seen[at + i] == own[j][:, None]
-        rank.append(np.where(hit.any(1), hit.argmax(1) + 1, most + 1))
-    rank = np.sort(np.concatenate(rank))
+        link = (sample[q] @ sample.T >= threshold) & (labels[q][:, None] == labels[None]) & (q[:, None] != np.arange(len(sample))[None])
+        share = 1 / np.maximum(1, link.sum(axis=1))
+        link &= np.cumsum(link, axis=1) <= 8  # of a crowd the first eight speak for the rest
+        i, j = np.nonzero(link)
+        askers.append(q[i])
+        met.append(j)
+        weight.append(np.maximum(share, 1 / 8)[i])
+    askers, met, weight = (np.concatenate(x) for x in (askers, met, weight))
+    most = codes * codes
     index.visits = min(LEAST_VISITS, most)
-    if len(rank):
-        index.visits = int(np.clip(rank[min(len(rank) - 1, int(np.ceil(target * len(rank))))], min(LEAST_VISITS, most), most))
+    if len(askers):
+        rank = visits_until(index, sample[askers], sample[met])
+        order = np.argsort(rank, kind="stable")
+        reached = np.cumsum(weight[order]) / weight.sum()
+        index.visits = int(np.clip(rank[order][min(len(rank) - 1, int(np.searchsorted(reached, target)))], index.visits, most))
     return index
 
 
 def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="label", threshold: float = 0.98, target_recall: float = 0.999, tile: int = TILE) -> DataFrame:
-    """(key, n_links, component) of every distinct key."""
+    """(key, n_links, component) of every distinct key, and of each row without a key."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    rows = stash(rows.groupBy("key").agg(F.min(F.struct("label", "v")).alias("r")).select("key", "r.label", "r.v"), "vectors")
     dims = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = dims["d"] if dims else 0
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = rows.where(F.col("key").isNotNull() & F.col("label").isNotNull() & (F.size("v") == dim)).where(fine)
+    odd = ~F.coalesce(F.col("label").isNotNull() & (F.size("v") == dim) & fine, F.lit(False))
+    alone = rows.where("key is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+    rows = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(odd.alias("odd"), "label", "v")).alias("r"))
+    rows = stash(rows.select("key", "r.odd", "r.label", "r.v"), "vectors")
+    # equal vectors are one, under the least key; the others take over its links
+    good = stash(rows.where("not odd").groupBy("label", "v").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "vectors")
     n, n_labels = good.agg(F.count("*"), F.countDistinct("label")).first()
-    alone = rows.select("key")
     if not n:
-        return alone.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+        return rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component")).unionByName(alone)
     part = good.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))) if n > SAMPLE else good
     got = part.select("label", "v").toPandas()
     sample = unit(np.array(got["v"].tolist(), dtype=np.float64).reshape(-1, dim))
@@ -116,9 +158,9 @@ def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="la
             if len(pdf):
                 x = np.array(pdf["v"].tolist(), dtype=np.float64)
                 cells = shared.value.cells(unit(x))
-                yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "cells": list(cells.astype(np.int64)), "v": [r.tobytes() for r in x]})
+                yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "copies": pdf["copies"], "cells": list(cells.astype(np.int64)), "v": [r.tobytes() for r in x]})
 
-    placed = stash(good.mapInPandas(place, "key long, label string, cells array<long>, v binary"), "vectors")
+    placed = stash(good.mapInPandas(place, "key long, label string, copies long, cells array<long>, v binary"), "vectors")
     own = placed.withColumn("cell", F.col("cells")[0])
     hot = stash(own.groupBy("label", "cell").count().where(F.col("count") > tile).select("label", "cell", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "vectors")
     in_tiles = lambda df: df.join(hot, ["label", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
@@ -153,6 +195,7 @@ def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="la
             return
         m, a = (np.frombuffer(b"".join(x["v"]), dtype=np.float64).reshape(-1, dim) for x in (known, waiting))
         mk, ak = known["key"].to_numpy(), waiting["key"].to_numpy()
+        mc, ac = known["copies"].to_numpy(), waiting["copies"].to_numpy()
         m, a = unit(m), unit(a)
         back = np.array(known["cells"].tolist())  # cells that the members themselves visit
         home = np.array([c[0] for c in waiting["cells"]])
@@ -163,9 +206,9 @@ def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="la
             i += at
             other = ak[i] != mk[j]
             i, j = i[other], j[other]
-            np.add.at(links, len(mk) + i, 1)
+            np.add.at(links, len(mk) + i, mc[j])
             one_way = ~(back[j] == home[i][:, None]).any(axis=1) if len(i) else np.empty(0, bool)
-            np.add.at(links, j[one_way], 1)  # the member does not ask in the asker's cell, so it counts here
+            np.add.at(links, j[one_way], ac[i[one_way]])  # the member does not ask in the asker's cell, so it counts here
             labels = min_labels(len(keys), labels, len(mk) + i, j) if len(i) else labels
         if labels is None:
             return
@@ -174,9 +217,13 @@ def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="la
 
     found = stash(both.mapInPandas(verify, "key long, links long, to long"), "vectors")
     comps = connected_components(found.select(F.col("key").alias("a"), F.col("to").alias("b")))
-    counts = found.groupBy("key").agg(F.sum("links").alias("n_links"))
-    out = alone.join(counts, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left")
-    return out.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "key").alias("component"))
+    links = found.groupBy("key").agg(F.sum("links").alias("links")).join(comps.withColumnRenamed("node", "key"), "key", "left")
+    links = good.where("copies > 1").select("key", "copies").join(links, "key", "full")
+    links = stash(links.select(F.col("key").alias("least"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links"), F.coalesce("component", "key").alias("component")), "vectors")
+    own = good.where("copies > 1").select("label", "v", F.col("key").alias("least"))
+    out = rows.join(stash(own, "vectors"), ["label", "v"], "left").select("key", F.coalesce(F.when(~F.col("odd"), F.col("least")), "key").alias("least"))
+    out = out.join(links, "least", "left").select("key", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "key").alias("component"))
+    return out.unionByName(alone)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
