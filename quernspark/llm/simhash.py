@@ -3,10 +3,9 @@
 1. A fingerprint a document: of the hashes of its word shingles, a bit is 1 if set in over half.
 2. Equal fingerprints are one node from here on, however many documents share it.
 3. The distance table: for each distinct fingerprint the Hamming distances to many fixed reference
-   fingerprints. A further group of references has a single bit in one block; the distances to
-   those spell out the block's bits. Fingerprints at few differing bits must agree on some blocks,
-   so the distances on agreeing blocks are an equality key that Spark can shuffle by (no pair
-   within max_bits escapes it while blocks - agree >= max_bits).
+   fingerprints, the pivots. Pivots alone give Spark nothing to shuffle by, so pairs come from blocks
+   of bits: fingerprints at few differing bits must agree on some blocks, and those are an equality
+   key (no pair within max_bits escapes it while blocks - agree >= max_bits).
 4. Within a key, a pair is discarded if its rows in the table differ by more than max_bits in any
    coordinate (triangle inequality), and the survivors are verified on their bits.
 5. Each task returns a spanning forest of what it links, not the pairs; components are joined by
@@ -15,7 +14,7 @@
 
 Defined cases: null and empty texts (no words) have fingerprint zero and are linked like any other;
 fewer words than a shingle hash as one; rows that repeat an id share one result each; rows with a
-null id get their group's component but never name it. An empty table gives an empty result.
+null id link others and get their group's component but never name it (null if no row of it has an id). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -172,13 +171,17 @@ def simhash_components(docs: DataFrame, key="doc_id", text="text", shingle: int
     """(key, fp, component) for every row of docs. Without blocks and agree, no link within max_bits is lost."""
     text_batches(docs.sparkSession)
     slim = stash(docs.select(F.col(key).cast("long").alias("key"), simhash(F.col(text), shingle, words).alias("fp")), "simhash")
-    nodes = stash(slim.groupBy("fp").agg(F.min("key").alias("rep")), "simhash")
+    # a node is the fingerprint itself, so that rows without an id link others as well
+    node = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
+    nodes = stash(slim.groupBy("fp").agg(F.min("key").alias("least")).withColumn("rep", node), "simhash")
     if blocks is None:
         blocks, agree = plan_blocks(nodes.count(), max_bits)
-    keyed = key_rows(nodes.where("rep is not null"), blocks, agree, words, key_words)
+    keyed = key_rows(nodes, blocks, agree, words, key_words)
     comps = connected_components(near_links(keyed, words, max_bits))
-    named = nodes.join(comps, nodes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return slim.join(named, "fp").select("key", "fp", "component")
+    named = nodes.join(comps, nodes["rep"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "rep").alias("name"))
+    named = stash(named, "simhash")
+    least = named.groupBy("name").agg(F.min("least").alias("component"))
+    return slim.join(named.join(least, "name").select("fp", "component"), "fp").select("key", "fp", "component")
 
 
 def keep_one_of_each(docs: DataFrame, key="doc_id", text="text", shingle: int = 5, **how) -> DataFrame:
