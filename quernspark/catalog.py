@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunk, diagnose, evaluate, generate, retrieve
+from .operators import chunk, diagnose, evaluate, generate, judge, retrieve, validate
 from .plans import ask
 
 
@@ -107,7 +107,6 @@ def sources_set(spark, sf):
 
 
 def answers(spark, sf):
-    """Rows only: the default model's sentence choice has no SQL twin here."""
     out = ask.ask(_questions(spark, sf), _docs(spark, sf), _vectors(spark, sf), _queries(spark, sf))
     return out.select("query_id", "answer", F.array_join("sources", ",").alias("sources"), F.length("prompt").alias("prompt_chars"))
 
@@ -129,17 +128,98 @@ def answerable_split(spark, sf):
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _examples(spark, sf):
+    """Benchmark items as examples: each document that holds the item is an accepted gold, by its source."""
+    items, sources = _read(spark, sf, "benchmark"), _read(spark, sf, "documents", "doc_id", "source")
+    held = _golds(spark, sf).join(sources, "doc_id")
+    held = held.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source"))).alias("g"))
+    rows = items.join(held, "item_id", "left")
+    known = F.col("g").isNotNull()
+    answer = F.when(known, F.substring("text", 1, 40)).otherwise(T.REFUSAL)
+    other = F.transform(
+        F.slice("g", F.lit(2), F.greatest(F.size("g") - 1, F.lit(0))),
+        lambda g: F.struct(answer.alias("ground_truth_answer"), F.col("text").alias("source_passage"), g["source"].alias("source_file")),
+    )
+    return rows.select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), answer.alias("ground_truth_answer"),
+        F.when(known, F.col("text")).otherwise("").alias("source_passage"), F.when(known, F.col("g")[0]["source"]).otherwise("").alias("source_file"),
+        F.when(known, "simple").otherwise("unanswerable").alias("query_type"), other.alias("alt_golds"),
+    )
+
+
+def _runs(spark, sf):
+    """Runs of the four modes: contexts in rank order, sources, the default model's answer."""
+    key = F.concat_ws("::", "mode", F.col("query_id").cast("string"))
+    ranked = _ranked(spark, sf).withColumn("query_id", key)
+    found = generate.contexts(ranked, _docs(spark, sf)).withColumn("id", F.split("query_id", "::")[1])
+    asked = _examples(spark, sf).select("id", "query_type", "question")
+    rows = found.join(asked, "id").withColumn("answer", generate.extractive(F.col("question"), F.col("chunks")))
+    texts = F.transform("chunks", lambda c: c["text"]).alias("contexts")
+    return rows.select("id", F.split("query_id", "::")[0].alias("mode"), "query_type", "question", "answer", texts, "sources")
+
+
 def _facts(spark, sf):
-    """Facts of each (mode, question): does any gold document, or its source, stand in the context?"""
-    ranked = _ranked(spark, sf)
-    docs = _docs(spark, sf).select("chunk_id", "source")
-    gold = _golds(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id")).join(docs, "chunk_id")
-    files = gold.select("query_id", "source").distinct().withColumn("in_file", F.lit(True))
-    rows = ranked.join(docs, "chunk_id").join(gold.select("query_id", "chunk_id").withColumn("in_passage", F.lit(True)), ["query_id", "chunk_id"], "left").join(files, ["query_id", "source"], "left")
-    hits = rows.groupBy("mode", "query_id").agg(F.max(F.coalesce("in_file", F.lit(False))).alias("f"), F.max(F.coalesce("in_passage", F.lit(False))).alias("p"))
-    known = gold.select("query_id").distinct().withColumn("answerable", F.lit(True))
-    out = hits.join(known, "query_id", "left").fillna(False, "answerable")
-    return out.select("mode", F.col("query_id").alias("id"), "answerable", F.when(F.col("answerable"), F.col("f")).alias("file_hit"), F.when(F.col("answerable"), F.col("p")).alias("passage_hit"))
+    return evaluate.run_facts(_runs(spark, sf), evaluate.golds(_examples(spark, sf)))
+
+
+def judge_input(spark, sf):
+    rows = judge.judge_input(_runs(spark, sf), _examples(spark, sf))
+    digests = [F.md5(c).alias(f"{c}_md5") for c in ("reference", "response")]
+    return rows.select("mode", "id", F.col("gold_idx").cast("long").alias("gold_idx"), *digests, F.size("retrieved_contexts").cast("long").alias("contexts"))
+
+
+def _scores(spark, sf):
+    return judge.judged(judge.judge_input(_runs(spark, sf), _examples(spark, sf)))
+
+
+def judged_runs(spark, sf):
+    return _scores(spark, sf).select("mode", "id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
+
+
+def run_facts(spark, sf):
+    return _facts(spark, sf).select("mode", "id", "answerable", "refused", "file_hit", "passage_hit", "gold_source")
+
+
+def call_budget(spark, sf):
+    return evaluate.call_budget(_runs(spark, sf).where("query_type <> 'unanswerable'")).select(F.col("strong").cast("long").alias("strong"), "light")
+
+
+def right_file(spark, sf):
+    return diagnose.right_file_wrong_passage(_facts(spark, sf)).select("mode", F.array_join("ids", ",").alias("ids"))
+
+
+def diagnosed_runs(spark, sf):
+    rows = diagnose.with_facts(_scores(spark, sf), _facts(spark, sf)).withColumn("diagnosis", diagnose.diagnosis())
+    return diagnose.histogram(rows)
+
+
+def rescored(spark, sf):
+    """Golds of items with several accepted ones count as changed; before, both metrics were a quarter."""
+    examples, runs = _examples(spark, sf), _runs(spark, sf)
+    old = _scores(spark, sf).withColumns({m: F.lit(0.25) for m in evaluate.REF_DEPENDENT})
+    new = judge.rescore(old, runs, examples, examples.where(F.size("alt_golds") > 0))
+    return evaluate.rescored(old, new).select("mode", "id", *[F.round(m, 6).alias(m) for m in evaluate.REF_DEPENDENT])
+
+
+def side_by_side(spark, sf):
+    out = retrieve.side_by_side(_docs(spark, sf), _questions(spark, sf), _vectors(spark, sf), _queries(spark, sf))
+    return out.select("query_id", "list", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
+def _flawed(spark, sf):
+    """The examples with a flaw in six of seven, by id."""
+    rows, kind = _examples(spark, sf), F.col("id").cast("long") % 7
+    flaws = {"question": (1, " \t"), "query_type": (2, "odd"), "ground_truth_answer": (3, " "), "source_file": (4, "nowhere"), "source_passage": (5, " "), "id": (6, None)}
+    return rows.select("*", kind.alias("kind")).withColumns({c: F.when(F.col("kind") == k, F.lit(v)).otherwise(F.col(c)) for c, (k, v) in flaws.items()}).drop("kind")
+
+
+def eval_violations(spark, sf):
+    chunks = _read(spark, sf, "documents", "source", F.col("doc_id").alias("pos"), "text")
+    return validate.violations(_flawed(spark, sf), chunks).groupBy("id", "problem").agg(F.count("*").alias("n"))
+
+
+def type_targets(spark, sf):
+    return validate.type_counts(_flawed(spark, sf)).select("query_type", "low", "high", "n", "ok")
 
 
 def hit_rates(spark, sf):
@@ -230,8 +310,8 @@ def summary_grid(spark, sf):
 def eval_validate(spark, sf):
     """The rules on documents as examples: blank texts, repeated texts, unknown languages, size off."""
     d = _read(spark, sf, "documents")
-    first = F.min("doc_id").over(Window.partitionBy(F.md5(T.norm_blanks(F.col("text")))))
-    rows = d.withColumn("first", first)
+    d = d.withColumn("same", F.md5(T.norm_blanks(F.col("text"))))
+    rows = d.join(d.groupBy("same").agg(F.min("doc_id").alias("first")), "same")
     rules = {"blank": T.norm_blanks(F.col("text")) == "", "repeated": F.col("first") != F.col("doc_id"), "unknown language": ~F.col("lang").isin("en", "de", "fr", "es"), "length": F.col("n_chars") != F.length("text")}
     told = F.explode(F.filter(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in rules.items()]), lambda x: x.isNotNull()))
     return rows.select("doc_id", told.alias("problem"))
@@ -293,6 +373,16 @@ def verdict_shares(spark, sf):
     return out.select(F.col("id").alias("source"), F.round("faithfulness", 6).alias("faithfulness"))
 
 
-QUERIES = {f.__name__: f for f in (html_clean, html_flat, tokenize, norm_text, doc_stats, term_stats, bm25_top20, l2_top20, rrf_fusion, rerank_top5, mode_topn_ablation, context_block, sources_set, answers, gold_expand, answerable_split, hit_rates, refusal_rate, turn_pairs, percentile_latency, ablation_table, collapse_multi_ref, poison_guard, diagnosis_hist, failure_rows, abstention, worst_n, rerank_delta, summary_grid, eval_validate, type_counts, window_chunks, midsentence_ratio, chunk_documents, chunk_stats, section_chunks, token_batches, top_sources, anti_join_worklist, avg_precision, verdict_shares)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        html_clean, html_flat, tokenize, norm_text, doc_stats, term_stats, bm25_top20, l2_top20, rrf_fusion, rerank_top5, mode_topn_ablation,
+        side_by_side, context_block, sources_set, answers, gold_expand, answerable_split, hit_rates, refusal_rate, turn_pairs, percentile_latency,
+        judge_input, judged_runs, run_facts, call_budget, right_file, diagnosed_runs, rescored, eval_violations, type_targets,
+        ablation_table, collapse_multi_ref, poison_guard, diagnosis_hist, failure_rows, abstention, worst_n, rerank_delta, summary_grid,
+        eval_validate, type_counts, window_chunks, midsentence_ratio, chunk_documents, chunk_stats, section_chunks, token_batches, top_sources,
+        anti_join_worklist, avg_precision, verdict_shares,
+    )
+}
 
 from .oracle import ORACLE  # noqa: E402, F401

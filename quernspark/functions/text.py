@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The refusal text, the separators of the splitters, and the prompt's parts.
 REFUSAL = "insufficient context"
 BLANK = r"(?U)\s+"
+TOKEN = r"\p{L}+|\p{N}+|[^\p{IsWhite_Space}\p{L}\p{N}]"
 _GONE = ("script", "style", "nav", "header", "footer")
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
 
@@ -54,7 +55,7 @@ def tokenize(text: Column) -> Column:
 
 def count_tokens(text: Column) -> Column:
     """A stand-in for a subword count: words, numbers and single marks."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
 
 
 def norm(text: Column) -> Column:
@@ -106,6 +107,11 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, BLANK), lambda x: x != ""))
 
 
+def golds_shown(golds: Column, field: str) -> Column:
+    """A field of all accepted golds as one text."""
+    return F.array_join(F.transform(golds, lambda g: g[field]), " | ")
+
+
 def kind_heading(kind: Column) -> Column:
     return F.initcap(F.replace(kind, F.lit("-"), F.lit(" ")))
 

@@ -7,6 +7,7 @@ from collections import deque
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +18,11 @@ SIZE, OVERLAP, LEAST, LEAST_SECTION = 512, 50, 100, 10
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", " ", "")
 SENTENCE_SEPARATORS = (". ", "? ", "! ", "; ", ", ", " ", "")
 BATCH_TOKENS = 25_000
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\s\w]|_")
+_TOKEN = regex.compile(T.TOKEN.replace("IsWhite_Space", "White_Space"))
 
 
 def n_tokens(text: str) -> int:
-    """The stand-in of functions.text.count_tokens for Python workers."""
+    """functions.text.count_tokens for Python workers."""
     return len(_TOKEN.findall(text))
 
 

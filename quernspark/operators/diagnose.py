@@ -45,6 +45,13 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.where("diagnosis <> 'ok'").select("mode", "id", "diagnosis", F.substring("answer", 1, 200).alias("answer"))
 
 
+def failure_details(rows: DataFrame) -> DataFrame:
+    """What a reader needs to see of each failure, by diagnosis: question, golds, sources, the answer's beginning, scores."""
+    scores = [F.round(m, 2).alias(m) for m in METRICS]
+    bad = rows.where("diagnosis <> 'ok'").orderBy("diagnosis", "mode", "id")
+    return bad.select("mode", "id", "query_type", "diagnosis", "user_input", "gold_source", "gold_passage", "sources", "passage_hit", F.substring("answer", 1, 200).alias("answer"), *scores)
+
+
 def row_mean():
     got = F.filter(F.array(*[number(m) for m in METRICS]), lambda x: x.isNotNull())
     return F.when(F.size(got) > 0, F.aggregate(got, F.lit(0.0), lambda s, x: s + x) / F.size(got))

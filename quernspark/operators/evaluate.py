@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .retrieve import sliced
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 REF_DEPENDENT = ("context_precision", "context_recall")
@@ -74,9 +77,14 @@ def run_facts(runs: DataFrame, golds_: DataFrame) -> DataFrame:
     joined by a blank, so a pair of texts is compared only where the ids agree.
     """
     text = runs.select("mode", "id", "sources", T.norm(F.array_join("contexts", " ")).alias("text"))
-    hit = text.join(golds_.select("id", "source_file", T.norm(F.col("source_passage")).alias("passage")), "id")
-    hit = hit.groupBy("mode", "id").agg(F.bool_or(F.array_contains("sources", F.col("source_file"))).alias("file_hit"), F.bool_or((F.col("passage") != "") & F.contains("text", "passage")).alias("passage_hit"))
-    rows = runs.select("mode", "id", T.is_refusal(F.col("answer")).alias("refused"), "answer").join(hit, ["mode", "id"], "left")
+    hit = text.join(golds_.select("id", "gold_idx", "source_file", "source_passage", T.norm(F.col("source_passage")).alias("passage")), "id")
+    shown = F.array_sort(F.collect_list(F.struct("gold_idx", "source_file", "source_passage")))
+    hit = hit.groupBy("mode", "id").agg(
+        F.bool_or(F.array_contains("sources", F.col("source_file"))).alias("file_hit"),
+        F.bool_or((F.col("passage") != "") & F.contains("text", "passage")).alias("passage_hit"),
+        T.golds_shown(shown, "source_file").alias("gold_source"), T.golds_shown(shown, "source_passage").alias("gold_passage"),
+    )
+    rows = runs.select("mode", "id", T.is_refusal(F.col("answer")).alias("refused"), "answer", "sources").join(hit, ["mode", "id"], "left")
     return rows.withColumn("answerable", F.col("file_hit").isNotNull())
 
 
@@ -91,24 +99,28 @@ def ablation(facts: DataFrame, judged: DataFrame, modes: DataFrame) -> DataFrame
     return modes.join(means, "mode", "left").join(rest, "mode", "left").orderBy("ord")
 
 
-def contained_in(passages: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
-    """(item_id, doc_id): the normalised passage lies in the normalised document.
+def contained_in(passages: DataFrame, docs: DataFrame, words: int = 5, most: int = 100_000) -> DataFrame:
+    """(item_id, doc_id): the normalised passage lies in the normalised document, wherever it begins and ends.
 
-    Each passage has one anchor, its first words; documents are exploded to runs of as many words
-    and joined on equality, and only those pairs are compared. Shorter passages have an anchor of
-    their own length.
+    Each passage has one anchor, up to words of its words after the first: those are whole words of
+    any document that holds it. The anchors are sent to the documents (at most about most at once),
+    which are taken apart into runs of as many words where they are; only where an anchor is met the
+    two texts are compared. Passages of one or two words are compared with every document.
     """
     p = passages.select("item_id", T.norm(F.col("text")).alias("p")).where("p <> ''").withColumn("pw", F.split("p", " "))
-    p = p.withColumn("n", F.least(F.size("pw"), F.lit(words))).withColumn("anchor", F.array_join(F.slice("pw", F.lit(1), F.col("n")), " "))
-    lengths = [r["n"] for r in p.select("n").distinct().collect()]  # at most `words` numbers
-    d = docs.select("doc_id", T.norm(F.col("text")).alias("d"))
-    w = d.withColumn("w", F.split("d", " "))
-    found = None
-    for n in lengths:
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))  # noqa: B023
-        at = w.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
-        hit = at.join(p.where(F.col("n") == n).select("item_id", "anchor", "p"), "anchor").select("item_id", "doc_id", "p")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
+    p = p.withColumn("n", F.greatest(F.lit(0), F.least(F.size("pw") - 2, F.lit(words)))).withColumn("anchor", F.array_join(F.slice("pw", F.lit(2), F.col("n")), " "))
+    d = docs.select("doc_id", T.norm(F.col("text")).alias("d")).withColumn("w", F.split("d", " "))
+    found = []
+    for part in sliced(p.select("item_id", "p", "n", "anchor"), "item_id", most):
+        for n in [r["n"] for r in part.select("n").distinct().collect()]:  # at most words + 1 numbers
+            asked = F.broadcast(part.where(F.col("n") == n).select("item_id", "anchor", "p"))
+            if n:
+                runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))  # noqa: B023
+                at = d.where(F.size("w") >= n).select("doc_id", "d", F.explode(runs).alias("run"))
+                met = at.join(asked, F.col("run") == F.col("anchor"))
+            else:
+                met = d.join(asked, F.contains("d", "p"))
+            found.append(met.where(F.contains("d", "p")).select("item_id", "doc_id"))
+    if not found:
         return docs.select(F.lit(0).cast("long").alias("item_id"), "doc_id").where("false")
-    return found.join(d, "doc_id").where(F.contains("d", "p")).select("item_id", "doc_id").distinct()
+    return reduce(DataFrame.unionByName, found).distinct()

@@ -6,6 +6,8 @@ Documents have (chunk_id, text) and a position, by default the order of chunk_id
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values of BM25 Okapi
 RETRIEVE_K, TOP_N, RRF_K = 20, 5, 60
+MOST_ASKED, MOST_QUERIES = 200_000, 20_000  # rows that are broadcast at once: terms of questions, vectors of questions
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -20,53 +23,98 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("chunk_id", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
+def indexed_terms(docs: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term, tf): postings with the document's length beside them."""
+    rows = docs.select("chunk_id", T.tokenize(F.col("text")).alias("t"))
+    return rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
 def doc_stats(docs: DataFrame) -> DataFrame:
     return docs.select("chunk_id", F.coalesce(F.size(T.tokenize(F.col("text"))), F.lit(0)).alias("dl"))
 
 
-def term_stats(docs: DataFrame, n: int) -> DataFrame:
-    """(term, df, idf); a negative idf is replaced by EPSILON times the mean of all."""
+def raw_idf(docs: DataFrame, n: int, asked: DataFrame | None = None) -> DataFrame:
+    """(term, df, raw) of all terms, or of the asked ones."""
     distinct = docs.select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
+    distinct = distinct if asked is None else distinct.join(F.broadcast(asked), "term", "left_semi")
     df = distinct.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    out = raw.crossJoin(F.broadcast(mean))  # one row
-    return out.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+
+def floored(raw: DataFrame, mean) -> DataFrame:
+    """(term, df, idf); a negative idf is replaced by EPSILON times the mean of all terms."""
+    return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+
+
+def term_stats(docs: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf) of all terms."""
+    raw = raw_idf(docs, n)
+    return floored(raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean")))), F.col("mean"))  # one row
+
+
+def sliced(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """df in parts of about most rows that keep a key's rows together, so that each part may be broadcast."""
+    parts = max(1, -(-df.count() // most))
+    return [df] if parts == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
 
+def index_stats(docs: DataFrame) -> tuple[int, float]:
+    """(number of documents, mean number of terms)."""
+    n, mean = docs.select(F.coalesce(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")), F.lit(0)).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    return n, mean or 1.0
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
+
+def asked_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, most: int = MOST_ASKED, stats=None, terms: DataFrame | None = None, tf: DataFrame | None = None) -> DataFrame:
     """Top k; ties by chunk_id; unscored documents fill up with score 0, as if all had been scored.
 
-    Postings are cut down to the questions' terms before anything is joined to them, and summed by
-    (question, document) with partial sums; no cross product is made.
+    The questions' terms are sent to the documents, at most about most rows at once (more questions
+    are taken in slices): terms that nobody asks for never leave their task. What is left is dealt
+    out by document once; each document's scores are then summed where they are, and every task
+    keeps its k best of each question before the lists meet. With an index that is stored, stats,
+    terms (term, idf) and tf (chunk_id, dl, term, tf) come from it.
     """
-    stats = doc_stats(docs)
-    n, avgdl = stats.agg(F.count("*"), F.avg("dl")).first()
-    asked = questions.select("query_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    words = asked.select("term").distinct()
-    terms = term_stats(docs, n).join(words, "term", "left_semi").select("term", "idf")
-    exploded = docs.select("chunk_id", T.tokenize(F.col("text")).alias("t"))
-    exploded = exploded.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(words, "term", "left_semi")
-    hits = exploded.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).join(terms, "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    weighted = hits.select("term", "chunk_id", part.alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("w")), 6).alias("score"))
-    return top_k(zero_filled(scored, docs, questions, k), k)
-
-
-def zero_filled(scored: DataFrame, docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """scored and, for questions with fewer than k positive scores, the first unscored documents.
-
-    Only the first k + (number scored) documents can hold the first k unscored ones.
+    n, avgdl = stats or index_stats(docs)
+    mean = raw_idf(docs, n).agg(F.avg("raw")).first()[0] if terms is None else None
+    lowest = (mean or 0.0) if terms is None else terms.agg(F.min("idf")).first()[0] or 0.0
+    lists = []
+    for asked in sliced(asked_terms(questions), "query_id", most):
+        words = asked.select("term").distinct()
+        known = floored(raw_idf(docs, n, words), F.lit(mean)) if terms is None else terms
+        by_term = F.broadcast(asked.join(known.select("term", "idf"), "term").groupBy("term", "idf").agg(F.collect_list(F.struct("query_id", "times")).alias("asks")))
+        if tf is None:
+            rows = docs.select("chunk_id", T.tokenize(F.col("text")).alias("t"))
+            rows = rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+            rows = rows.join(F.broadcast(words), "term", "left_semi").repartition("chunk_id")
+            hits = rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        else:
+            hits = tf.join(F.broadcast(words), "term", "left_semi").repartition("chunk_id")
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+        each = hits.join(by_term, "term").select("chunk_id", part.alias("w"), F.explode("asks").alias("a"))
+        lists.append(each.groupBy("chunk_id", "a.query_id").agg(F.round(F.sum(F.col("a.times") * F.col("w")), 6).alias("score")).select("query_id", "chunk_id", "score"))
+    scored = reduce(DataFrame.unionByName, lists)
+    return top_k(zero_filled(scored, docs, questions, k, lowest < 0), k)
+
+
+def zero_filled(scored: DataFrame, docs: DataFrame, questions: DataFrame, k: int, below_zero: bool = False) -> DataFrame:
+    """scored and, for each question, documents that it did not score, with score 0: as many of the first as can matter.
+
+    Where no score is below zero, either k of the first 2 k documents are not scored, or more than k
+    of them have a score that comes before any later document without one. Negative scores (below_zero)
+    only come from a vocabulary that most documents share; then the documents are looked through
+    as far as the most scored ones of a question can reach.
     """
-    have = scored.groupBy("query_id").agg(F.count("*").alias("scored"), F.count_if(F.col("score") > 0).alias("positive"))
-    short = questions.select("query_id").join(have, "query_id", "left").fillna(0).where(F.col("positive") < k)
-    most = short.agg(F.max("scored")).first()[0]
-    if most is None:
-        return scored
-    first = docs.select("chunk_id").orderBy("chunk_id").limit(k + most)
-    blank = short.select("query_id").join(first).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return scored.unionByName(blank)
+    depth = 2 * k
+    if below_zero:
+        depth = k + (scored.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+    lead = docs.select("chunk_id").orderBy("chunk_id").limit(depth)
+    lead = lead if below_zero else F.broadcast(lead)
+    near = scored.join(lead, "chunk_id", "left_semi").select("query_id", "chunk_id")
+    blank = questions.select("query_id").join(lead).join(near, ["query_id", "chunk_id"], "left_anti")
+    return scored.unionByName(blank.withColumn("score", F.lit(0.0)))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -74,13 +122,18 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
-    """Nearest k by squared distance. vectors: (chunk_id, v); queries: (query_id, q), a stated set, sent
-    to the vectors by Spark while it is small; each vector meets each question once."""
+def dense(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K, most: int = MOST_QUERIES) -> DataFrame:
+    """Nearest k by squared distance. vectors: (chunk_id, v); queries: (query_id, q), a stated set.
+
+    The questions' vectors are sent to the tasks, at most about most at once (more are taken in
+    slices); the documents' vectors stay where they are, and every task keeps its k nearest of each
+    question before the lists meet.
+    """
     d = F.aggregate(F.zip_with("v", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.join(queries).select("query_id", "chunk_id", F.round(d, 6).alias("distance"))
+    parts = [vectors.join(F.broadcast(q)).select("query_id", "chunk_id", F.round(d, 6).alias("distance")) for q in sliced(queries, "query_id", most)]
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", T.similarity(F.col("distance")))
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).withColumn("score", T.similarity(F.col("distance")))
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int = RETRIEVE_K, constant: int = RRF_K) -> DataFrame:
@@ -107,26 +160,39 @@ def rerank(ranked: DataFrame, docs: DataFrame, questions: DataFrame, n: int = TO
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def retrieve(mode: str, docs: DataFrame, questions: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K, n: int = TOP_N) -> DataFrame:
-    """(query_id, chunk_id, rank) of one mode, cut to n in every mode."""
+def candidates(mode: str, docs: DataFrame, questions: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K, **stored) -> DataFrame:
+    """The k candidates of one mode, before reranking. stored: statistics and terms of an index, as bm25 takes them."""
     if mode == "dense_only":
-        out = dense(vectors, queries, k)
-    elif mode == "sparse_only":
-        out = bm25(docs, questions, k)
-    elif mode in ("hybrid", "hybrid_rerank"):
-        out = rrf(dense(vectors, queries, k), bm25(docs, questions, k), k)
-        out = rerank(out, docs, questions, n) if mode == "hybrid_rerank" else out
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
+        return dense(vectors, queries, k)
+    if mode == "sparse_only":
+        return bm25(docs, questions, k, **stored)
+    if mode in ("hybrid", "hybrid_rerank"):
+        return rrf(dense(vectors, queries, k), bm25(docs, questions, k, **stored), k)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def retrieve(mode: str, docs: DataFrame, questions: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K, n: int = TOP_N, scorer=coverage, **stored) -> DataFrame:
+    """(query_id, chunk_id, rank) of one mode, cut to n in every mode."""
+    out = candidates(mode, docs, questions, vectors, queries, k, **stored)
+    out = rerank(out, docs, questions, n, scorer) if mode == "hybrid_rerank" else out
     return out.where(F.col("rank") <= n).select("query_id", "chunk_id", "rank")
 
 
-def browse(docs: DataFrame, word: str, n: int = 3, file: str | None = None) -> DataFrame:
-    """The n best chunks for some words, of sources whose name has file in it."""
+def side_by_side(docs: DataFrame, questions: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 3, reranked: int = TOP_N, scorer=coverage, **stored) -> DataFrame:
+    """(query_id, list, rank, chunk_id, score): the first of each retriever's list beside each other, and of the reranked one."""
+    sparse, near = bm25(docs, questions, **stored), dense(vectors, queries)
+    fused = rrf(near, sparse)
+    lists = {"dense": near, "sparse": sparse, "hybrid": fused, "reranked": rerank(fused, docs, questions, reranked, scorer)}
+    cut = [x.where(F.col("rank") <= (reranked if name == "reranked" else n)).select("query_id", F.lit(name).alias("list"), "rank", "chunk_id", F.round("score", 4).alias("score")) for name, x in lists.items()]
+    return reduce(DataFrame.unionByName, cut)
+
+
+def browse(docs: DataFrame, word: str, n: int = 3, file: str | None = None, **stored) -> DataFrame:
+    """The n best chunks for some words, of sources whose name has file in it. A stored index serves whole corpora only."""
     if file:
-        docs = docs.where(F.contains(F.lower("source"), F.lit(file.lower())))
+        docs, stored = docs.where(F.contains(F.lower("source"), F.lit(file.lower()))), {}
     asked = docs.sparkSession.createDataFrame([("q", word)], "query_id string, question string")
-    return bm25(docs, asked, n).join(docs, "chunk_id").orderBy("rank")
+    return bm25(docs, asked, n, **stored).join(docs, "chunk_id").orderBy("rank")
 
 
 def chunk_by_number(docs: DataFrame, number: int) -> DataFrame:

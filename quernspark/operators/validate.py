@@ -22,13 +22,16 @@ def violations(examples: DataFrame, chunks: DataFrame) -> DataFrame:
     found.append(examples.where(~F.col("query_type").isin(*TARGETS)).select("id", F.lit("unknown type").alias("problem")))
     found.append(examples.where(T.norm_blanks(F.col("question")) == "").select("id", F.lit("blank question").alias("problem")))
     none = examples.where("query_type = 'unanswerable'")
-    found.append(none.where(F.col("ground_truth_answer") != T.REFUSAL).select("id", F.lit("answer of an unanswerable question").alias("problem")))
+    found.append(none.where(T.norm_blanks(F.col("ground_truth_answer")) != T.REFUSAL).select("id", F.lit("answer of an unanswerable question").alias("problem")))
     found.append(none.where("source_passage <> '' or source_file <> ''").select("id", F.lit("source of an unanswerable question").alias("problem")))
     gold = golds(examples)
+    blank = {"ground_truth_answer": "blank answer", "source_passage": "blank passage"}
+    found += [gold.where(T.norm_blanks(F.coalesce(c, F.lit(""))) == "").select("id", F.lit(problem).alias("problem")) for c, problem in blank.items()]
     found.append(gold.join(chunks.select(F.col("source").alias("source_file")).distinct(), "source_file", "left_anti").select("id", F.lit("file not in corpus").alias("problem")))
     wanted = chunks.join(gold.select(F.col("source_file").alias("source")).distinct(), "source", "left_semi")
     whole = wanted.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("c")).select(F.col("source").alias("source_file"), T.norm_blanks(F.array_join(F.transform("c", lambda c: c["text"]), " ")).alias("whole"))
-    away = gold.join(whole, "source_file").where(~F.contains("whole", T.norm_blanks(F.col("source_passage"))))
+    passage = T.norm_blanks(F.col("source_passage"))
+    away = gold.join(whole, "source_file").where((passage != "") & ~F.contains("whole", passage))
     found.append(away.select("id", F.lit("passage not in file").alias("problem")))
     return reduce(DataFrame.unionByName, found)
 

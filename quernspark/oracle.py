@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries of catalog.py."""
 
+from .operators.generate import SYSTEM
+
+_PROMPT = "\n\nCONTEXT:\n" + "\n\nQUESTION: " + "\n\nANSWER:"
+
 BLANKS = r"[\s\x{00A0}]+"
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -68,6 +72,53 @@ ranked AS (SELECT 'dense_only' AS mode, query_id, chunk_id, rank FROM de WHERE r
   UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM hy WHERE rank <= 5 UNION ALL SELECT 'hybrid_rerank', query_id, chunk_id, rank FROM hr)"""
 _GOLD = f"""
 gold AS (SELECT item_id, doc_id FROM (SELECT item_id, {_NORM.format('text')} AS p FROM benchmark) b JOIN (SELECT doc_id, {_NORM.format('text')} AS d FROM documents) t ON contains(t.d, b.p) AND b.p <> '')"""
+_SENTENCES = r"string_split(regexp_replace({}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(2), 'g'), chr(2))"
+_RUNS = f"""{_ALL},{_GOLD},
+g2 AS (SELECT item_id AS query_id, source, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1 AS gold_idx FROM gold JOIN documents USING (doc_id)),
+ex AS (SELECT item_id AS query_id, text AS question, {_strip("concat_ws(' ', substr(text, 1, 40), text)")} AS reference, coalesce(n, 0) AS golds
+  FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS n FROM g2 GROUP BY query_id) ON query_id = item_id),
+cx AS (SELECT mode, query_id, list(text ORDER BY rank) AS contexts, list_sort(list(DISTINCT coalesce(source, 'unknown'))) AS sources,
+  string_agg('[Passage ' || rank || ' | source: ' || coalesce(source, 'unknown') || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM ranked JOIN documents ON doc_id = chunk_id GROUP BY ALL),
+se AS (SELECT mode, query_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT mode, query_id, {_SENTENCES.format("array_to_string(contexts, chr(2))")} AS l FROM cx)),
+ra AS (SELECT mode, query_id, s, i, len(list_intersect(qt, {_TOK.format('s')}))::DOUBLE / nullif(len(qt), 0) AS share
+  FROM se JOIN (SELECT query_id, list_distinct({_TOK.format('question')}) AS qt FROM ex) USING (query_id)),
+be AS (SELECT mode, query_id, s, share FROM ra QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY share DESC NULLS LAST, i) = 1),
+runs AS (SELECT mode, query_id, query_id::VARCHAR AS id, contexts, sources, context, question, reference, golds, CASE WHEN share >= 0.5 THEN trim(s) ELSE 'insufficient context' END AS answer
+  FROM cx JOIN be USING (mode, query_id) JOIN ex USING (query_id))"""
+
+
+def _set(x):
+    return f"list_distinct({_TOK.format(x)})"
+
+
+def _held(text):
+    one = f"CASE WHEN len({_set('x')}) > 0 AND len(list_intersect({_set('x')}, seen))::DOUBLE / len({_set('x')}) >= 0.5 THEN 1 ELSE 0 END"
+    told = f"list_transform(list_filter({_SENTENCES.format(text)}, lambda x: x <> ''), lambda x: {one})"
+    return f"coalesce(list_sum({told})::DOUBLE / nullif(len({told}), 0), 0)"
+
+
+_FACTS = f"""{_RUNS},
+facts AS (SELECT mode, id, golds > 0 AS answerable, starts_with(lower({_strip('answer')}), 'insufficient context') AS refused, answer,
+  CASE WHEN golds > 0 THEN EXISTS (SELECT 1 FROM g2 WHERE g2.query_id = runs.query_id AND list_contains(sources, g2.source)) END AS file_hit,
+  CASE WHEN golds > 0 THEN contains({_NORM.format("array_to_string(contexts, ' ')")}, {_NORM.format('question')}) END AS passage_hit,
+  (SELECT string_agg(source, ' | ' ORDER BY gold_idx) FROM g2 WHERE g2.query_id = runs.query_id) AS gold_source FROM runs)"""
+_SCORES = f"""{_FACTS},
+sets AS (SELECT *, {_set("array_to_string(contexts, ' ')")} AS seen, {_set('reference')} AS wanted, {_set('question')} AS asked, {_set('answer')} AS told FROM runs WHERE golds > 0),
+rel AS (SELECT *, list_transform(contexts, lambda c: CASE WHEN len(list_intersect(wanted, {_TOK.format('c')}))::DOUBLE / len(wanted) >= 0.5 THEN 1 ELSE 0 END) AS r FROM sets),
+scores AS (SELECT mode, id, query_id, golds, {_held('answer')} AS faithfulness,
+  len(list_intersect(asked, told))::DOUBLE / nullif(len(list_distinct(list_concat(asked, told))), 0) AS answer_relevancy,
+  coalesce(list_sum(list_transform(range(1, len(r) + 1), lambda i: r[i] * list_sum(r[1:i])::DOUBLE / i)) / nullif(list_sum(r), 0), 0) AS context_precision,
+  {_held('reference')} AS context_recall FROM rel)"""
+_FLAWED = f"""{_GOLD},
+bx AS (SELECT item_id, item_id % 7 AS kind, text, EXISTS (SELECT 1 FROM gold g WHERE g.item_id = b.item_id) AS known FROM benchmark b),
+fl AS (SELECT CASE WHEN kind <> 6 THEN item_id::VARCHAR END AS id, kind, text, known, CASE WHEN kind = 2 THEN 'odd' WHEN known THEN 'simple' ELSE 'unanswerable' END AS query_type,
+  CASE WHEN kind = 1 THEN ' ' ELSE text END AS question, CASE WHEN kind = 3 THEN ' ' WHEN known THEN substr(text, 1, 40) ELSE 'insufficient context' END AS answer,
+  CASE WHEN kind = 5 THEN ' ' WHEN known THEN text ELSE '' END AS passage, item_id FROM bx),
+gs AS (SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS nth FROM gold JOIN documents USING (doc_id)),
+ff AS (SELECT fl.*, CASE WHEN kind = 4 THEN 'nowhere' ELSE coalesce((SELECT source FROM gs WHERE gs.item_id = fl.item_id AND nth = 1), '') END AS file FROM fl),
+gg AS (SELECT id, answer, passage, file FROM ff WHERE query_type <> 'unanswerable'
+  UNION ALL SELECT id, CASE WHEN known THEN substr(text, 1, 40) ELSE 'insufficient context' END, text, source FROM ff JOIN gs USING (item_id) WHERE nth > 1 AND query_type <> 'unanswerable')"""
 _J = """
 j AS (SELECT ['dense_only', 'sparse_only', 'hybrid', 'hybrid_rerank'][(doc_id % 4 + 1)::INT] AS mode, doc_id // 4 AS id, n_chars % 3 AS gold_idx, n_chars::DOUBLE AS latency_ms,
   quality * 0.5::DOUBLE + n_chars % 7 / 14.0::DOUBLE AS faithfulness, n_chars % 11 / 11.0::DOUBLE AS answer_relevancy, 1.0::DOUBLE - toxic * 0.5::DOUBLE AS context_precision, n_chars % 5 / 5.0::DOUBLE AS context_recall,
@@ -100,6 +151,32 @@ ORACLE = {
     "sources_set": f"WITH {_BM25} SELECT query_id, string_agg(DISTINCT coalesce(source, 'unknown'), ',' ORDER BY coalesce(source, 'unknown')) AS sources FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY query_id",
     "gold_expand": f"WITH {_GOLD} SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1 AS gold_idx FROM gold",
     "answerable_split": f"WITH {_GOLD} SELECT kind, count(*) AS n FROM (SELECT b.item_id, CASE count(doc_id) WHEN 0 THEN 'unanswerable' WHEN 1 THEN 'single' ELSE 'multi' END AS kind FROM benchmark b LEFT JOIN gold USING (item_id) GROUP BY b.item_id) GROUP BY kind",
+    "answers": f"""WITH {_RUNS} SELECT query_id, answer, array_to_string(sources, ',') AS sources, {len(SYSTEM) + len(_PROMPT)} + length(context) + length(question) AS prompt_chars
+  FROM runs WHERE mode = 'hybrid_rerank'""",
+    "judge_input": f"""WITH {_RUNS} SELECT mode, id, gold_idx, md5(reference) AS reference_md5, md5(answer) AS response_md5, len(contexts) AS contexts FROM runs JOIN g2 USING (query_id)""",
+    "judged_runs": f"WITH {_SCORES} SELECT mode, id, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM scores",
+    "run_facts": f"WITH {_FACTS} SELECT mode, id, answerable, refused, file_hit, passage_hit, gold_source FROM facts",
+    "call_budget": f"WITH {_RUNS} SELECT count(*) * (3 + max(len(contexts))) AS strong, count(*) AS light FROM runs WHERE golds > 0",
+    "right_file": f"WITH {_FACTS} SELECT mode, string_agg(id, ',' ORDER BY id) AS ids FROM facts WHERE file_hit AND NOT passage_hit GROUP BY mode",
+    "diagnosed_runs": f"""WITH {_SCORES}, dg AS (SELECT mode, {_WORDS.replace('text', 'answer')} AS words, passage_hit, refused, faithfulness FROM scores JOIN facts USING (mode, id))
+SELECT mode, {_DIAG} AS diagnosis, count(*) AS n FROM dg GROUP BY ALL""",
+    "rescored": f"""WITH {_SCORES}, ch AS (SELECT mode, id, round(context_precision - 0.25, 6) AS context_precision, round(context_recall - 0.25, 6) AS context_recall FROM scores WHERE golds > 1)
+SELECT * FROM ch WHERE abs(context_precision) > 1e-9 OR abs(context_recall) > 1e-9""",
+    "side_by_side": f"""WITH {_RRF}, hr AS {_rerank('hy')} SELECT query_id, 'dense' AS list, rank, chunk_id FROM de WHERE rank <= 3 UNION ALL SELECT query_id, 'sparse', rank, chunk_id FROM bm WHERE rank <= 3
+  UNION ALL SELECT query_id, 'hybrid', rank, chunk_id FROM hy WHERE rank <= 3 UNION ALL SELECT query_id, 'reranked', rank, chunk_id FROM hr""",
+    "eval_violations": f"""WITH {_FLAWED}, wh AS (SELECT source AS file, {_NORM_BLANKS.format("string_agg(text, ' ' ORDER BY doc_id)")} AS whole FROM documents GROUP BY source)
+SELECT id, problem, count(*) AS n FROM (
+  SELECT id, 'missing id' AS problem FROM ff WHERE id IS NULL
+  UNION ALL SELECT NULL, 'duplicate id' FROM ff WHERE id IS NULL QUALIFY row_number() OVER () > 1
+  UNION ALL SELECT id, 'unknown type' FROM ff WHERE query_type = 'odd' UNION ALL SELECT id, 'blank question' FROM ff WHERE kind = 1
+  UNION ALL SELECT id, 'answer of an unanswerable question' FROM ff WHERE query_type = 'unanswerable' AND answer <> 'insufficient context'
+  UNION ALL SELECT id, 'source of an unanswerable question' FROM ff WHERE query_type = 'unanswerable' AND (passage <> '' OR file <> '')
+  UNION ALL SELECT id, 'blank answer' FROM gg WHERE trim(answer) = '' UNION ALL SELECT id, 'blank passage' FROM gg WHERE trim(passage) = ''
+  UNION ALL SELECT id, 'file not in corpus' FROM gg WHERE file NOT IN (SELECT file FROM wh)
+  UNION ALL SELECT id, 'passage not in file' FROM gg JOIN wh USING (file) WHERE trim(passage) <> '' AND NOT contains(whole, {_NORM_BLANKS.format('passage')}))
+GROUP BY ALL""",
+    "type_targets": f"""WITH {_FLAWED}, tt AS (SELECT unnest(['simple', 'keyword_heavy', 'paraphrase_heavy', 'unanswerable']) AS query_type, unnest([20, 10, 10, 10]) AS low, unnest([25, 10, 10, 10]) AS high)
+SELECT query_type, low, high, coalesce(n, 0) AS n, coalesce(n, 0) BETWEEN low AND high AS ok FROM tt LEFT JOIN (SELECT query_type, count(*) AS n FROM fl GROUP BY query_type) USING (query_type)""",
     "hit_rates": f"""WITH {_ALL},{_GOLD},
 h AS (SELECT mode, query_id, max(CASE WHEN EXISTS (SELECT 1 FROM gold g JOIN documents x USING (doc_id) WHERE g.item_id = query_id AND x.source = d.source) THEN 1 ELSE 0 END) AS f,
   max(CASE WHEN EXISTS (SELECT 1 FROM gold g WHERE g.item_id = query_id AND g.doc_id = chunk_id) THEN 1 ELSE 0 END) AS p FROM ranked JOIN documents d ON d.doc_id = chunk_id GROUP BY ALL)

@@ -2,22 +2,95 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunk, diagnose, evaluate, generate, retrieve, validate
+from ..operators import chunk, diagnose, evaluate, generate, models, retrieve, validate
 from ..sources import tables
 
 
-def build_index(spark: SparkSession, corpus: str, index: str) -> None:
-    """Chunks, postings and statistics as tables that are replaced as a whole."""
+def build_index(spark: SparkSession, corpus: str, index: str, embedding=models.HashedTerms) -> None:
+    """Chunks, postings, statistics and vectors as tables that are replaced as a whole."""
     chunks = chunk.chunk_documents(tables.read_corpus(spark, corpus).select("source", "title", "text"))
     tables.rebuild(chunks, f"{index}/chunks")
     chunks = spark.read.parquet(f"{index}/chunks")
-    tables.rebuild(retrieve.postings(chunks), f"{index}/postings")
-    tables.rebuild(retrieve.doc_stats(chunks), f"{index}/doc_stats")
+    tables.rebuild(retrieve.indexed_terms(chunks), f"{index}/postings")
+    stats = retrieve.doc_stats(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tables.rebuild(stats, f"{index}/stats")
+    tables.rebuild(retrieve.term_stats(chunks, stats.first()["n"]), f"{index}/terms")
+    tables.rebuild(chunks.select("chunk_id", models.embed(F.col("text"), embedding).alias("v")), f"{index}/vectors")
+
+
+@dataclass
+class Index:
+    """A stored index: what retrieval reads instead of the texts."""
+
+    chunks: DataFrame
+    vectors: DataFrame
+    stored: dict
+    embedding: Callable = models.HashedTerms
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, embedding=models.HashedTerms) -> Index:
+        n, avgdl = spark.read.parquet(f"{path}/stats").first()
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(read("chunks"), read("vectors"), {"stats": (n, avgdl or 1.0), "terms": read("terms"), "tf": read("postings")}, embedding)
+
+    def queries(self, questions: DataFrame) -> DataFrame:
+        """Question vectors by the embedding that made the index."""
+        return questions.select("query_id", models.embed(F.col("question"), self.embedding).alias("q"))
+
+    def candidates(self, mode: str, questions: DataFrame) -> DataFrame:
+        return retrieve.candidates(mode, self.chunks, questions, self.vectors, self.queries(questions), **self.stored)
+
+    def retrieve(self, mode: str, questions: DataFrame, scorer=retrieve.coverage) -> DataFrame:
+        return retrieve.retrieve(mode, self.chunks, questions, self.vectors, self.queries(questions), scorer=scorer, **self.stored)
+
+    def side_by_side(self, questions: DataFrame) -> DataFrame:
+        return retrieve.side_by_side(self.chunks, questions, self.vectors, self.queries(questions), **self.stored)
+
+
+def ask_one(index: Index, question: str, mode: str = "hybrid_rerank", model=generate.extractive, scorer=retrieve.coverage) -> dict:
+    """question, mode, answer, sources, chunks (in rank order) and the milliseconds of each step and of all."""
+    spark, marks = index.chunks.sparkSession, [time.perf_counter()]
+    asked = spark.createDataFrame([(1, question)], "query_id long, question string")
+
+    def step(df: DataFrame) -> DataFrame:
+        rows = df.collect()  # 20 candidates at most
+        marks.append(time.perf_counter())
+        return spark.createDataFrame(rows, df.schema)
+
+    found = step(index.candidates(mode, asked).select("query_id", "chunk_id", "score", "rank"))
+    ranked = step(retrieve.rerank(found, index.chunks, asked, scorer=scorer).select("query_id", "chunk_id", "score", "rank") if mode == "hybrid_rerank" else found.where(F.col("rank") <= retrieve.TOP_N))
+    row = step(generate.answer(asked, generate.contexts(ranked, index.chunks), model)).first()
+    names = ("retrieval_ms", "rerank_ms", "generation_ms")
+    timings = {name: (b - a) * 1000 for name, a, b in zip(names, marks, marks[1:])}
+    return {"question": question, "mode": mode, "answer": row["answer"], "sources": row["sources"] or [], "chunks": row["chunks"] or [], "timings": timings | {"total_ms": sum(timings.values())}}
+
+
+def run_modes(index: Index, examples: DataFrame, runs_path: str, errors_path: str, modes=evaluate.MODES, factory=models.FirstSentence, first: int | None = None, **how) -> None:
+    """Run what is not stored yet of modes x examples (of the first examples by id, if asked), a mode at a
+    time, and append it. Questions whose calls fail go to the errors with the reason; a later run tries them again."""
+    spark = examples.sparkSession
+    examples = examples.orderBy("id").limit(first) if first else examples
+    for mode in modes:
+        done = tables.read_or_empty(spark, runs_path, tables.RUN)
+        one = spark.createDataFrame([(mode,)], "mode string")
+        todo = examples.join(evaluate.worklist(one, examples, done), "id").select("mode", F.col("id").alias("query_id"), "query_type", "question")
+        found = generate.contexts(index.retrieve(mode, todo), index.chunks)
+        found = found.select("query_id", "context", "sources", F.transform("chunks", lambda c: c["text"]).alias("contexts"))
+        made = models.attempts(todo.join(found, "query_id", "left"), factory, **how).withColumnRenamed("query_id", "id")
+        made.write.mode("overwrite").parquet(f"{errors_path}/attempted_{mode}")  # each call is made once
+        made = spark.read.parquet(f"{errors_path}/attempted_{mode}")
+        times = F.struct(F.lit(None).cast("double").alias("retrieval_ms"), F.lit(None).cast("double").alias("rerank_ms"), "generation_ms", F.col("generation_ms").alias("total_ms"))
+        good = made.where("error is null").select("id", "mode", "query_type", "question", "answer", "contexts", "sources", times.alias("timings"))
+        tables.append_runs(good, runs_path)
+        made.where("error is not null").select("mode", "id", "error").write.mode("overwrite").parquet(f"{errors_path}/failed_{mode}")
 
 
 def ask(questions: DataFrame, docs: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", model=generate.extractive) -> DataFrame:
@@ -27,9 +100,9 @@ def ask(questions: DataFrame, docs: DataFrame, vectors: DataFrame, queries: Data
 
 
 def all_modes(questions: DataFrame, docs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(mode, query_id, chunk_id, rank) of the four modes; the two basic lists are made once each."""
-    sparse, near = retrieve.bm25(docs, questions).cache(), retrieve.dense(vectors, queries).cache()
-    hybrid = retrieve.rrf(near, sparse).cache()
+    """(mode, query_id, chunk_id, rank) of the four modes. The lists are parts of one plan: Spark reuses the exchanges that they share."""
+    sparse, near = retrieve.bm25(docs, questions), retrieve.dense(vectors, queries)
+    hybrid = retrieve.rrf(near, sparse)
     lists = {"dense_only": near, "sparse_only": sparse, "hybrid": hybrid, "hybrid_rerank": retrieve.rerank(hybrid, docs, questions)}
     cut = [x.where(F.col("rank") <= retrieve.TOP_N).select(F.lit(m).alias("mode"), "query_id", "chunk_id", "rank") for m, x in lists.items()]
     return reduce(DataFrame.unionByName, cut)
@@ -37,14 +110,10 @@ def all_modes(questions: DataFrame, docs: DataFrame, vectors: DataFrame, queries
 
 def report(judged: DataFrame, facts: DataFrame, modes: DataFrame, worst: int = diagnose.WORST) -> str:
     rows = diagnose.with_facts(judged, facts).withColumn("diagnosis", diagnose.diagnosis())
-    parts = {"Abstention": diagnose.abstention(facts, modes), "Hits": diagnose.hit_rates(facts), "Right file, wrong passage": diagnose.right_file_wrong_passage(facts), "Diagnosis": diagnose.histogram(rows).orderBy(F.desc("n")), "Failures": diagnose.failures(rows).orderBy("diagnosis"), "Worst": diagnose.worst(rows, worst), "Reranking": diagnose.rerank_delta(rows), "Summary": diagnose.summary(judged, facts, modes).orderBy("ord")}
+    parts = {"Abstention": diagnose.abstention(facts, modes), "Hits": diagnose.hit_rates(facts), "Right file, wrong passage": diagnose.right_file_wrong_passage(facts), "Diagnosis": diagnose.histogram(rows).orderBy(F.desc("n")), "Failures": (diagnose.failure_details if {"gold_source", "user_input"} <= set(rows.columns) else diagnose.failures)(rows), "Worst": diagnose.worst(rows, worst), "Reranking": diagnose.rerank_delta(rows), "Summary": diagnose.summary(judged, facts, modes).orderBy("ord")}
     return "\n".join(tables.markdown(k, v) for k, v in parts.items())
 
 
 def validate_eval_set(spark: SparkSession, path: str, chunks: DataFrame) -> bool:
     examples = tables.read_eval_set(spark, path)
     return validate.passes(examples, chunks)
-
-
-def ablation_table(facts: DataFrame, judged: DataFrame, modes: DataFrame) -> DataFrame:
-    return evaluate.ablation(facts, judged, modes)

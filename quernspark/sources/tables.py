@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,27 +13,29 @@ GOLD = "ground_truth_answer string, source_passage string, source_file string"
 EVAL = f"id string, question string, {GOLD}, query_type string, alt_golds array<struct<{GOLD.replace(' string', ': string')}>>, gold_note string"
 RUN = "id string, mode string, query_type string, question string, answer string, contexts array<string>, sources array<string>, timings struct<retrieval_ms: double, rerank_ms: double, generation_ms: double, total_ms: double>"
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
-JUDGED = "id string, query_type string, user_input string, response string, reference string, faithfulness double, answer_relevancy double, llm_context_precision_with_reference double, context_recall double"
+JUDGED = "id string, query_type string, user_input string, response string, reference string, faithfulness double, answer_relevancy double, context_precision double, context_recall double"
 MODES = ("dense_only", "sparse_only", "hybrid", "hybrid_rerank")
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, title, text, pos): HTML files by name, then Markdown; files without text are left out.
+    """(source, title, text, raw, html, pos): HTML files by name, then Markdown; files without text are left out.
 
-    Bytes that are not UTF-8 are dropped, not replaced.
+    Bytes that are not UTF-8 are dropped, not replaced. Only names are numbered in one task.
     """
-    @F.udf("string")
-    def decode(content):
-        return bytes(content).decode("utf-8", errors="ignore")
+
+    @F.arrow_udf("string")
+    def decode(content: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode("utf-8", errors="ignore") for x in content.to_pylist()], pa.string())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{html,md}").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(name.alias("source"), decode("content").alias("raw"))
     html = F.col("source").endswith(".html")
     stem = F.regexp_replace("source", r"\.[^.]*$", "")
-    rows = rows.select("source", F.when(html, T.html_title(F.col("raw"), stem)).otherwise(stem).alias("title"), F.when(html, T.html_text(F.col("raw"))).otherwise(F.trim("raw")).alias("text"), "raw", html.alias("html"))
-    rows = rows.where("text <> ''")
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("html"), "source")) - 1)
+    title = F.when(html, T.html_title(F.col("raw"), stem)).otherwise(stem)
+    rows = rows.select("source", title.alias("title"), F.when(html, T.html_text(F.col("raw"))).otherwise(F.trim("raw")).alias("text"), "raw", html.alias("html")).where("text <> ''")
+    numbers = rows.select("source", (F.row_number().over(Window.orderBy(F.desc("html"), "source")) - 1).alias("pos"))
+    return rows.join(numbers, "source")
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
@@ -47,15 +50,21 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_judged(spark: SparkSession, folder: str, modes=MODES) -> DataFrame:
-    """The judgements of each mode that has a file, under column mode; the precision column is renamed."""
-    out = spark.createDataFrame([], JUDGED).withColumn("mode", F.lit(""))
+    """The judgements of each mode that has a file, under column mode. Columns are found by their names in the
+    file's header, in any order (metrics by a part of the name); a file that lacks one is an error."""
+    out = spark.createDataFrame([], JUDGED + ", mode string")
     for mode in modes:
         try:
-            one = spark.read.schema(JUDGED).option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/judged_{mode}.csv")
-            out = out.unionByName(one.withColumn("mode", F.lit(mode)))
-        except AnalysisException:
-            continue
-    return out.withColumnRenamed("llm_context_precision_with_reference", "context_precision")
+            one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/judged_{mode}.csv")
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                continue
+            raise
+        if missing := {"id", "query_type"} - set(one.columns):
+            raise KeyError(f"judged_{mode}.csv has no column {sorted(missing)}")
+        text = [F.col(c) if c in one.columns else F.lit(None).cast("string").alias(c) for c in ("id", "query_type", "user_input", "response", "reference")]
+        out = out.unionByName(one.select(*text, *[F.col(T.metric_column(one.columns, m)).cast("double").alias(m) for m in METRICS], F.lit(mode).alias("mode")))
+    return out
 
 
 def rebuild(df: DataFrame, path: str) -> None:
@@ -80,9 +89,15 @@ def write_judged(judged: DataFrame, path: str, metrics=METRICS) -> str:
 
 
 def patch(old: DataFrame, new: DataFrame, columns, key="id") -> DataFrame:
-    """old with the given columns replaced where new has the row and a value."""
-    fresh = new.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
-    out = old.join(fresh, key, "left")
+    """old with the given columns replaced where new has the row. A missing value in new is refused: nothing is patched."""
+    from ..operators.evaluate import poison
+
+    keys = [key] if isinstance(key, str) else list(key)
+    bad = poison(new, columns).first()
+    if any(bad):
+        raise ValueError(f"missing scores {bad.asDict()}; nothing is patched")
+    fresh = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in columns])
+    out = old.join(fresh, keys, "left")
     return out.select(*[(F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c)) for c in old.columns])
 
 
@@ -91,8 +106,9 @@ def write_table(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(title: str, df: DataFrame, most: int = 50) -> str:
-    """A section of a report, from the first rows of a small result."""
-    rows = df.limit(most).collect()
+def markdown(title: str, df: DataFrame, most: int = 2000) -> str:
+    """A section of a report. Beyond most rows the section says how many are left out; the table itself has them."""
+    rows = df.limit(most + 1).collect()
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]]
+    return "\n".join(lines + [f"\n{df.count() - most} rows more"] * (len(rows) > most)) + "\n"
