@@ -10,6 +10,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -165,7 +166,7 @@ def token_batches(chunks: DataFrame, budget: int = BATCH_TOKENS, text: str = "te
 
     The running sum starts again at every batch, so a partition is read in order, in one pass.
     """
-    schema = chunks.schema.add("n_tokens", "long").add("batch", "string")
+    schema = StructType(list(chunks.schema.fields)).add("n_tokens", "long").add("batch", "string")
     counted = chunks.withColumn("n_tokens", T.count_tokens(F.col(text)).cast("long")).withColumn("__p", F.spark_partition_id())
 
     def fill(frames):

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -96,7 +97,7 @@ def attempts(work: DataFrame, factory: Callable = FirstSentence, tries: int = 5,
     the others go on. gap is the least time between two calls of a worker. An empty context is
     refused without a call.
     """
-    schema = work.schema.add("answer", "string").add("error", "string").add("generation_ms", "double")
+    schema = StructType(list(work.schema.fields)).add("answer", "string").add("error", "string").add("generation_ms", "double")
 
     def run(batches):
         last = 0.0

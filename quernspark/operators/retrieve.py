@@ -84,7 +84,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, most: int =
     for asked in sliced(asked_terms(questions), "query_id", most):
         words = asked.select("term").distinct()
         known = floored(raw_idf(docs, n, words), F.lit(mean)) if terms is None else terms
-        by_term = F.broadcast(asked.join(known.select("term", "idf"), "term").groupBy("term", "idf").agg(F.collect_list(F.struct("query_id", "times")).alias("asks")))
+        by_term = F.broadcast(known.select("term", "idf").join(F.broadcast(asked), "term").groupBy("term", "idf").agg(F.collect_list(F.struct("query_id", "times")).alias("asks")))
         if tf is None:
             rows = docs.select("chunk_id", T.tokenize(F.col("text")).alias("t"))
             rows = rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
