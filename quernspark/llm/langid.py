@@ -5,7 +5,7 @@ languages: expectation-maximisation estimates the proportions that make its trig
 a penalised likelihood (one parameter a language) says how many languages it has. The prediction is
 the language with the largest proportion, the score is that proportion.
 
-The model is fitted on at most about MAX_TRAIN labelled rows, chosen by a hash of the text, a bound
+The model is fitted on at most about MAX_TRAIN labelled rows, chosen by a hash of id and text (copies of one text do not stand or fall together), a bound
 that does not grow with the table; predictions are made for every row and read whole texts. What
 is sent to the executors has a fixed size: 2 MB at most for 8 languages of 65,536 trigram buckets.
 
@@ -96,13 +96,13 @@ class LanguageModel:
         return self.languages[best[i]], min(1.0, float(share[i]))
 
 
-def train(labelled: DataFrame, text="text", lang="lang", max_rows: int = MAX_TRAIN) -> LanguageModel:
+def train(labelled: DataFrame, text="text", lang="lang", max_rows: int = MAX_TRAIN, key="doc_id") -> LanguageModel:
     """Fit on rows with a non-null label. Counts are made in the tasks and summed by Spark; what
     comes to the driver has a row a language and bucket at most."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where("lang is not null and text is not null")
     n = labelled.where(F.col(lang).isNotNull()).count()
     if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+        rows = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -116,7 +116,7 @@ def train(labelled: DataFrame, text="text", lang="lang", max_rows: int = MAX_TRA
             at = np.flatnonzero(table)
             yield pd.DataFrame({"lang": name, "bucket": at, "n": table[at]})
 
-    got = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = rows.select("text", "lang").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = got.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy("lang").collect()
     table = np.zeros((len(got), BUCKETS), dtype=np.int64)
     for i, r in enumerate(got):
@@ -140,7 +140,7 @@ def predict_column(spark, model: LanguageModel, text: Column) -> Column:
 
 def identify(docs: DataFrame, key="doc_id", text="text", lang="lang") -> DataFrame:
     """docs' rows as struct row, with held_out, lang_pred and score."""
-    model = train(docs.where(~held_out(F.col(key))), text, lang)
+    model = train(docs.where(~held_out(F.col(key))), text, lang, key=key)
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), held_out(docs[key]).alias("held_out"), predict_column(docs.sparkSession, model, docs[text]).alias("p"))
     return held.select("row", "held_out", "p.lang_pred", "p.score")
 
