@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
@@ -27,7 +28,20 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
         if _own_dir is None:
             _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
         base = _own_dir
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    _written.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}")
+    return _written[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this driver has written to the shared folder so far; returns the number of folders.
+
+    Results read those tables when they are asked for, so call it once they are written or no longer needed.
+    """
+    n, conf = len(_written), spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def stash(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
