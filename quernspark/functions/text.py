@@ -112,10 +112,6 @@ def golds_shown(golds: Column, field: str) -> Column:
     return F.array_join(F.transform(golds, lambda g: g[field]), " | ")
 
 
-def kind_heading(kind: Column) -> Column:
-    return F.initcap(F.replace(kind, F.lit("-"), F.lit(" ")))
-
-
 def metric_column(columns: list[str], name: str) -> str:
     found = [c for c in columns if name in c]
     if not found:

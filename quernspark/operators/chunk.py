@@ -102,10 +102,9 @@ class _Sections(HTMLParser):
 
     def handle_data(self, data):
         tags = [o["tag"] for o in self.open]
-        if any(t in self.SKIP for t in tags):
+        if any(t in self.SKIP for t in (tags[tags.index("main") :] if "main" in tags else tags)):
             return
-        if "title" not in tags or "main" in tags:
-            self.all.append(data)
+        self.all.append(data)
         if "main" in tags:
             self.main.append(data)
         for o in self.open:
@@ -147,18 +146,21 @@ def with_header(header: str, body: str, size: int = SIZE, least: int = LEAST_SEC
     return [m for m in made if n_tokens(m) >= least]
 
 
-def chunk_sections(pages: DataFrame, key: str = "source", html: str = "html", title: str | None = None) -> DataFrame:
-    """(key, chunk_id, pos, kind, member, text) of HTML pages, numbered by page."""
+def chunk_sections(pages: DataFrame, key: str = "source", html: str = "html") -> DataFrame:
+    """(key, title if there, chunk_id, pos, kind, member, text) of HTML pages, numbered by page. Markdown files (by name) are one section."""
 
     @F.pandas_udf("array<struct<kind: string, member: string, text: string>>")
     def sections(names: pd.Series, pages: pd.Series) -> pd.Series:
         def one(name, page):
-            return [(k, m, t) for k, m, header, body in page_sections(page or "", re.sub(r"\.html$", "", name or "")) for t in with_header(header, body)]
+            stem = re.sub(r"\.(html|md)$", "", name or "")
+            found = [("page", "", stem, (page or "").strip())] if (name or "").endswith(".md") else page_sections(page or "", stem)
+            return [(k, m, t) for k, m, header, body in found for t in with_header(header, body)]
 
         return pd.Series([one(n, p) for n, p in zip(names, pages)])
 
-    rows = pages.select(F.col(key), F.posexplode(sections(F.col(key).cast("string"), F.col(html))).alias("pos", "c"))
-    return rows.select(key, F.concat_ws("::", F.col(key).cast("string"), F.col("pos").cast("string")).alias("chunk_id"), "pos", "c.*")
+    kept = [c for c in (key, "title") if c in pages.columns]
+    rows = pages.select(*kept, F.posexplode(sections(F.col(key).cast("string"), F.col(html))).alias("pos", "c"))
+    return rows.select(*kept, F.concat_ws("::", F.col(key).cast("string"), F.col("pos").cast("string")).alias("chunk_id"), "pos", "c.*")
 
 
 def token_batches(chunks: DataFrame, budget: int = BATCH_TOKENS, text: str = "text") -> DataFrame:
@@ -204,8 +206,3 @@ def window_chunks(docs: DataFrame, size: int = 200, overlap: int = 50, key: str
     rows = docs.select(key, words.alias("w")).where(F.size("w") > 0)
     rows = rows.select(key, "w", F.explode(starts(F.size("w"))).alias("pos"))
     return rows.select(key, "pos", F.array_join(F.slice("w", F.col("pos") * step + 1, F.lit(size)), " ").alias("text"))
-
-
-def numbered(chunks: DataFrame, key: str = "source") -> DataFrame:
-    order = Window.partitionBy(key).orderBy("pos")
-    return chunks.withColumn("chunk_id", F.concat_ws("::", F.col(key).cast("string"), (F.row_number().over(order) - 1).cast("string")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.html import page
 
 GOLD = "ground_truth_answer string, source_passage string, source_file string"
 EVAL = f"id string, question string, {GOLD}, query_type string, alt_golds array<struct<{GOLD.replace(' string', ': string')}>>, gold_note string"
@@ -32,8 +33,10 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     rows = files.select(name.alias("source"), decode("content").alias("raw"))
     html = F.col("source").endswith(".html")
     stem = F.regexp_replace("source", r"\.[^.]*$", "")
-    title = F.when(html, T.html_title(F.col("raw"), stem)).otherwise(stem)
-    rows = rows.select("source", title.alias("title"), F.when(html, T.html_text(F.col("raw"))).otherwise(F.trim("raw")).alias("text"), "raw", html.alias("html")).where("text <> ''")
+    rows = rows.withColumn("page", page(F.when(html, F.col("raw"))))
+    title = F.when(html & (F.col("page.title") != ""), F.col("page.title")).otherwise(stem)
+    plain = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
+    rows = rows.select("source", title.alias("title"), F.when(html, F.col("page.text")).otherwise(plain).alias("text"), "raw", html.alias("html")).where("text <> ''")
     numbers = rows.select("source", (F.row_number().over(Window.orderBy(F.desc("html"), "source")) - 1).alias("pos"))
     return rows.join(numbers, "source")
 

@@ -3,6 +3,7 @@
 import pytest
 
 from quernspark.functions import text as T
+from quernspark.functions.html import page, read_page
 from quernspark.operators import chunk, diagnose, evaluate, judge, models, retrieve, validate
 from quernspark.plans import ask
 from quernspark.sources import tables
@@ -179,6 +180,23 @@ def test_blank_golds_and_spelling_of_the_refusal(spark):
     assert validate.violations(frame(spark, [], tables.EVAL), chunks).count() == 0
 
 
+def test_pages_that_are_not_well_formed(spark):
+    odd = "<title>A &amp; B</title><body><nav>skip<main><p>one &#8212; two&hearts;<br>three<script>x<y</script><div>four</main> out"
+    assert read_page(odd) == ("A & B", "one — two♥\nthree\nfour")
+    assert read_page("<p>a</i>b<b>c") == ("", "a\nb\nc") and read_page(None) == ("", "")
+    assert read_page("<html><title>T</title><p>no main</p>")[1] == "T\nno main"
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    both = rows.select(T.html_text(rows.html).alias("a"), T.html_title(rows.html, T.F.lit("")).alias("t"), page(rows.html).alias("b")).collect()
+    assert both and all((r.t, r.a) == (r.b.title, r.b.text) for r in both)
+
+
+def test_markdown_is_chunked_with_its_name(spark, tmp_path):
+    (tmp_path / "notes.md").write_text("  some notes on how queues and stacks are kept in order  ")
+    (tmp_path / "p.html").write_text("<title>P</title><main><section class='class-description'><p>what a page of this kind is for, in words</p></section></main>")
+    got = chunk.chunk_sections(tables.read_corpus(spark, str(tmp_path)), html="raw").collect()
+    assert {(r.source, r.title, r.kind, r.text.split("\n")[0]) for r in got} == {("notes.md", "notes", "page", "notes"), ("p.html", "P", "class-description", "p - Class description")}
+
+
 def test_both_token_counts_agree(spark):
     texts = ["a_b c d", "x²½ 12٣", "é́ naïve", " tab\t!?", "日本語 テスト", "", "𝒳y 9"]
     got = frame(spark, [(t,) for t in texts], "t string").select("t", T.count_tokens(T.F.col("t")).alias("n")).collect()
