@@ -6,8 +6,9 @@
    fingerprints, the pivots. Pivots alone give Spark nothing to shuffle by, so pairs come from blocks
    of bits: fingerprints at few differing bits must agree on some blocks, and those are an equality
    key (no pair within max_bits escapes it while blocks - agree >= max_bits).
-4. Within a key, a pair is discarded if its rows in the table differ by more than max_bits in any
-   coordinate (triangle inequality), and the survivors are verified on their bits.
+4. Within a key, rows are sorted by their distance to the first pivot and meet only those within
+   max_bits of it; a pair is discarded if its rows in the table differ by more than max_bits in any
+   other coordinate (triangle inequality), and the survivors are verified on their bits.
 5. Each task returns a spanning forest of what it links, not the pairs; components are joined by
    shuffles. Keys with very many fingerprints are cut into tiles, and each pair of tiles is a group
    of its own, so that no task holds an unbounded group and no pair is lost.
@@ -107,25 +108,31 @@ def key_rows(nodes: DataFrame, blocks: int, agree: int, words: int, key_words: i
 
 
 def link_sorted(group: np.ndarray, fp: np.ndarray, table: np.ndarray, max_bits: int) -> np.ndarray:
-    """Labels of rows (sorted by group) after linking all pairs of a group within max_bits.
+    """Labels of rows after linking all pairs of a group within max_bits.
 
-    Steps through the pairs at distance 1, 2, ... in the sorted order; memory stays near the number of rows.
+    The first pivot's distance decides who meets whom: rows are sorted by group and that distance, and
+    each meets those that follow within max_bits of it. Steps through the pairs 1, 2, ... places apart;
+    memory stays near the number of rows.
     """
+    order = np.lexsort((table[:, 0], group))
+    fp, table, place = fp[order], table[order], (group.astype(np.int64) * 512 + table[:, 0])[order]
+    end = np.searchsorted(place, place + max_bits, side="right")  # distances are below 256
     n = len(group)
-    stops = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
-    end = np.repeat(stops, np.diff(np.append(0, stops)))
     labels, at, step = np.arange(n), np.arange(n), 1
     while True:
         at = at[at + step < end[at]]
         if not len(at):
-            return labels
+            break
         i = at[labels[at] != labels[at + step]]
-        for c in range(0, table.shape[1], 4):  # the widest coordinate difference decides
+        for c in range(1, table.shape[1], 4):  # the widest coordinate difference decides
             i = i[(np.abs(table[i, c : c + 4] - table[i + step, c : c + 4]) <= max_bits).all(axis=1)]
         i = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1) <= max_bits]
         if len(i):
             labels = min_labels(n, labels, i, i + step)
         step += 1
+    out = np.empty(n, dtype=np.int64)
+    out[order] = order[labels]
+    return out
 
 
 def near_links(keyed: DataFrame, words: int, max_bits: int, tile: int = TILE) -> DataFrame:
