@@ -37,21 +37,32 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), budge
     """One row a source: source, source_size, target, passes (whole ones) and rest (words of the last one).
 
     Weights are dealt to the sources in code-point order, over and over. A target stops at
-    max_repeats times the size of its source; the excess goes to the others by weight (the water
-    level is found by one ordered window over the sources, not over documents).
+    max_repeats times the size of its source; the excess goes to the others by weight. Sources may be
+    many: they are numbered range by range, and the water level is found by sums over them, once
+    more for each time that it rises past some sources' stops.
     """
+    spark, order = sized.sparkSession, F.col("source").asc_nulls_last()
     tot = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    tot = tot.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    tot = stash(tot.withColumn("row", F.monotonically_increasing_id()), "mix")
+    part = F.shiftright("row", 33)  # of the number's parts, the one for the partition
+    before, starts = 0, {}
+    for r in tot.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a partition
+        starts[r["part"]], before = before % len(weights), before + r["count"]
+    start = F.element_at(F.array(*[F.lit(starts.get(i, 0)) for i in range(max(starts, default=0) + 1)]), (part + 1).cast("int"))
+    place = start + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    t = tot.withColumn("weight", weight).withColumn("cap", F.lit(float(max_repeats)) * F.col("source_size"))
-    t = t.withColumn("fills_at", F.col("cap") / F.col("weight"))
-    by_level = Window.orderBy("fills_at", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    whole = F.sum("source_size").over(Window.partitionBy())
-    t = t.withColumn("level", (F.lit(float(budget)) * whole - before) / after)
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", "level"))).over(Window.partitionBy())["level"])
-    t = t.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))))
+    t = tot.withColumn("weight", weight).withColumn("cap", F.lit(float(max_repeats)) * F.col("source_size")).drop("row")
+    t = stash(t.withColumn("fills_at", F.col("cap") / F.col("weight")), "mix")
+    whole, level, full = t.agg(F.sum("source_size")).first()[0] or 0, float("-inf"), -1
+    while True:
+        over = F.col("fills_at") < F.lit(level)
+        n, held, open_weight = t.agg(F.count_if(over), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == full or not open_weight:
+            break
+        full, level = n, (float(budget) * whole - (held or 0.0)) / open_weight
+    target = F.least("cap", F.lit(level) * F.col("weight")) if open_weight else F.col("cap")
+    t = t.withColumn("target", target)
     passes = F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(max_repeats)))
     t = t.withColumn("passes", passes.cast("long"))
     rest = F.when(F.col("passes") >= max_repeats, 0.0).otherwise(F.col("target") - F.col("passes") * F.col("source_size"))
