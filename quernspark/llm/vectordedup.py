@@ -13,8 +13,8 @@ stays, so that a large group of near copies takes few codewords. The calibration
 of the sample, how many cells its asker visits until it comes to it, each asker with the same weight;
 there is no cap on the visits but the number of cells. The number of codewords follows the number of
 vectors, so that a cell's expected size stays the same (CELL), up to MAX_CODES codewords a half. Cells
-with very many vectors are cut into tiles, and each asker meets every tile: groups are bounded and no
-pair is lost. A group returns counts and a spanning forest of its links, never the pairs.
+with very many vectors are cut into tiles, those with very many askers into blocks, and each block meets
+each tile in a group of its own: groups are bounded and no pair is lost. A group returns counts and a spanning forest of its links, never the pairs.
 
 Defined cases: vectors that are null, zero, of a wrong length, or hold null or non-finite
 components link with nothing, nor do those with a null label. Rows that repeat a vec_id are one vector
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, min_labels, stash
 
-SAMPLE, CELL, TILE, LEAST_CODES, MAX_CODES, LEAST_VISITS = 20_000, 16, 2048, 4, 2048, 4
+SAMPLE, CELL, TILE, BLOCK, LEAST_CODES, MAX_CODES, LEAST_VISITS = 20_000, 16, 2048, 4096, 4, 2048, 4
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -131,7 +131,7 @@ def fit(sample: np.ndarray, labels: np.ndarray, n: int, n_labels: int, threshold
     return index
 
 
-def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="label", threshold: float = 0.98, target_recall: float = 0.999, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="label", threshold: float = 0.98, target_recall: float = 0.999, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """(key, n_links, component) of every distinct key, and of each row without a key."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
@@ -162,18 +162,28 @@ def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="la
 
     placed = stash(good.mapInPandas(place, "key long, label string, copies long, cells array<long>, v binary"), "vectors")
     own = placed.withColumn("cell", F.col("cells")[0])
-    hot = stash(own.groupBy("label", "cell").count().where(F.col("count") > tile).select("label", "cell", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "vectors")
-    in_tiles = lambda df: df.join(hot, ["label", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    members = in_tiles(own.withColumn("asks", F.lit(False))).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn("block", F.lit(0))
-    askers = in_tiles(placed.withColumn("cell", F.explode("cells")).withColumn("asks", F.lit(True))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    both = members.drop("tiles", "block").unionByName(askers.drop("tiles"))
-    both = both.repartition("label", "cell", "tile").sortWithinPartitions("label", "cell", "tile", "asks")
+    asking = placed.withColumn("cell", F.explode("cells"))
+    crowd = asking.groupBy("label", "cell").agg(F.count("*").alias("a")).join(own.groupBy("label", "cell").agg(F.count("*").alias("m")), ["label", "cell"], "left")
+    many = lambda c, most: F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int")
+    crowd = crowd.where((F.col("a") > block) | (F.col("m") > tile)).select("label", "cell", many("m", tile).alias("tiles"), many("a", block).alias("blocks"))
+    crowd = stash(crowd, "vectors")
+
+    def dealt(df: DataFrame, asks: bool) -> DataFrame:
+        """A row lies in one tile of its cell (a member) or in one block (an asker), and goes to every block or tile there."""
+        df = df.join(crowd, ["label", "cell"], "left").withColumn("asks", F.lit(asks))
+        one, all_of = ("block", "tile") if asks else ("tile", "block")
+        df = df.withColumn(one, F.pmod(F.xxhash64("key"), F.coalesce(f"{one}s", F.lit(1))).cast("int"))
+        return df.withColumn(all_of, F.explode(F.sequence(F.lit(0), F.coalesce(f"{all_of}s", F.lit(1)) - 1))).drop("tiles", "blocks")
+
+    both = dealt(own, False).unionByName(dealt(asking, True))
+    group = ("label", "cell", "tile", "block")
+    both = both.repartition(*group).sortWithinPartitions(*group, "asks")
 
     def verify(batches):
         """Rows come by group, members first; askers are taken against them in blocks."""
         group, known, waiting = None, [], []
         for pdf in batches:
-            names = list(zip(pdf["label"], pdf["cell"], pdf["tile"]))
+            names = list(zip(pdf["label"], pdf["cell"], pdf["tile"], pdf["block"]))
             new = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
             for i, stop in zip(new, [*new[1:], len(names)]):
                 if names[i] != group:

@@ -57,6 +57,7 @@ def test_vectors_on_a_grid_of_many_cells(spark, monkeypatch):
     monkeypatch.setattr(vectordedup, "fit", lambda *a, **b: made.append(fit(*a, **b)) or made[-1])
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     got = {r.key: (r.n_links, r.component) for r in vectordedup.near_vectors(df).collect()}
+    assert got == {r.key: (r.n_links, r.component) for r in vectordedup.near_vectors(df, tile=100, block=150).collect()}
     assert len(made[0].first) >= 8 and len(made[0].second) >= 8 and made[0].visits < len(made[0].first) * len(made[0].second)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.98
