@@ -1,6 +1,6 @@
 """The queries of this folder, and the SQL of those that SQL can express."""
 
-from . import imatch, langid, linededup, mixing, packing, sharding, simhash, urlfilter, vectordedup, warc
+from . import imatch, langid, linededup, mixing, packing, quality, resample, sharding, simhash, urlfilter, vectordedup, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -13,5 +13,7 @@ QUERIES = {
     "op8_shard": sharding.op8_shard,
     "op9_imatch": imatch.op9_imatch,
     "op10_vectordedup": vectordedup.op10_vectordedup,
+    "op11_resample": resample.op11_resample,
+    "op12_quality": quality.op12_quality,
 }
-ORACLE = {"op1_mix": mixing.SQL, "op7_warc": warc.SQL}
+ORACLE = {"op1_mix": mixing.SQL, "op7_warc": warc.SQL, "op11_resample": resample.SQL}
