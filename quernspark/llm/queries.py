@@ -1,6 +1,6 @@
 """The queries of this folder, and the SQL of those that SQL can express."""
 
-from . import imatch, langid, linededup, mixing, packing, quality, resample, sharding, simhash, urlfilter, vectordedup, warc
+from . import imatch, langid, linededup, mixing, packing, phrases, quality, resample, sharding, simhash, urlfilter, vectordedup, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_vectordedup": vectordedup.op10_vectordedup,
     "op11_resample": resample.op11_resample,
     "op12_quality": quality.op12_quality,
+    "op13_phrases": phrases.op13_phrases,
 }
-ORACLE = {"op1_mix": mixing.SQL, "op7_warc": warc.SQL, "op11_resample": resample.SQL}
+ORACLE = {"op1_mix": mixing.SQL, "op7_warc": warc.SQL, "op11_resample": resample.SQL, "op13_phrases": phrases.SQL}
