@@ -292,20 +292,21 @@ def op13_phrases(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
-g AS (SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i], ' '))) AS phrase, 1 AS words FROM w
-  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))), 2 FROM w
-  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))), 3 FROM w),
-f AS (SELECT lang, phrase, words, count(*) AS n FROM g GROUP BY ALL),
+WITH p AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+w AS MATERIALIZED (SELECT id, lang, unnest(w) AS w1, unnest(range(len(w))) AS pos FROM q),
+s AS MATERIALIZED (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
+f AS MATERIALIZED (SELECT lang, w1 AS phrase, lang || chr(9) || w1 AS key, 1 AS words, '' AS w1, '' AS w2, '' AS w3, count(*) AS n FROM s GROUP BY lang, s.w1
+  UNION ALL SELECT lang, w1 || ' ' || w2, lang || chr(9) || w1 || ' ' || w2, 2, w1, w2, '', count(*) FROM s WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 10
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, '', 3, w1, w2, w3, count(*) FROM s WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
 total AS (SELECT lang, sum(n) AS n FROM f WHERE words = 1 GROUP BY lang),
-c AS (SELECT lang, phrase, words, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 10),
-k AS (SELECT *, unnest(range(1, words)) AS k FROM c),
+k AS MATERIALIZED (SELECT lang, phrase, n AS a, 1 AS k, lang || chr(9) || w1 AS first, lang || chr(9) || w2 AS rest FROM f WHERE words = 2
+  UNION ALL SELECT lang, phrase, n, 1, lang || chr(9) || w1, lang || chr(9) || w2 || ' ' || w3 FROM f WHERE words = 3 UNION ALL SELECT lang, phrase, n, 2, lang || chr(9) || w1 || ' ' || w2, lang || chr(9) || w3 FROM f WHERE words = 3),
 cut AS (SELECT k.lang, k.phrase, k.a, k.k, l.n AS l, r.n AS r, (1000000::HUGEINT * k.a * k.a) // (l.n::HUGEINT * r.n) AS score FROM k
-  JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
-best AS (SELECT lang, phrase, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM cut GROUP BY ALL),
-held AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE words = 3) GROUP BY ALL),
-kept AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase) WHERE held.a IS NULL OR 100 * held.a < 50 * best.a),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
-SELECT lang, rank, phrase, a, b.l::BIGINT AS l, b.r::BIGINT AS r, total.n::BIGINT AS n, b.score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+  JOIN f l ON l.key = k.first JOIN f r ON r.key = k.rest),
+best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cut) WHERE nth = 1),
+held AS (SELECT lang, phrase, max(n) AS held FROM (SELECT lang, w1 || ' ' || w2 AS phrase, n FROM f WHERE words = 3 UNION ALL SELECT lang, w2 || ' ' || w3, n FROM f WHERE words = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN held USING (lang, phrase) WHERE held IS NULL OR 100 * held < 50 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l::BIGINT AS l, r::BIGINT AS r, total.n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
