@@ -10,10 +10,11 @@ together, and the size of such a part is the phrase's count.
 2. Suffixes end before a pair that is too rare, so that most of the text goes no further. Equal ones of
    a task are one row with a number. A sketch that is too full for its input lets rare pairs through;
    that costs shuffling, never a count.
-3. Routing. Suffixes go to buckets by language and leading words (the pair that they begin with), and
-   single words by themselves. A bucket is some thousandth of all, so a frequent leading word is spread
-   over many; of a frequent pair each task sends its different continuations only.
-4. In each bucket the pointers are partitioned into less, equal and greater by the word at the current
+3. Routing. Suffixes go to partitions by language and leading words (the pair that they begin with), and
+   single words by themselves, so a frequent leading word is spread over many partitions; of a frequent
+   pair each task sends its different continuations only. What a task sends to a partition is one row:
+   each leading pair once, with all that follows it, compressed.
+4. In each partition the pointers are partitioned into less, equal and greater by the word at the current
    depth of a pivot, all open parts in one round. The size of an equal part is the count of its words;
    it goes on at the next word, as deep as max_words. Parts smaller than min_count are abandoned.
 5. The counts of frequent phrases are a table; scores of cuts, containment and the first ones of each
@@ -26,22 +27,25 @@ columns of the input may have any names.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stash
-from .spans import Spans, as_strings
+from .spans import Spans, as_strings, spread
 from .words import BYTE, run_hashes, slices, stretch_hashes
 
 MAX_WORDS, MIN_COUNT, MOST_SHARE, TOP = 3, 10, 50, 2000
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 WORD = ~(BREAK | np.isin(np.arange(256), list(b" \t")))
-PIECE, HELD, SLICE = 16, 2_000_000, 1 << 22  # bits of a bucket inside a piece; rows that a task holds; bytes of text at once
-ROUTES = 16  # buckets a partition
+PIECE, HELD, SLICE = 16, 1_500_000, 1 << 21  # bits of a bucket inside a piece; rows that a task holds; bytes of text at once
+PACKED = "route int, langs array<string>, many array<int>, leads binary, ns binary"
 
 
 class _Pieces(Spans):
@@ -124,9 +128,9 @@ def _often(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def suffixes(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS, text="text", lang="lang") -> DataFrame:
-    """(lang, lead, rest, n): leads are pairs, single words, or empty (n: all words of a language); rest is what
-    follows a pair as far as all its pairs are frequent by the sketch. Equal rows of a task are one."""
+def suffixes(docs: DataFrame, bitmap: np.ndarray, routes: int, max_words: int = MAX_WORDS, text="text", lang="lang") -> DataFrame:
+    """Suffixes by route, as packed() writes them: leads are pairs, single words, or empty (n: all words of a
+    language); rest is what follows a pair as far as all its pairs are frequent by the sketch. Equal ones of a task are one."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def cut(batches):
@@ -139,10 +143,10 @@ def suffixes(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS, te
                     parts = [merged(parts)]
                     held = len(parts[0])
                     if held > HELD // 2:
-                        yield from parts[0].drop_columns("key").to_batches(100_000)
+                        yield packed(parts[0], routes)
                         parts, held = [], 0
         if held:
-            yield from merged(parts).drop_columns("key").to_batches(100_000)
+            yield packed(merged(parts), routes)
 
     def merged(parts):
         table = pa.concat_tables(parts)
@@ -171,15 +175,73 @@ def suffixes(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS, te
         keys, lo, mid, hi = (np.concatenate(x) for x in (keys, lo, mid, hi))
         _, first, n = np.unique(keys, return_index=True, return_counts=True)
         lo, mid, hi, text_of = lo[first], mid[first], hi[first], found.text[owner[first]]
-        made = [pa.array(keys[first]), batch["lang"].take(pa.array(text_of)), as_strings(data, lo, mid).cast(pa.string()), as_strings(data, np.minimum(mid + 1, hi), hi).cast(pa.string()), pa.array(n.astype(np.int64))]
+        leads = np.concatenate([found.single[single] ^ np.uint64(1), *[found.pair[pairs[run[pairs] == k]] for k in range(1, max_words)]])[first]
+        made = [pa.array(keys[first]), pa.array(leads), batch["lang"].take(pa.array(text_of)), as_strings(data, lo, mid).cast(pa.string()), as_strings(data, np.minimum(mid + 1, hi), hi).cast(pa.string()), pa.array(n.astype(np.int64))]
         told = pd.DataFrame({"lang": batch["lang"].to_pandas(), "n": np.diff(found.first)}).groupby("lang", as_index=False)["n"].sum()
         blank = [""] * len(told)
         salts = dict(zip(batch["lang"].to_pylist(), _salts(batch).tolist()))
-        all_ = [pa.array([salts[x] for x in told["lang"]], pa.uint64()), pa.array(told["lang"], pa.string()), pa.array(blank, pa.string()), pa.array(blank, pa.string()), pa.array(told["n"], pa.int64())]
-        names = ["key", "lang", "lead", "rest", "n"]
+        own = pa.array([salts[x] for x in told["lang"]], pa.uint64())
+        all_ = [own, own, pa.array(told["lang"], pa.string()), pa.array(blank, pa.string()), pa.array(blank, pa.string()), pa.array(told["n"], pa.int64())]
+        names = ["key", "lead_key", "lang", "lead", "rest", "n"]
         return pa.concat_tables([pa.table(made, names=names), pa.table(all_, names=names)])
 
-    return _languages(docs, text, lang).mapInArrow(cut, "lang string, lead string, rest string, n long")
+    return _languages(docs, text, lang).mapInArrow(cut, PACKED)
+
+
+def _texts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of strings."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8), bounds
+
+
+def packed(table: pa.Table, routes: int) -> pa.RecordBatch:
+    """PACKED rows of (lead_key, lang, lead, rest, n), one a route that has any: lines of a lead and its rests with
+    ; between them (neither ; nor a line end is part of a word), the number of each rest, and how many lines a language has."""
+    key = table["lead_key"].to_numpy()
+    route = ((key >> np.uint64(32)) * np.uint64(routes) >> np.uint64(32)).astype(np.int64)
+    tongue = table["lang"].combine_chunks().dictionary_encode()
+    code = tongue.indices.to_numpy()
+    order = np.lexsort((key, code, route))
+    key, route, code, n = key[order], route[order], code[order], table["n"].to_numpy()[order].astype("<u4")
+    (lead, at1), (rest, at2) = _texts(table["lead"]), _texts(table["rest"])
+    fresh = np.append(True, (key[1:] != key[:-1]) | (code[1:] != code[:-1]) | (route[1:] != route[:-1]))
+    lo, sizes, gaps = (np.empty(2 * len(order), dtype=np.int64) for _ in range(3))
+    lo[0::2], lo[1::2] = at1[order], at2[order] + len(lead)
+    sizes[0::2], sizes[1::2] = np.where(fresh, at1[order + 1] - at1[order], 0), at2[order + 1] - at2[order]
+    gaps[0::2], gaps[1::2] = fresh, 1
+    ends = np.cumsum(sizes + gaps)
+    out = np.full(ends[-1], ord(";"), dtype=np.uint8)
+    inner = np.ones(len(out), dtype=bool)
+    inner[ends[gaps > 0] - 1] = False
+    out[inner] = np.concatenate([lead, rest])[spread(lo, sizes)]
+    out[ends[1::2][np.append(fresh[1:], True)] - 1] = ord("\n")
+    press, rows = zstandard.ZstdCompressor(), []
+    cuts = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))
+    names = tongue.dictionary.to_pylist()
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        spoken, many = np.unique(code[i:j][fresh[i:j]], return_counts=True)
+        leads = out[ends[2 * i - 1] if i else 0 : ends[2 * j - 1]]
+        rows.append((int(route[i]), [names[k] for k in spoken], many.tolist(), press.compress(leads.tobytes()), press.compress(n[i:j].tobytes())))
+    kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["route", "langs", "many", "leads", "ns"])
+
+
+def unpacked(batches) -> tuple[pa.Array, pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """(language of each lead, leads, lead of each suffix, rests, n) of PACKED rows."""
+    open_, langs, lines, ns = zstandard.ZstdDecompressor(), [], [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            langs += [np.repeat(np.array(r["langs"], dtype=object), r["many"])]
+            lines.append(open_.decompress(r["leads"]))
+            ns.append(np.frombuffer(open_.decompress(r["ns"]), dtype="<u4"))
+    data = np.frombuffer(b"".join(lines), dtype=np.uint8)
+    ends = np.flatnonzero(data == ord("\n"))
+    split = pc.split_pattern(as_strings(data, np.append(0, ends[:-1] + 1), ends), ";")
+    flat, at = split.flatten(), split.offsets.to_numpy()
+    first = np.zeros(len(flat), dtype=bool)
+    first[at[:-1]] = True
+    return pa.array(np.concatenate(langs), pa.string()), flat.take(pa.array(at[:-1])), np.repeat(np.arange(len(ends)), np.diff(at) - 1), flat.filter(pa.array(~first)), np.concatenate(ns).astype(np.int64)
 
 
 def quicksort(codes: np.ndarray, n: np.ndarray, min_count: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -216,44 +278,36 @@ def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int
     words 0 has the number of all words of a language of at least as many."""
     bitmap = sketch(docs, sketch_bits(docs, text), min_count, text, lang)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = suffixes(docs, bitmap, max_words, text, lang)
-    routed = rows.withColumn("route", F.pmod(F.xxhash64("lang", "lead"), F.lit(n * ROUTES)).cast("int"))
-    routed = routed.repartition(n, "route").sortWithinPartitions("route")
+    routed = suffixes(docs, bitmap, n, max_words, text, lang).repartitionById(n, F.col("route"))
 
     def count(batches):
-        held, last = [], None  # the rows of one bucket
-        for batch in batches:
-            route = batch["route"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(route)) + 1).tolist(), len(route)]
-            for i, j in zip(cuts, cuts[1:]):
-                if i == j:
-                    continue
-                if held and route[i] != last:
-                    yield counted(held)
-                    held = []
-                last = route[i]
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield counted(held)
-
-    def counted(batches):
-        table = pa.Table.from_batches(batches).combine_chunks()
-        lead = pc.binary_join_element_wise(table["lang"], table["lead"], "\0").combine_chunks().dictionary_encode().indices
-        rest = pc.split_pattern(table["rest"], " ").combine_chunks()
-        words = rest.flatten().dictionary_encode().indices.to_numpy()
-        begin = rest.offsets.to_numpy()
-        long = np.where(pc.equal(table["rest"], "").to_numpy(), 0, np.diff(begin))
-        codes = np.full((max(1, max_words - 1), len(table)), -1, dtype=np.int64)
-        codes[0] = lead.to_numpy()
+        langs, leads, lead, rests, n = unpacked(batches)
+        at, depth, counts = (np.concatenate(x) for x in zip(*quicksort(coded(langs, leads, lead, rests), n, min_count)))
+        for i in range(0, len(at), 100_000):
+            own, deep = at[i : i + 100_000], depth[i : i + 100_000]
+            told, first = (x.take(pa.array(lead[own])) for x in (langs, leads))
+            after = rests.take(pa.array(own)).to_pylist()
+            phrases = [" ".join([a, *b.split(" ")[: d - 1]]) if d > 1 else a for a, b, d in zip(first.to_pylist(), after, deep.tolist())]
+            yield pa.RecordBatch.from_arrays([told, pa.array(phrases, pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p in phrases], pa.int32()), pa.array(counts[i : i + 100_000])], ["lang", "phrase", "words", "n"])
+
+    def coded(langs, leads, lead, rests):
+        """Numbers of the leading words and of the words of rests, a row for each depth; -1 where a suffix has ended."""
+        words = pc.split_pattern(rests, " ")
+        begin, flat = words.offsets.to_numpy(), words.flatten().dictionary_encode().indices.to_numpy()
+        long = np.where(pc.equal(rests, "").to_numpy(zero_copy_only=False), 0, np.diff(begin))
+        out = np.full((max(1, max_words - 1), len(rests)), -1, dtype=np.int64)
+        out[0] = pc.binary_join_element_wise(langs.cast(pa.large_string()), leads, pa.scalar("\0", pa.large_string())).dictionary_encode().indices.to_numpy()[lead]
         for d in range(1, max_words - 1):
             has = np.flatnonzero(long >= d)
-            codes[d, has] = words[begin[has] - begin[0] + d - 1]
-        at, depth, n = (np.concatenate(x) for x in zip(*quicksort(codes, table["n"].to_numpy(), min_count)))
-        langs, leads, rests = (table[c].take(pa.array(at)).to_pylist() for c in ("lang", "lead", "rest"))
-        phrases = [" ".join([a, *b.split(" ")[: d - 1]]) if d > 1 else a for a, b, d in zip(leads, rests, depth.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p in phrases], pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "words", "n"])
+            out[d, has] = flat[begin[has] + d - 1]
+        return out
+
+    def some(batches):  # a partition without rows has nothing to count
+        first = next((b for b in batches if len(b)), None)
+        if first is not None:
+            yield from count(itertools.chain([first], batches))
 
-    return routed.select("route", "lang", "lead", "rest", "n").mapInArrow(count, "lang string, phrase string, words int, n long")
+    return routed.mapInArrow(some, "lang string, phrase string, words int, n long")
 
 
 def _part(first: int, length) -> F.Column:
