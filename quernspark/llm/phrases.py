@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stash
-from .spans import Spans, as_strings, spread
+from .spans import Spans, as_strings, gathered
 from .words import BYTE, run_hashes, slices, stretch_hashes
 
 MAX_WORDS, MIN_COUNT, MOST_SHARE, TOP = 3, 10, 50, 2000
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 WORD = ~(BREAK | np.isin(np.arange(256), list(b" \t")))
-PIECE, HELD, SLICE = 16, 1_500_000, 1 << 21  # bits of a bucket inside a piece; rows that a task holds; bytes of text at once
+PIECE, HELD, SLICE = 16, 800_000, 1 << 21  # bits of a bucket inside a piece; rows that a task holds; bytes of text at once
 PACKED = "route int, langs array<string>, many array<int>, leads binary, ns binary"
 
 
@@ -214,7 +214,7 @@ def packed(table: pa.Table, routes: int) -> pa.RecordBatch:
     out = np.full(ends[-1], ord(";"), dtype=np.uint8)
     inner = np.ones(len(out), dtype=bool)
     inner[ends[gaps > 0] - 1] = False
-    out[inner] = np.concatenate([lead, rest])[spread(lo, sizes)]
+    out[inner] = gathered(np.concatenate([lead, rest]), lo, sizes)
     out[ends[1::2][np.append(fresh[1:], True)] - 1] = ord("\n")
     press, rows = zstandard.ZstdCompressor(), []
     cuts = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))

@@ -40,7 +40,7 @@ class Spans:
         out = np.full(bounds[-1], 0x20, dtype=np.uint8)
         inner = np.ones(len(out), dtype=bool)
         inner[bounds[1:] - 1] = False
-        out[inner] = self.data[spread(self.starts, sizes)]
+        out[inner] = gathered(self.data, self.starts, sizes)
         return out, bounds
 
 
@@ -50,8 +50,14 @@ def spread(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(lo - before, sizes) + np.arange(int(sizes.sum()))
 
 
+def gathered(data: np.ndarray, lo: np.ndarray, sizes: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """data[lo[i]:lo[i] + sizes[i]] of all spans, one after the other; places are made for so many spans at once."""
+    parts = [data[spread(lo[i : i + most], sizes[i : i + most])] for i in range(0, len(lo), most)]
+    return np.concatenate([data[:0], *parts])
+
+
 def as_strings(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     """data[lo[i]:hi[i]] as strings."""
     sizes = hi - lo
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(bounds), pa.py_buffer(data[spread(lo, sizes)]))
+    return pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(bounds), pa.py_buffer(gathered(data, lo, sizes)))
