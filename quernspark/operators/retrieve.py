@@ -12,21 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import postings as index
+from . import topk
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values of BM25 Okapi
 RETRIEVE_K, TOP_N, RRF_K = 20, 5, 60
-MOST_ASKED, MOST_QUERIES = 200_000, 20_000  # rows that are broadcast at once: terms of questions, vectors of questions
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf)."""
-    return docs.select("chunk_id", F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-
-
-def indexed_terms(docs: DataFrame) -> DataFrame:
-    """(chunk_id, dl, term, tf): postings with the document's length beside them."""
-    rows = docs.select("chunk_id", T.tokenize(F.col("text")).alias("t"))
-    return rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+MOST_ASKED, MOST_BYTES = 200_000, 64 << 20  # sent at once: terms of questions, bytes of questions' vectors
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
@@ -68,34 +59,50 @@ def asked_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, most: int = MOST_ASKED, stats=None, terms: DataFrame | None = None, tf: DataFrame | None = None) -> DataFrame:
+def asked_idf(docs: DataFrame, n: int, words: list[str]) -> dict[str, float]:
+    """The idf of the words that documents have. The mean that floors it is over all terms: one pass, one row."""
+    frame = docs.sparkSession.createDataFrame([(w,) for w in words], "term string")
+    table = raw_idf(docs, n).join(F.broadcast(frame.withColumn("asked", F.lit(True))), "term", "left")
+    told = F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("asked")
+    mean, asked = table.agg(F.avg("raw"), told).first()
+    return {r["term"]: EPSILON * mean if r["raw"] < 0 else r["raw"] for r in asked}
+
+
+def sets_of(rows: DataFrame, key: str, most: int):
+    """The rows of a stated set in lists of about most, a key's rows together; one list at a time is on the driver."""
+    for part in sliced(rows, key, most):
+        yield part.collect()
+
+
+def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, most: int = MOST_ASKED, stats=None, terms: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Top k; ties by chunk_id; unscored documents fill up with score 0, as if all had been scored.
 
-    The questions' terms are sent to the documents, at most about most rows at once (more questions
-    are taken in slices): terms that nobody asks for never leave their task. What is left is dealt
-    out by document once; each document's scores are then summed where they are, and every task
-    keeps its k best of each question before the lists meet. With an index that is stored, stats,
-    terms (term, idf) and tf (chunk_id, dl, term, tf) come from it.
+    Without an index every text is read twice: for the statistics of its terms, and to be scored in its
+    task, which keeps its k best of each question; only those meet. The questions' terms are sent to the
+    tasks, at most about most at once (more questions are taken in slices). With an index that is
+    stored, stats, terms and postings come from it, and only what can be among the k best is scored.
     """
     n, avgdl = stats or index_stats(docs)
-    mean = raw_idf(docs, n).agg(F.avg("raw")).first()[0] if terms is None else None
-    lowest = (mean or 0.0) if terms is None else terms.agg(F.min("idf")).first()[0] or 0.0
-    lists = []
-    for asked in sliced(asked_terms(questions), "query_id", most):
-        words = asked.select("term").distinct()
-        known = floored(raw_idf(docs, n, words), F.lit(mean)) if terms is None else terms
-        by_term = F.broadcast(known.select("term", "idf").join(F.broadcast(asked), "term").groupBy("term", "idf").agg(F.collect_list(F.struct("query_id", "times")).alias("asks")))
-        if tf is None:
-            rows = docs.select("chunk_id", T.tokenize(F.col("text")).alias("t"))
-            rows = rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-            rows = rows.join(F.broadcast(words), "term", "left_semi").repartition("chunk_id")
-            hits = rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-        else:
-            hits = tf.join(F.broadcast(words), "term", "left_semi").repartition("chunk_id")
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-        each = hits.join(by_term, "term").select("chunk_id", part.alias("w"), F.explode("asks").alias("a"))
-        lists.append(each.groupBy("chunk_id", "a.query_id").agg(F.round(F.sum(F.col("a.times") * F.col("w")), 6).alias("score")).select("query_id", "chunk_id", "score"))
-    scored = reduce(DataFrame.unionByName, lists)
+    kind, parts = questions.schema["query_id"].dataType, []
+    asked = asked_terms(questions)
+    if postings is None:
+        for rows in sets_of(asked, "query_id", most):
+            weights = asked_idf(docs, n, sorted({r["term"] for r in rows}))
+            held = {}
+            for r in rows:
+                held.setdefault(r["query_id"], {})[r["term"]] = r["times"]
+            parts.append(topk.scored_by_terms(docs, list(held.items()), weights, avgdl, k, K1, B))
+        out = topk.merged(reduce(DataFrame.unionByName, parts), k).withColumn("query_id", F.col("query_id").cast(kind))
+        blank = questions.join(asked.select("query_id").distinct(), "query_id", "left_anti")  # questions without a word
+        lead = docs.select("chunk_id").orderBy("chunk_id").limit(k)
+        empty = blank.select("query_id").join(F.broadcast(lead)).withColumn("score", F.lit(0.0))
+        return out.unionByName(topk.merged(empty, k)) if blank.limit(1).count() else out
+    lowest = 0.0
+    for part in sliced(asked, "query_id", most):
+        words = [r["term"] for r in part.select("term").distinct().collect()]
+        lowest = min(lowest, index.pruned(terms, words).agg(F.min("idf")).first()[0] or 0.0)
+        parts.append(index.max_score(postings, terms, part, words, k))
+    scored = reduce(DataFrame.unionByName, parts)
     return top_k(zero_filled(scored, docs, questions, k, lowest < 0), k)
 
 
@@ -122,18 +129,20 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K, most: int = MOST_QUERIES) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Nearest k by squared distance. vectors: (chunk_id, v); queries: (query_id, q), a stated set.
 
-    The questions' vectors are sent to the tasks, at most about most at once (more are taken in
+    The questions' vectors are sent to the tasks, at most about most_bytes at once (more are taken in
     slices); the documents' vectors stay where they are, and every task keeps its k nearest of each
-    question before the lists meet.
+    question in a bounded list. Rows without a vector are not found; vectors of another length are an error.
     """
-    d = F.aggregate(F.zip_with("v", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    parts = [vectors.join(F.broadcast(q)).select("query_id", "chunk_id", F.round(d, 6).alias("distance")) for q in sliced(queries, "query_id", most)]
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).withColumn("score", T.similarity(F.col("distance")))
+    kind, first = queries.schema["query_id"].dataType, queries.where("q is not null")
+    width = first.agg(F.max(F.size("q"))).first()[0] or 1
+    parts = [topk.nearest(vectors, rows, k) for rows in sets_of(first.select("query_id", "q"), "query_id", max(1, most_bytes // (8 * width))) if rows]
+    if not parts:
+        return queries.join(vectors.select("chunk_id").limit(0)).select("query_id", "chunk_id", F.lit(0.0).alias("distance"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    ranked = topk.merged(reduce(DataFrame.unionByName, parts), k).withColumn("distance", 0.0 - F.col("score"))
+    return ranked.select(F.col("query_id").cast(kind).alias("query_id"), "chunk_id", "distance", T.similarity(F.col("distance")).alias("score"), "rank")
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int = RETRIEVE_K, constant: int = RRF_K) -> DataFrame:

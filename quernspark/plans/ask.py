@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunk, diagnose, evaluate, generate, models, retrieve, validate
+from ..operators import chunk, diagnose, evaluate, generate, models, postings, retrieve, validate
 from ..sources import tables
 
 
@@ -19,10 +19,12 @@ def build_index(spark: SparkSession, corpus: str, index: str, embedding=models.H
     chunks = chunk.chunk_documents(tables.read_corpus(spark, corpus).select("source", "title", "text"))
     tables.rebuild(chunks, f"{index}/chunks")
     chunks = spark.read.parquet(f"{index}/chunks")
-    tables.rebuild(retrieve.indexed_terms(chunks), f"{index}/postings")
     stats = retrieve.doc_stats(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tables.rebuild(stats, f"{index}/stats")
-    tables.rebuild(retrieve.term_stats(chunks, stats.first()["n"]), f"{index}/terms")
+    n, avgdl = spark.read.parquet(f"{index}/stats").first()
+    tables.rebuild(postings.blocks(postings.impacts(chunks, avgdl or 1.0, retrieve.K1, retrieve.B)), f"{index}/postings", "bucket")
+    bounds = postings.term_bounds(spark.read.parquet(f"{index}/postings"), retrieve.term_stats(chunks, n))
+    tables.rebuild(bounds, f"{index}/terms", "bucket")
     tables.rebuild(chunks.select("chunk_id", models.embed(F.col("text"), embedding).alias("v")), f"{index}/vectors")
 
 
@@ -39,7 +41,7 @@ class Index:
     def load(cls, spark: SparkSession, path: str, embedding=models.HashedTerms) -> Index:
         n, avgdl = spark.read.parquet(f"{path}/stats").first()
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(read("chunks"), read("vectors"), {"stats": (n, avgdl or 1.0), "terms": read("terms"), "tf": read("postings")}, embedding)
+        return cls(read("chunks"), read("vectors"), {"stats": (n, avgdl or 1.0), "terms": read("terms"), "postings": read("postings")}, embedding)
 
     def queries(self, questions: DataFrame) -> DataFrame:
         """Question vectors by the embedding that made the index."""

@@ -70,9 +70,9 @@ def read_judged(spark: SparkSession, folder: str, modes=MODES) -> DataFrame:
     return out
 
 
-def rebuild(df: DataFrame, path: str) -> None:
-    """An index is replaced as a whole, never appended to."""
-    df.write.mode("overwrite").parquet(path)
+def rebuild(df: DataFrame, path: str, *by: str) -> None:
+    """An index is replaced as a whole, never appended to; by: columns that become folders."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -31,12 +31,10 @@ def test_questions_in_slices_give_the_same_lists(spark, docs, asked):
     rows = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "score", "rank").collect()))
     whole = rows(retrieve.bm25(docs, asked, 4))
     assert rows(retrieve.bm25(docs, asked, 4, most=2)) == whole and len(whole) == 24
-    stored = {"stats": retrieve.index_stats(docs), "terms": retrieve.term_stats(docs, docs.count()), "tf": retrieve.indexed_terms(docs)}
-    assert rows(retrieve.bm25(docs, asked, 4, **stored)) == whole
     q = frame(spark, [(i, [float(i), 1.0]) for i in range(5)], "query_id long, q array<float>")
     v = frame(spark, [(i, [float(i % 3), float(i)]) for i in range(9)], "chunk_id long, v array<float>")
     near = retrieve.dense(v, q, 3)
-    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, retrieve.dense(v, q, 3, most=2).collect())) and near.count() == 15
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, retrieve.dense(v, q, 3, most_bytes=40).collect())) and near.count() == 15
 
 
 def test_scores_below_zero_come_after_documents_without_one(spark):
@@ -53,9 +51,9 @@ def test_only_questions_are_broadcast(spark, docs, asked):
     try:
         v = frame(spark, [(i, [float(i), 0.0]) for i in range(9)], "chunk_id long, v array<float>")
         near = plan_of(retrieve.dense(v, v.select(v.chunk_id.alias("query_id"), v.v.alias("q"))))
-        assert "BroadcastNestedLoopJoin BuildRight" in near and "Cartesian" not in near and near.count("Exchange hashpartitioning") == 1
-        sparse = plan_of(retrieve.bm25(docs, asked))
-        assert "Cartesian" not in sparse and sparse.count("SortMergeJoin") == sparse.count("LeftAnti") == 1  # of the first documents
+        sparse = plan_of(retrieve.bm25(docs, asked.where("query_id < 3")))
+        for plan in (near, sparse):  # only the tasks' lists are shuffled and sorted
+            assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
