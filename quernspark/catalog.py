@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import chunk, diagnose, evaluate, generate, judge, retrieve, validate
 from .plans import ask
+from .sources import tables
 
 
 def _read(spark, sf, name, *columns) -> DataFrame:
@@ -147,33 +148,42 @@ def _examples(spark, sf):
     )
 
 
-def _runs(spark, sf):
+def _runs(spark, sf, examples):
     """Runs of the four modes: contexts in rank order, sources, the default model's answer."""
     key = F.concat_ws("::", "mode", F.col("query_id").cast("string"))
     ranked = _ranked(spark, sf).withColumn("query_id", key)
     found = generate.contexts(ranked, _docs(spark, sf)).withColumn("id", F.split("query_id", "::")[1])
-    asked = _examples(spark, sf).select("id", "query_type", "question")
+    asked = examples.select("id", "query_type", "question")
     rows = found.join(asked, "id").withColumn("answer", generate.extractive(F.col("question"), F.col("chunks")))
     texts = F.transform("chunks", lambda c: c["text"]).alias("contexts")
     return rows.select("id", F.split("query_id", "::")[0].alias("mode"), "query_type", "question", "answer", texts, "sources")
 
 
+def _stored(spark, sf):
+    """(examples, runs), each made once and stored, as a job that runs and then judges has them."""
+    examples = tables.kept(_examples(spark, sf), "examples")
+    return examples, tables.kept(_runs(spark, sf, examples), "runs")
+
+
 def _facts(spark, sf):
-    return evaluate.run_facts(_runs(spark, sf), evaluate.golds(_examples(spark, sf)))
+    examples, runs = _stored(spark, sf)
+    return evaluate.run_facts(runs, evaluate.golds(examples))
 
 
 def judge_input(spark, sf):
-    rows = judge.judge_input(_runs(spark, sf), _examples(spark, sf))
+    examples, runs = _stored(spark, sf)
+    rows = judge.judge_input(runs, examples)
     digests = [F.md5(c).alias(f"{c}_md5") for c in ("reference", "response")]
     return rows.select("mode", "id", F.col("gold_idx").cast("long").alias("gold_idx"), *digests, F.size("retrieved_contexts").cast("long").alias("contexts"))
 
 
-def _scores(spark, sf):
-    return judge.judged(judge.judge_input(_runs(spark, sf), _examples(spark, sf)))
+def _scores(runs, examples):
+    return tables.kept(judge.judged(judge.judge_input(runs, examples)), "judged")
 
 
 def judged_runs(spark, sf):
-    return _scores(spark, sf).select("mode", "id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
+    examples, runs = _stored(spark, sf)
+    return _scores(runs, examples).select("mode", "id", *[F.round(m, 6).alias(m) for m in evaluate.METRICS])
 
 
 def run_facts(spark, sf):
@@ -181,7 +191,7 @@ def run_facts(spark, sf):
 
 
 def call_budget(spark, sf):
-    return evaluate.call_budget(_runs(spark, sf).where("query_type <> 'unanswerable'")).select(F.col("strong").cast("long").alias("strong"), "light")
+    return evaluate.call_budget(_stored(spark, sf)[1].where("query_type <> 'unanswerable'")).select(F.col("strong").cast("long").alias("strong"), "light")
 
 
 def right_file(spark, sf):
@@ -189,14 +199,16 @@ def right_file(spark, sf):
 
 
 def diagnosed_runs(spark, sf):
-    rows = diagnose.with_facts(_scores(spark, sf), _facts(spark, sf)).withColumn("diagnosis", diagnose.diagnosis())
+    examples, runs = _stored(spark, sf)
+    facts = evaluate.run_facts(runs, evaluate.golds(examples))
+    rows = diagnose.with_facts(_scores(runs, examples), facts).withColumn("diagnosis", diagnose.diagnosis())
     return diagnose.histogram(rows)
 
 
 def rescored(spark, sf):
     """Golds of items with several accepted ones count as changed; before, both metrics were a quarter."""
-    examples, runs = _examples(spark, sf), _runs(spark, sf)
-    old = _scores(spark, sf).withColumns({m: F.lit(0.25) for m in evaluate.REF_DEPENDENT})
+    examples, runs = _stored(spark, sf)
+    old = _scores(runs, examples).withColumns({m: F.lit(0.25) for m in evaluate.REF_DEPENDENT})
     new = judge.rescore(old, runs, examples, examples.where(F.size("alt_golds") > 0))
     return evaluate.rescored(old, new).select("mode", "id", *[F.round(m, 6).alias(m) for m in evaluate.REF_DEPENDENT])
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .retrieve import sliced
@@ -13,6 +15,7 @@ from .retrieve import sliced
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 REF_DEPENDENT = ("context_precision", "context_recall")
 MODES = ("dense_only", "sparse_only", "hybrid", "hybrid_rerank")
+MOST_BYTES = 16 << 20  # of passages that are looked for at once
 
 
 def golds(examples: DataFrame) -> DataFrame:
@@ -99,28 +102,42 @@ def ablation(facts: DataFrame, judged: DataFrame, modes: DataFrame) -> DataFrame
     return modes.join(means, "mode", "left").join(rest, "mode", "left").orderBy("ord")
 
 
-def contained_in(passages: DataFrame, docs: DataFrame, words: int = 5, most: int = 100_000) -> DataFrame:
+def contained_in(passages: DataFrame, docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(item_id, doc_id): the normalised passage lies in the normalised document, wherever it begins and ends.
 
-    Each passage has one anchor, up to words of its words after the first: those are whole words of
-    any document that holds it. The anchors are sent to the documents (at most about most at once),
-    which are taken apart into runs of as many words where they are; only where an anchor is met the
-    two texts are compared. Passages of one or two words are compared with every document.
+    All passages together are one automaton (Aho and Corasick, 1975), so each document is read once, whatever
+    the number and length of the passages. They are a stated set: about most_bytes of them are sent to the
+    tasks at once, and more are taken in slices. Blank passages are in no document, null ids stay null.
     """
-    p = passages.select("item_id", T.norm(F.col("text")).alias("p")).where("p <> ''").withColumn("pw", F.split("p", " "))
-    p = p.withColumn("n", F.greatest(F.lit(0), F.least(F.size("pw") - 2, F.lit(words)))).withColumn("anchor", F.array_join(F.slice("pw", F.lit(2), F.col("n")), " "))
-    d = docs.select("doc_id", T.norm(F.col("text")).alias("d")).withColumn("w", F.split("d", " "))
-    found = []
-    for part in sliced(p.select("item_id", "p", "n", "anchor"), "item_id", most):
-        for n in [r["n"] for r in part.select("n").distinct().collect()]:  # at most words + 1 numbers
-            asked = F.broadcast(part.where(F.col("n") == n).select("item_id", "anchor", "p"))
-            if n:
-                runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))  # noqa: B023
-                at = d.where(F.size("w") >= n).select("doc_id", "d", F.explode(runs).alias("run"))
-                met = at.join(asked, F.col("run") == F.col("anchor"))
-            else:
-                met = d.join(asked, F.contains("d", "p"))
-            found.append(met.where(F.contains("d", "p")).select("item_id", "doc_id"))
+    p = passages.select("item_id", T.norm(F.col("text")).alias("p")).where("p <> ''")
+    size, many = p.agg(F.sum(F.octet_length("p")), F.count("*")).first()
+    found, types = [], {"item_id": passages.schema["item_id"].dataType, "doc_id": docs.schema["doc_id"].dataType}
+    for part in sliced(p, "item_id", max(1, many * most_bytes // max(1, size or 0))) if many else []:
+        found.append(_held(docs, [(r["p"], r["item_id"]) for r in part.collect()], types))
     if not found:
-        return docs.select(F.lit(0).cast("long").alias("item_id"), "doc_id").where("false")
+        return docs.select(F.lit(None).cast(types["item_id"]).alias("item_id"), "doc_id").where("false")
     return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _held(docs: DataFrame, passages: list[tuple[str, object]], types: dict) -> DataFrame:
+    ids: dict[str, list[int]] = {}
+    for i, (text, _) in enumerate(passages):
+        ids.setdefault(text, []).append(i)
+    items = [i for _, i in passages]
+    shared = docs.sparkSession.sparkContext.broadcast((ids, items))
+
+    def search(batches):
+        import ahocorasick
+
+        ids, items = shared.value
+        machine = ahocorasick.Automaton()
+        for text, at in ids.items():
+            machine.add_word(text, at)
+        machine.make_automaton()
+        for batch in batches:
+            hits = [(row, item) for row, text in enumerate(batch["d"].to_pylist()) if text for item in {i for _, at in machine.iter(text) for i in at}]
+            rows, which = zip(*hits) if hits else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in which], item_type), batch["doc_id"].take(pa.array(rows, pa.int64()))], ["item_id", "doc_id"])
+
+    item_type = to_arrow_type(types["item_id"])
+    return docs.select("doc_id", T.norm(F.col("text")).alias("d")).mapInArrow(search, f"item_id {types['item_id'].simpleString()}, doc_id {types['doc_id'].simpleString()}")

@@ -24,12 +24,14 @@ def doc_stats(docs: DataFrame) -> DataFrame:
     return docs.select("chunk_id", F.coalesce(F.size(T.tokenize(F.col("text"))), F.lit(0)).alias("dl"))
 
 
-def raw_idf(docs: DataFrame, n: int, asked: DataFrame | None = None) -> DataFrame:
-    """(term, df, raw) of all terms, or of the asked ones."""
+def raw(n: int):
+    return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def raw_idf(docs: DataFrame, n: int) -> DataFrame:
+    """(term, df, raw) of all terms."""
     distinct = docs.select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
-    distinct = distinct if asked is None else distinct.join(F.broadcast(asked), "term", "left_semi")
-    df = distinct.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return distinct.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw(n))
 
 
 def floored(raw: DataFrame, mean) -> DataFrame:
@@ -59,13 +61,19 @@ def asked_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(T.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def asked_idf(docs: DataFrame, n: int, words: list[str]) -> dict[str, float]:
-    """The idf of the words that documents have. The mean that floors it is over all terms: one pass, one row."""
+def asked_idf(docs: DataFrame, n: int, words: list[str]) -> tuple[dict[str, float], float]:
+    """(the idf of the words that documents have, the mean number of terms of n documents).
+
+    The mean that floors an idf is over all terms: one pass over the texts, one row.
+    """
     frame = docs.sparkSession.createDataFrame([(w,) for w in words], "term string")
-    table = raw_idf(docs, n).join(F.broadcast(frame.withColumn("asked", F.lit(True))), "term", "left")
+    rows = docs.select(T.tokenize(F.col("text")).alias("t"))
+    rows = rows.select(F.size("t").alias("dl"), F.posexplode(F.array_distinct("t")).alias("at", "term"))
+    df = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("dl"))).alias("dl"))
+    table = df.withColumn("raw", raw(n)).join(F.broadcast(frame.withColumn("asked", F.lit(True))), "term", "left")
     told = F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("asked")
-    mean, asked = table.agg(F.avg("raw"), told).first()
-    return {r["term"]: EPSILON * mean if r["raw"] < 0 else r["raw"] for r in asked}
+    mean, total, asked = table.agg(F.avg("raw"), F.sum("dl"), told).first()
+    return {r["term"]: EPSILON * mean if r["raw"] < 0 else r["raw"] for r in asked}, (total or 0) / max(1, n) or 1.0
 
 
 def sets_of(rows: DataFrame, key: str, most: int):
@@ -82,12 +90,12 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, most: int =
     tasks, at most about most at once (more questions are taken in slices). With an index that is
     stored, stats, terms and postings come from it, and only what can be among the k best is scored.
     """
-    n, avgdl = stats or index_stats(docs)
+    n = stats[0] if stats else docs.count()
     kind, parts = questions.schema["query_id"].dataType, []
     asked = asked_terms(questions)
     if postings is None:
         for rows in sets_of(asked, "query_id", most):
-            weights = asked_idf(docs, n, sorted({r["term"] for r in rows}))
+            weights, avgdl = asked_idf(docs, n, sorted({r["term"] for r in rows}))
             held = {}
             for r in rows:
                 held.setdefault(r["query_id"], {})[r["term"]] = r["times"]

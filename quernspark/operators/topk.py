@@ -158,6 +158,14 @@ def scored_by_terms(docs: DataFrame, questions: list, weights: dict[str, float],
         from collections import Counter
 
         at, numbers, (term, question, weight) = shared.value
+        # Words that many questions ask for are a matrix product; of the others each match is added by itself.
+        often = np.bincount(term, minlength=len(numbers))
+        often = np.flatnonzero(often >= max(8, np.sort(often)[-min(len(often), CELLS // max(1, len(at))) :].min(initial=0)))
+        column = np.full(len(numbers), -1)
+        column[often] = np.arange(len(often))
+        table, common = np.zeros((len(often), len(at))), column[term] >= 0
+        np.add.at(table, (column[term[common]], question[common]), weight[common])
+        term, question, weight = term[~common], question[~common], weight[~common]
         first = np.searchsorted(term, np.arange(len(numbers) + 1))
         best, words, size = Best(len(at), k), re.compile("[a-z0-9]+"), max(k, min(1024, CELLS // max(1, len(at))))
         for ids, part in sorted_blocks(batches, size):
@@ -171,7 +179,9 @@ def scored_by_terms(docs: DataFrame, questions: list, weights: dict[str, float],
                 dl += [len(found)] * len(held)
             doc, seen, tf, dl = (np.array(x, dtype=np.int64) for x in (doc, seen, tf, dl))
             part_w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
-            scores = np.zeros(len(at) * len(ids))
+            held, known = np.zeros((len(ids), len(often))), column[seen] >= 0
+            held[doc[known], column[seen[known]]] = part_w[known]
+            scores = np.ascontiguousarray((held @ table).T).ravel()
             many = first[seen + 1] - first[seen]
             cuts = np.searchsorted(np.cumsum(many), np.arange(CELLS, int(many.sum()) + CELLS, CELLS))
             for i in np.split(np.arange(len(seen)), cuts):

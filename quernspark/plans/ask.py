@@ -102,12 +102,14 @@ def ask(questions: DataFrame, docs: DataFrame, vectors: DataFrame, queries: Data
 
 
 def all_modes(questions: DataFrame, docs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(mode, query_id, chunk_id, rank) of the four modes. The lists are parts of one plan: Spark reuses the exchanges that they share."""
-    sparse, near = retrieve.bm25(docs, questions), retrieve.dense(vectors, queries)
-    hybrid = retrieve.rrf(near, sparse)
+    """(mode, query_id, chunk_id, rank) of the four modes. Both candidate lists, and what is made of them, are
+    stored: they are as many rows as the questions have candidates, and every later plan starts from them."""
+    sparse = tables.kept(retrieve.bm25(docs, questions).select("query_id", "chunk_id", "score", "rank"), "sparse")
+    near = tables.kept(retrieve.dense(vectors, queries).select("query_id", "chunk_id", "score", "rank"), "dense")
+    hybrid = tables.kept(retrieve.rrf(near, sparse), "hybrid")
     lists = {"dense_only": near, "sparse_only": sparse, "hybrid": hybrid, "hybrid_rerank": retrieve.rerank(hybrid, docs, questions)}
     cut = [x.where(F.col("rank") <= retrieve.TOP_N).select(F.lit(m).alias("mode"), "query_id", "chunk_id", "rank") for m, x in lists.items()]
-    return reduce(DataFrame.unionByName, cut)
+    return tables.kept(reduce(DataFrame.unionByName, cut), "ranked")
 
 
 def report(judged: DataFrame, facts: DataFrame, modes: DataFrame, worst: int = diagnose.WORST) -> str:

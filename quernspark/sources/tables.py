@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,7 +51,9 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # nothing is stored yet; anything else is an error
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -75,6 +80,27 @@ def rebuild(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+_own_dir: str | None = None
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to a folder that all executors share, and read again: several plans can start from it.
+
+    The folder is spark.checkpoint.dir; only a local session without that setting, as in tests, gets one of its own.
+    """
+    global _own_dir
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _own_dir
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").partitionBy("mode").parquet(path)
 

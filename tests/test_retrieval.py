@@ -149,7 +149,7 @@ def test_containment_against_plain(spark):
     got = {tuple(r) for r in evaluate.contained_in(frame(spark, items, "item_id long, text string"), frame(spark, docs, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2), (3, 3), (5, 1), (5, 3)}  # a passage may begin and end inside words
     items = [(1, "rown fox jump"), (2, "uick brown"), (3, "own fox jumps over i"), (4, "brown jumps over")]
-    got = {tuple(r) for r in evaluate.contained_in(frame(spark, items, "item_id long, text string"), frame(spark, docs, "doc_id long, text string"), most=2).collect()}
+    got = {tuple(r) for r in evaluate.contained_in(frame(spark, items, "item_id long, text string"), frame(spark, docs, "doc_id long, text string"), most_bytes=30).collect()}
     assert got == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1)}
 
 
