@@ -1,5 +1,6 @@
 """python -m quernspark index CORPUS INDEX | validate EVAL INDEX | browse INDEX WORDS [--file F] [-n N] [--chunk N]
-| ask INDEX [QUESTION] [--mode M] | compare INDEX QUESTION... | run EVAL INDEX OUT | report EVAL OUT"""
+| ask INDEX [QUESTION] [--mode M] | compare INDEX QUESTION... | run EVAL INDEX OUT | score EVAL OUT
+| rescore EVAL OUT --ids ID... | report EVAL OUT"""
 
 from __future__ import annotations
 
@@ -9,11 +10,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import evaluate, judge, retrieve
+from .operators import evaluate, retrieve
 from .plans import ask as plans
 from .sources import tables
 
-JOBS = {"index": ["corpus", "index"], "validate": ["eval_set", "index"], "browse": ["index", "words"], "ask": ["index"], "compare": ["index"], "run": ["eval_set", "index", "out"], "report": ["eval_set", "out"]}
+JOBS = {"index": ["corpus", "index"], "validate": ["eval_set", "index"], "browse": ["index", "words"], "ask": ["index"], "compare": ["index"], "run": ["eval_set", "index", "out"], "score": ["eval_set", "out"], "rescore": ["eval_set", "out"], "report": ["eval_set", "out"]}
 
 
 def show_answer(made: dict) -> None:
@@ -24,6 +25,25 @@ def show_answer(made: dict) -> None:
     print("  " + " | ".join(f"{k.removesuffix('_ms')} {v:.0f} ms" for k, v in made["timings"].items()))
 
 
+def judged_job(spark: SparkSession, a: argparse.Namespace) -> int:
+    """score, rescore and report: what is made of stored runs. A report reads the judgement files, and never judges."""
+    examples = tables.read_eval_set(spark, a.eval_set)
+    if a.job == "score":
+        for mode, path in plans.score_runs(spark, examples, a.out, a.modes).items():
+            print(f"{mode}: {path}")
+        return 0
+    if a.job == "rescore":
+        plans.rescore_runs(spark, examples, a.out, a.ids, a.modes).orderBy("mode", "id").show(1000, False)
+        return 0
+    runs = tables.read_or_empty(spark, f"{a.out}/runs", tables.RUN).where(F.col("mode").isin(*a.modes))
+    modes = spark.createDataFrame(list(enumerate(a.modes)), "ord int, mode string")
+    scores = tables.read_judged(spark, a.out, a.modes)
+    facts = evaluate.run_facts(runs, evaluate.golds(examples)).join(runs.select("mode", "id", F.col("timings.total_ms").alias("latency_ms")), ["mode", "id"])
+    tables.write_table(evaluate.ablation(facts, scores, modes), f"{a.out}/ablation")
+    print(plans.report(scores, facts, modes, a.worst))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quernspark", description=__doc__)
     sub = p.add_subparsers(dest="job", required=True)
@@ -37,9 +57,11 @@ def main(argv: list[str] | None = None) -> int:
     sub.choices["ask"].add_argument("question", nargs="?")
     sub.choices["ask"].add_argument("--mode", default="hybrid_rerank", choices=evaluate.MODES)
     sub.choices["compare"].add_argument("questions", nargs="+")
-    for job in ("run", "report"):
+    for job in ("run", "score", "rescore", "report"):
         sub.choices[job].add_argument("--modes", nargs="*", default=list(evaluate.MODES), choices=evaluate.MODES)
     sub.choices["run"].add_argument("--limit", type=int)
+    sub.choices["run"].add_argument("--rpm", type=float)
+    sub.choices["rescore"].add_argument("--ids", nargs="+", required=True)
     sub.choices["report"].add_argument("--worst", type=int, default=8)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("quernspark").getOrCreate()
@@ -48,14 +70,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.job == "validate":
         return 0 if plans.validate_eval_set(spark, a.eval_set, spark.read.parquet(f"{a.index}/chunks")) else 1
-    if a.job == "report":
-        examples, runs = tables.read_eval_set(spark, a.eval_set), tables.read_or_empty(spark, f"{a.out}/runs", tables.RUN).where(F.col("mode").isin(*a.modes))
-        modes = spark.createDataFrame(list(enumerate(a.modes)), "ord int, mode string")
-        scores = judge.judged(judge.judge_input(runs, examples)).join(runs.select("mode", "id", "query_type", F.col("question").alias("user_input")), ["mode", "id"])
-        facts = evaluate.run_facts(runs, evaluate.golds(examples)).join(runs.select("mode", "id", F.col("timings.total_ms").alias("latency_ms")), ["mode", "id"])
-        tables.write_table(evaluate.ablation(facts, scores, modes), f"{a.out}/ablation")
-        print(plans.report(scores, facts, modes, a.worst))
-        return 0
+    if a.job in ("score", "rescore", "report"):
+        return judged_job(spark, a)
     index = plans.Index.load(spark, a.index)
     if a.job == "browse":
         if a.chunk is not None:
@@ -67,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
         asked = spark.createDataFrame(list(enumerate(a.questions)), "query_id long, question string")
         index.side_by_side(asked).orderBy("query_id", "list", "rank").show(100 * len(a.questions), False)
     elif a.job == "run":
-        plans.run_modes(index, tables.read_eval_set(spark, a.eval_set), f"{a.out}/runs", f"{a.out}/errors", a.modes, first=a.limit)
+        plans.run_modes(index, tables.read_eval_set(spark, a.eval_set), f"{a.out}/runs", f"{a.out}/errors", a.modes, first=a.limit, rpm=a.rpm)
     else:
         while question := a.question or input("question (empty: end): ").strip():
             show_answer(plans.ask_one(index, question, a.mode))

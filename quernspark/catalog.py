@@ -178,7 +178,7 @@ def judge_input(spark, sf):
 
 
 def _scores(runs, examples):
-    return tables.kept(judge.judged(judge.judge_input(runs, examples)), "judged")
+    return tables.kept(judge.scores(tables.kept(judge.verdicts(judge.judge_input(runs, examples)), "verdicts")), "judged")
 
 
 def judged_runs(spark, sf):
@@ -358,8 +358,8 @@ def section_chunks(spark, sf):
 
 
 def token_batches(spark, sf):
-    """Rows only: batches depend on the partitions."""
-    return chunk.token_batches(_read(spark, sf, "documents", "doc_id", "text")).groupBy("batch").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    out = chunk.token_batches(_read(spark, sf, "documents", "doc_id", "text", "source"), order="doc_id")
+    return out.groupBy("source", "batch").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"), F.min("doc_id").alias("first"))
 
 
 def top_sources(spark, sf):

@@ -6,11 +6,9 @@ import re
 from collections import deque
 from html.parser import HTMLParser
 
-import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -51,15 +49,16 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators=S
     return [c for c in out if c]
 
 
-def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, key: str = "source", text: str = "text") -> DataFrame:
-    """(key, title if there, chunk_id, pos, text): numbered after chunks below least tokens are dropped."""
+def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, key: str = "source", text: str = "text", tokens=None) -> DataFrame:
+    """(key, title if there, chunk_id, pos, text): numbered after chunks below least tokens are dropped.
 
-    @F.pandas_udf("array<string>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [c for c in split_text(x or "", size, overlap) if n_tokens(c) >= least])
+    By the table function chunk_text; tokens is its hook for token counts.
+    """
+    from . import table_functions as tf
 
+    split = tf.text_chunks(size, overlap, least, tokens or tf.stand_in)
     keep = [c for c in docs.columns if c not in (text, "pos", "chunk_id")]
-    rows = docs.select(*keep, F.posexplode(split(F.col(text))).alias("pos", "text"))
+    rows = docs.select(*keep, F.col(text).alias("__whole")).lateralJoin(split(F.col("__whole").outer())).drop("__whole")
     return rows.withColumn("chunk_id", F.concat_ws("::", F.col(key).cast("string"), F.col("pos").cast("string")))
 
 
@@ -137,52 +136,35 @@ def page_sections(html: str, name: str) -> list[tuple[str, str, str, str]]:
     return out or [("page", "", name, _flat(reader.main if reader.has_main else reader.all))]
 
 
-def with_header(header: str, body: str, size: int = SIZE, least: int = LEAST_SECTION) -> list[str]:
+def with_header(header: str, body: str, size: int = SIZE, least: int = LEAST_SECTION, count=n_tokens) -> list[str]:
     """The body under its header; only a body beyond the header's budget is split (at size)."""
     if not body.strip():
         return []
-    fits = n_tokens(body) <= size - n_tokens(header) - 2
-    made = [f"{header}\n\n{p}" for p in ([body] if fits else split_text(body, size, OVERLAP, SENTENCE_SEPARATORS))]
-    return [m for m in made if n_tokens(m) >= least]
-
+    fits = count(body) <= size - count(header) - 2
+    made = [f"{header}\n\n{p}" for p in ([body] if fits else split_text(body, size, OVERLAP, SENTENCE_SEPARATORS, count))]
+    return [m for m in made if count(m) >= least]
 
-def chunk_sections(pages: DataFrame, key: str = "source", html: str = "html") -> DataFrame:
-    """(key, title if there, chunk_id, pos, kind, member, text) of HTML pages, numbered by page. Markdown files (by name) are one section."""
 
-    @F.pandas_udf("array<struct<kind: string, member: string, text: string>>")
-    def sections(names: pd.Series, pages: pd.Series) -> pd.Series:
-        def one(name, page):
-            stem = re.sub(r"\.(html|md)$", "", name or "")
-            found = [("page", "", stem, (page or "").strip())] if (name or "").endswith(".md") else page_sections(page or "", stem)
-            return [(k, m, t) for k, m, header, body in found for t in with_header(header, body)]
-
-        return pd.Series([one(n, p) for n, p in zip(names, pages)])
+def chunk_sections(pages: DataFrame, key: str = "source", html: str = "html", tokens=None) -> DataFrame:
+    """(key, title if there, chunk_id, pos, kind, member, text) of HTML pages, numbered by page. Markdown files (by name)
+    are one section. By the table function chunk_page."""
+    from . import table_functions as tf
 
     kept = [c for c in (key, "title") if c in pages.columns]
-    rows = pages.select(*kept, F.posexplode(sections(F.col(key).cast("string"), F.col(html))).alias("pos", "c"))
-    return rows.select(*kept, F.concat_ws("::", F.col(key).cast("string"), F.col("pos").cast("string")).alias("chunk_id"), "pos", "c.*")
+    named = pages.select(*kept, F.col(key).cast("string").alias("__name"), F.col(html).alias("__page"))
+    rows = named.lateralJoin(tf.page_chunks(tokens=tokens or tf.stand_in)(F.col("__name").outer(), F.col("__page").outer()))
+    return rows.select(*kept, F.concat_ws("::", F.col(key).cast("string"), F.col("pos").cast("string")).alias("chunk_id"), "pos", "kind", "member", "text")
 
 
-def token_batches(chunks: DataFrame, budget: int = BATCH_TOKENS, text: str = "text") -> DataFrame:
-    """chunks with batch: filled greedily up to budget tokens in each partition, at least one chunk each.
+def token_batches(chunks: DataFrame, budget: int = BATCH_TOKENS, text: str = "text", by: str = "source", order: str = "pos") -> DataFrame:
+    """(by, order, n_tokens, batch) of chunks: batches of each source, filled greedily in order up to budget tokens.
 
-    The running sum starts again at every batch, so a partition is read in order, in one pass.
+    The table function goes through a source's rows in one pass, without their texts; join it by (by, order).
     """
-    schema = StructType(list(chunks.schema.fields)).add("n_tokens", "long").add("batch", "string")
-    counted = chunks.withColumn("n_tokens", T.count_tokens(F.col(text)).cast("long")).withColumn("__p", F.spark_partition_id())
-
-    def fill(frames):
-        number, held = 0, 0
-        for pdf in frames:
-            names = []
-            for part, n in zip(pdf["__p"], pdf["n_tokens"]):
-                if held and held + n > budget:
-                    number, held = number + 1, 0
-                held += n
-                names.append(f"{part}-{number}")
-            yield pdf.drop(columns="__p").assign(batch=names)
-
-    return counted.mapInPandas(fill, schema)
+    from .table_functions import filled
+
+    slim = chunks.select(F.col(by).alias("part"), F.col(order).alias("at"), T.count_tokens(F.col(text)).cast("long").alias("n_tokens"))
+    return filled(slim, budget).select(F.col("part").alias(by), F.col("at").alias(order), "n_tokens", "batch")
 
 
 def chunk_stats(chunks: DataFrame, by: str) -> DataFrame:

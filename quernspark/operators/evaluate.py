@@ -61,16 +61,16 @@ def rescored(old: DataFrame, new: DataFrame, least: float = 1e-9) -> DataFrame:
     return out.where(F.exists(F.array(*REF_DEPENDENT), lambda x: F.abs(x) > least))
 
 
-def average_precision(verdicts: DataFrame) -> DataFrame:
-    """Context precision of (mode, id, rank, relevant): mean of precision at the relevant ranks, 0 without any."""
-    upto = Window.partitionBy("mode", "id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def average_precision(verdicts: DataFrame, keys=("mode", "id")) -> DataFrame:
+    """Context precision of (keys, rank, relevant): mean of precision at the relevant ranks, 0 without any."""
+    upto = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = verdicts.withColumn("p", F.sum("relevant").over(upto) / F.col("rank"))
-    return at.groupBy("mode", "id").agg(F.coalesce(F.try_divide(F.sum(F.col("p") * F.col("relevant")), F.sum("relevant")), F.lit(0.0)).alias("context_precision"))
+    return at.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("p") * F.col("relevant")), F.sum("relevant")), F.lit(0.0)).alias("context_precision"))
 
 
-def verdict_share(verdicts: DataFrame, name: str) -> DataFrame:
-    """Faithfulness or recall: the share of claims or sentences that hold; 0 without any."""
-    return verdicts.groupBy("mode", "id").agg(F.coalesce(F.avg("holds"), F.lit(0.0)).alias(name))
+def verdict_share(verdicts: DataFrame, name: str, keys=("mode", "id")) -> DataFrame:
+    """Faithfulness, relevancy or recall: the share of claims or sentences that hold; 0 without any."""
+    return verdicts.groupBy(*keys).agg(F.coalesce(F.avg("holds"), F.lit(0.0)).alias(name))
 
 
 def run_facts(runs: DataFrame, golds_: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -90,32 +91,51 @@ class FirstSentence:
         return next((s.strip() for s in told if asked & set(_TERM.findall(s.lower()))), T.REFUSAL)
 
 
-def attempts(work: DataFrame, factory: Callable = FirstSentence, tries: int = 5, pause: float = 30.0, gap: float = 0.0) -> DataFrame:
+class Slots:
+    """Times at which one of workers may call, so that all together call at most rpm times a minute.
+
+    Worker i has the slots start + (i + n * workers) * 60 / rpm, n = 0, 1, ...: no slot is another worker's,
+    whenever a worker begins. Repeated calls take slots too.
+    """
+
+    def __init__(self, worker: int, workers: int, rpm: float, start: float, clock=time.time, sleep=time.sleep):
+        self.step, self.first, self.n, self.clock, self.sleep = workers * 60.0 / rpm, start + worker * 60.0 / rpm, -1, clock, sleep
+
+    def wait(self) -> None:
+        now = self.clock()
+        self.n = max(self.n + 1, int(-(-(now - self.first) // self.step)))
+        self.sleep(max(0.0, self.first + self.n * self.step - now))
+
+
+def attempts(work: DataFrame, factory: Callable = FirstSentence, tries: int = 5, pause: float = 30.0, rpm: float | None = None, workers: int = 4) -> DataFrame:
     """work (with question and context) with answer, error and generation_ms.
 
     A call that fails is repeated tries times; then its row has the error instead of an answer, and
-    the others go on. gap is the least time between two calls of a worker. An empty context is
-    refused without a call.
+    the others go on. With rpm, workers tasks make at most so many calls a minute together. An empty
+    context is refused without a call.
     """
-    schema = StructType(list(work.schema.fields)).add("answer", "string").add("error", "string").add("generation_ms", "double")
+    schema, start = StructType(list(work.schema.fields)).add("answer", "string").add("error", "string").add("generation_ms", "double"), time.time()
 
     def run(batches):
-        last = 0.0
+        context = TaskContext.get()
+        slots = Slots(context.partitionId(), workers, rpm, start) if rpm else None
         for pdf in batches:
-            made = []
-            for question, context in zip(pdf["question"], pdf["context"]):
-                began = time.perf_counter()
-                answer = error = None
-                if not context:
-                    answer = T.REFUSAL
-                else:
-                    time.sleep(max(0.0, last + gap - began) if last else 0.0)
-                    last = time.perf_counter()
-                    try:
-                        answer = repeated(lambda: once(factory)(question, context), tries, pause).strip()  # noqa: B023
-                    except Exception as e:  # a service may raise anything; the row says what
-                        error = f"{type(e).__name__}: {e}"[:500]
-                made.append((answer, error, (time.perf_counter() - began) * 1000))
+            made = [answered(slots, q, c) for q, c in zip(pdf["question"], pdf["context"])]
             yield pdf.assign(**{c: pd.Series([m[i] for m in made], index=pdf.index, dtype=object if i < 2 else float) for i, c in enumerate(("answer", "error", "generation_ms"))})
 
-    return work.mapInPandas(run, schema)
+    def answered(slots, question, context):
+        def call():
+            if slots:
+                slots.wait()
+            return once(factory)(question, context)
+
+        began = time.perf_counter()
+        if not context:
+            return T.REFUSAL, None, (time.perf_counter() - began) * 1000
+        try:
+            answer, error = repeated(call, tries, pause).strip(), None
+        except Exception as e:  # a service may raise anything; the row says what
+            answer, error = None, f"{type(e).__name__}: {e}"[:500]
+        return answer, error, (time.perf_counter() - began) * 1000
+
+    return (work.repartition(workers) if rpm else work).mapInPandas(run, schema)

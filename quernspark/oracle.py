@@ -203,6 +203,12 @@ SELECT * FROM d WHERE gained OR lost OR {' OR '.join(f'coalesce(abs({m}) > 0.01,
     "midsentence_ratio": rf"WITH {_CHUNKS} SELECT lang, round(avg(regexp_matches(ltrim(text), '^\p{{Ll}}')::INT), 6) AS ratio, count(*) AS n FROM ch GROUP BY lang",
     "top_sources": "SELECT source, count(*) AS chunks FROM documents GROUP BY source ORDER BY chunks DESC, source LIMIT 5",
     "anti_join_worklist": "SELECT mode, doc_id AS id FROM documents, (SELECT unnest(['dense_only', 'sparse_only', 'hybrid', 'hybrid_rerank']) AS mode) m WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND ['dense_only', 'sparse_only', 'hybrid', 'hybrid_rerank'][(l.doc_id % 4 + 1)::INT] = mode)",
+    "token_batches": r"""WITH RECURSIVE t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,
+  len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\v\x{85}\p{Z}\p{L}\p{N}]')) AS n FROM documents),
+r AS (SELECT source, doc_id, i, n, n AS held, 0 AS batch FROM t WHERE i = 1
+  UNION ALL SELECT t.source, t.doc_id, t.i, t.n, CASE WHEN r.held > 0 AND r.held + t.n > 25000 THEN t.n ELSE r.held + t.n END,
+    r.batch + CASE WHEN r.held > 0 AND r.held + t.n > 25000 THEN 1 ELSE 0 END FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source AND t.i = r.i + 1)
+SELECT source, batch, sum(n)::BIGINT AS tokens, count(*) AS rows, min(doc_id) AS first FROM r GROUP BY source, batch""",
     "avg_precision": """SELECT source, round(coalesce(sum(p * quality) / nullif(sum(quality), 0), 0), 6) AS ap FROM (SELECT source, quality, sum(quality) OVER w::DOUBLE / row_number() OVER w AS p
   FROM documents JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY source ORDER BY doc_id)) GROUP BY source""",
     "verdict_shares": "SELECT source, round(avg(quality), 6) AS faithfulness FROM documents JOIN labels USING (doc_id) GROUP BY source",

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunk, diagnose, evaluate, generate, models, postings, retrieve, validate
+from ..operators import chunk, diagnose, evaluate, generate, judge, models, postings, retrieve, validate
 from ..sources import tables
 
 
@@ -75,24 +75,94 @@ def ask_one(index: Index, question: str, mode: str = "hybrid_rerank", model=gene
     return {"question": question, "mode": mode, "answer": row["answer"], "sources": row["sources"] or [], "chunks": row["chunks"] or [], "timings": timings | {"total_ms": sum(timings.values())}}
 
 
-def run_modes(index: Index, examples: DataFrame, runs_path: str, errors_path: str, modes=evaluate.MODES, factory=models.FirstSentence, first: int | None = None, **how) -> None:
-    """Run what is not stored yet of modes x examples (of the first examples by id, if asked), a mode at a
-    time, and append it. Questions whose calls fail go to the errors with the reason; a later run tries them again."""
-    spark = examples.sparkSession
+ATTEMPT = f"{tables.RUN}, error string"
+
+
+def run_modes(index: Index, examples: DataFrame, runs_path: str, errors_path: str, modes=evaluate.MODES, factory=models.FirstSentence, first: int | None = None, batch: int = 50, scorer=retrieve.coverage, **how) -> None:
+    """Run what is not stored yet of modes x examples (of the first examples by id, if asked).
+
+    A mode's contexts are found in one job and stored; its questions are then asked in batches of about
+    batch, and each batch is appended to a journal as soon as it is done: a job that is lost loses the calls
+    of one batch. What the journal has is never asked again, also if the job ended before it came to
+    the runs. Questions whose calls fail stand in the journal with the reason, and in the errors; a
+    later run tries them again. Times of retrieval and reranking are those of the mode's job, a question.
+    """
+    spark, journal = examples.sparkSession, f"{errors_path}/journal"
     examples = examples.orderBy("id").limit(first) if first else examples
     for mode in modes:
-        done = tables.read_or_empty(spark, runs_path, tables.RUN)
+        publish(spark, journal, runs_path, mode)
         one = spark.createDataFrame([(mode,)], "mode string")
-        todo = examples.join(evaluate.worklist(one, examples, done), "id").select("mode", F.col("id").alias("query_id"), "query_type", "question")
-        found = generate.contexts(index.retrieve(mode, todo), index.chunks)
-        found = found.select("query_id", "context", "sources", F.transform("chunks", lambda c: c["text"]).alias("contexts"))
-        made = models.attempts(todo.join(found, "query_id", "left"), factory, **how).withColumnRenamed("query_id", "id")
-        made.write.mode("overwrite").parquet(f"{errors_path}/attempted_{mode}")  # each call is made once
-        made = spark.read.parquet(f"{errors_path}/attempted_{mode}")
-        times = F.struct(F.lit(None).cast("double").alias("retrieval_ms"), F.lit(None).cast("double").alias("rerank_ms"), "generation_ms", F.col("generation_ms").alias("total_ms"))
-        good = made.where("error is null").select("id", "mode", "query_type", "question", "answer", "contexts", "sources", times.alias("timings"))
-        tables.append_runs(good, runs_path)
-        made.where("error is not null").select("mode", "id", "error").write.mode("overwrite").parquet(f"{errors_path}/failed_{mode}")
+        todo = examples.join(evaluate.worklist(one, examples, tables.read_or_empty(spark, runs_path, tables.RUN)), "id")
+        todo = todo.select("mode", F.col("id").alias("query_id"), "query_type", "question")
+        if not (many := todo.count()):
+            continue
+        marks = [time.perf_counter()]
+        found = tables.kept(index.candidates(mode, todo), "candidates")
+        marks.append(time.perf_counter())
+        if mode == "hybrid_rerank":
+            found = tables.kept(retrieve.rerank(found, index.chunks, todo, scorer=scorer), "reranked")
+        marks.append(time.perf_counter())
+        told = generate.contexts(found.where(F.col("rank") <= retrieve.TOP_N), index.chunks)
+        told = told.select("query_id", "context", "sources", F.transform("chunks", lambda c: c["text"]).alias("contexts"))
+        batches = -(-many // batch)
+        work = tables.kept(todo.join(told, "query_id", "left").withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches))), "work")
+        spent = [F.lit((b - a) * 1000 / many).alias(name) for a, b, name in zip(marks, marks[1:], ("retrieval_ms", "rerank_ms"))]
+        for n in range(batches):
+            made = models.attempts(work.where(F.col("batch") == n), factory, **how).withColumnRenamed("query_id", "id")
+            times = F.struct(*spent, "generation_ms", (F.lit((marks[-1] - marks[0]) * 1000 / many) + F.col("generation_ms")).alias("total_ms"))
+            made.select("id", "mode", "query_type", "question", "answer", "contexts", "sources", times.alias("timings"), "error").write.mode("append").partitionBy("mode").parquet(journal)
+        publish(spark, journal, runs_path, mode)
+        failed = tables.read_or_empty(spark, journal, ATTEMPT).where((F.col("mode") == mode) & F.col("error").isNotNull())
+        left = failed.join(tables.read_or_empty(spark, runs_path, tables.RUN).select("mode", "id"), ["mode", "id"], "left_anti")
+        left.groupBy("mode", "id").agg(F.max("error").alias("error")).write.mode("overwrite").parquet(f"{errors_path}/failed_{mode}")
+
+
+def publish(spark: SparkSession, journal: str, runs_path: str, mode: str) -> None:
+    """Append what the journal has of a mode, and the runs have not, to the runs."""
+    made = tables.read_or_empty(spark, journal, ATTEMPT).where((F.col("mode") == mode) & F.col("error").isNull()).drop("error").dropDuplicates(["mode", "id"])
+    new = made.join(tables.read_or_empty(spark, runs_path, tables.RUN).select("mode", "id"), ["mode", "id"], "left_anti")
+    rows = tables.kept(new.select(*made.columns), "published")
+    if not rows.isEmpty():
+        tables.append_runs(rows, runs_path)
+
+
+def score_runs(spark: SparkSession, examples: DataFrame, out: str, modes=evaluate.MODES, judges=judge.by_terms) -> dict[str, str]:
+    """Judge the stored runs mode by mode: verdicts that are stored already are not asked for again. Each mode's
+    scores go to judged_{mode}.csv; with one missing they go to .PARTIAL, and the job stops there with an error."""
+    runs, written = tables.read_or_empty(spark, f"{out}/runs", tables.RUN), {}
+    for mode in modes:
+        mine = runs.where(F.col("mode") == mode)
+        rows = judge.judge_input(mine, examples)
+        if rows.isEmpty():
+            continue
+        told = judge.scores(judge.stored_verdicts(rows, f"{out}/verdicts", judges))
+        written[mode] = tables.write_judged(as_judged(mine, examples, told), f"{out}/judged_{mode}.csv")
+    return written
+
+
+def as_judged(runs: DataFrame, examples: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows of a judgement file: what was asked and answered, the first reference, the scores."""
+    first = evaluate.golds(examples).where("gold_idx = 0").select("id", "reference")
+    rows = runs.select("mode", "id", "query_type", F.col("question").alias("user_input"), F.col("answer").alias("response")).join(first, "id").join(told, ["mode", "id"])
+    return rows.select("id", "query_type", "user_input", "response", "reference", *evaluate.METRICS)
+
+
+def rescore_runs(spark: SparkSession, examples: DataFrame, out: str, ids: list[str], modes=evaluate.MODES, judges=judge.by_terms) -> DataFrame:
+    """Judge the metrics that see references again for some ids, patch the judgement files, and return the changes.
+    The files before are kept as judged_{mode}.csv.BEFORE."""
+    runs, changed = tables.read_or_empty(spark, f"{out}/runs", tables.RUN), spark.createDataFrame([(i,) for i in ids], "id string")
+    moved = []
+    for mode in modes:
+        old = tables.read_judged(spark, out, (mode,))
+        if old.isEmpty():
+            continue
+        new = tables.kept(judge.rescore(old, runs.where(F.col("mode") == mode), examples, changed, judges), "rescored")
+        moved.append(tables.kept(evaluate.rescored(old, new), "moved"))
+        old.drop("mode").write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/judged_{mode}.csv.BEFORE")
+        tables.write_judged(new.drop("mode"), f"{out}/judged_{mode}.csv")
+    if not moved:
+        raise ValueError("nothing is judged yet")
+    return reduce(DataFrame.unionByName, moved)
 
 
 def ask(questions: DataFrame, docs: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid_rerank", model=generate.extractive) -> DataFrame:
