@@ -3,7 +3,7 @@
     register(spark)
     SELECT d.doc_id, c.* FROM documents d, LATERAL chunk_text(d.text) c
     SELECT p.page_id, c.* FROM pages p, LATERAL chunk_page('name', p.html) c
-    SELECT * FROM token_batches(TABLE(SELECT source AS part, doc_id AS at, n_tokens FROM t) PARTITION BY part ORDER BY at, 25000)
+    SELECT * FROM token_batches(TABLE(SELECT source AS part, doc_id AS at, n_tokens FROM t) PARTITION BY part ORDER BY (at), 25000)
 
 A token count is a hook: a factory that makes a function of a text, once a worker.
 """

@@ -26,7 +26,7 @@ def test_sql_has_the_table_functions(spark):
     rows = spark.sql("SELECT d.id, c.pos, length(c.text) AS n FROM long_texts d, LATERAL chunk_text(d.text) c ORDER BY ALL").collect()
     assert [(r.id, r.pos) for r in rows] == [(1, 0), (1, 1), (1, 2)]
     frame(spark, [("s", i, n) for i, n in enumerate((60, 50, 10, 20_000, 5_000, 5))], "part string, at long, n_tokens long").createOrReplaceTempView("sized")
-    rows = spark.sql("SELECT * FROM token_batches(TABLE(sized) PARTITION BY part ORDER BY at, 100) ORDER BY at").collect()
+    rows = spark.sql("SELECT * FROM token_batches(TABLE(sized) PARTITION BY part ORDER BY (at), 100) ORDER BY at").collect()
     assert [r.batch for r in rows] == [0, 1, 1, 2, 3, 4]
 
 
