@@ -9,7 +9,8 @@ The shard depends on the id and the number of shards alone (rendezvous hashing:
 largest hash of id and shard number), so that one more shard only takes records, from all others.
 
 Defined cases: a null text has size 1 and the checksum of an empty text; a null id hashes like any
-other value; repeated rows share a shard and have slots of their own; an empty table stays empty.
+other value; repeated rows share a shard and have slots of their own; an empty table stays empty; columns of
+any name and type travel with their record.
 Within a run slots are whole; between runs the order within a bucket may differ, the shard may not.
 """
 
@@ -22,6 +23,18 @@ from pyspark.sql.types import StructType
 from .shared import shared_dir, stash
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """names, with underscores in front of those that columns have (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def rendezvous(key: Column, shards: int, seed: int = 17) -> Column:
     each = [F.struct(F.xxhash64(key, F.lit(seed), F.lit(i)).alias("h"), F.lit(i).alias("i")) for i in range(shards)]
     return F.greatest(*each)["i"]
@@ -42,24 +55,29 @@ def shuffle_into_shards(rows: DataFrame, key: str, size: str, shards: int = 16,
     held = held.withColumn("bucket", F.pmod(F.xxhash64("own", F.lit(seed)), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    full = held.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("own", "grown_shard", "row"))).alias("records"))
+    by_own = lambda a, b: F.when(a["own"] < b["own"], -1).when(a["own"] > b["own"], 1).otherwise(0)  # noqa: E731  records may hold what has no order
+    full = held.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("own", "grown_shard", "row")), by_own).alias("records"))
     mixed = full.join(starts, ["shard", "bucket"]).select("shard", "start", F.shuffle("records", seed).alias("records"))
     out = mixed.select("shard", "start", F.posexplode("records").alias("pos", "r"))
     return out.select("r.row", "shard", (F.col("start") + F.col("pos")).cast("long").alias("slot"), F.col("r.grown_shard").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str | None = None, shards: int = 16, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20) -> str:
-    """Write whole records as Parquet, a folder a shard, with slot (the order in it) and grown_shard. Returns the path."""
-    sized = docs.withColumn("__size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
-    out = shuffle_into_shards(sized, key, "__size", shards, bucket_bytes)
+    """Write whole records as Parquet, a folder a shard (__shard), with slot (the order in it) and grown_shard; where the
+    records have columns of these names, ours get underscores in front (see free_names). Returns the path."""
+    size, shard, slot, grown = free_names(docs.columns, "__size", "__shard", "slot", "grown_shard")
+    sized = docs.withColumn(size, F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
+    out = shuffle_into_shards(sized, key, size, shards, bucket_bytes)
     path = path or shared_dir(docs.sparkSession, "sharded")
-    out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "slot", "grown_shard", F.col("shard").alias("__shard")).write.partitionBy("__shard").option("compression", "zstd").parquet(path)
+    rows = out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("slot").alias(slot), F.col("grown_shard").alias(grown), F.col("shard").alias(shard))
+    rows.write.partitionBy(shard).option("compression", "zstd").parquet(path)
     return path
 
 
 def read_shards(spark, path: str, schema: StructType) -> DataFrame:
-    """Records of that schema that write_shards wrote, with slot, grown_shard and __shard."""
-    return spark.read.schema(StructType(list(schema.fields)).add("slot", "long").add("grown_shard", "integer").add("__shard", "integer")).parquet(path)
+    """Records of that schema that write_shards wrote, with slot, grown_shard and __shard, or the names that were free."""
+    _, shard, slot, grown = free_names(schema.names, "__size", "__shard", "slot", "grown_shard")
+    return spark.read.schema(StructType(list(schema.fields)).add(slot, "long").add(grown, "integer").add(shard, "integer")).parquet(path)
 
 
 def op8_shard(spark, sf_dir: str) -> DataFrame:

@@ -28,3 +28,14 @@ def test_query_writes_whole_records(spark, monkeypatch):
 def test_empty_table(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     assert sharding.read_shards(spark, sharding.write_shards(none), none.schema).count() == 0
+
+
+def test_names_that_we_use_and_types_without_order(spark):
+    rows = [(i, f"t{i}", i, "g", -i, 1.5, {"a": i}) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot long, Grown_Shard string, __shard int, __size double, m map<string, int>")
+    back = sharding.read_shards(spark, sharding.write_shards(docs), docs.schema)
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    held = {}
+    for r in back.collect():
+        held.setdefault(r["___shard"], []).append(r["_slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in held.values()) and sum(map(len, held.values())) == 40
