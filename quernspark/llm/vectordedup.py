@@ -6,15 +6,22 @@ multi-sequence traversal, i.e. by the sum of the two halves' squared distances,
 calibration on the fitting sample needs for the target recall (LEAST_VISITS at least), and verifies the cosine in double
 precision. Only vectors with the same label are compared.
 
-Equal vectors of a label are one from here on, with their number. Codebooks and the number of visits
-are fitted on at most SAMPLE of these, chosen by a hash; every vector is indexed and every vector
-asks. Before the codebooks are fitted the sample is thinned: of vectors that link with each other one
-stays, so that a large group of near copies takes few codewords. The calibration finds, for each link
-of the sample, how many cells its asker visits until it comes to it, each asker with the same weight;
-there is no cap on the visits but the number of cells. The number of codewords follows the number of
-vectors, so that a cell's expected size stays the same (CELL), up to MAX_CODES codewords a half. Cells
-with very many vectors are cut into tiles, those with very many askers into blocks, and each block meets
-each tile in a group of its own: groups are bounded and no pair is lost. A group returns counts and a spanning forest of its links, never the pairs.
+Equal vectors of a label are one from here on, with their number. Codebooks are fitted on at most
+SAMPLE of these, chosen by a hash; every vector is indexed and every vector asks. Before the codebooks
+are fitted the sample is thinned: of vectors that link with each other one stays, so that a large group
+of near copies takes few codewords. The number of codewords follows the number of vectors, so that a
+cell's expected size stays the same (CELL), up to MAX_CODES codewords a half.
+
+The visits are calibrated against all vectors: about ASKERS of them, chosen by a hash, are sent to every
+task and held against every vector of their labels by brute force. For each link it is known how many
+cells the asker visits until it comes to it; each asker has the same weight, and there is no cap on the
+visits but the number of cells. As links may be rare, each asker also gets a made neighbour at the
+threshold itself, in a random direction, the farthest that counts; the visits that find target_recall of
+both are taken. The recall that was measured is logged.
+
+Cells with very many vectors are cut into tiles, those with very many askers into blocks, and each block
+meets each tile in a group of its own: groups are bounded and no pair is lost. A group returns counts and
+a spanning forest of its links, never the pairs.
 
 Defined cases: vectors that are null, zero, of a wrong length, or hold null or non-finite
 components link with nothing, nor do those with a null label. Rows that repeat a vec_id are one vector
@@ -24,6 +31,8 @@ without links. Equal vectors link.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, min_labels, stash
 
-SAMPLE, CELL, TILE, BLOCK, LEAST_CODES, MAX_CODES, LEAST_VISITS = 20_000, 16, 2048, 4096, 4, 2048, 4
+SAMPLE, ASKERS, CELL, TILE, BLOCK, LEAST_CODES, MAX_CODES, LEAST_VISITS = 20_000, 1000, 16, 2048, 4096, 4, 2048, 4
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -103,31 +112,67 @@ def visits_until(index: MultiIndex, asker: np.ndarray, met: np.ndarray) -> np.nd
     return np.array(out, dtype=np.int64)
 
 
-def fit(sample: np.ndarray, labels: np.ndarray, n: int, n_labels: int, threshold: float, target: float, seed: int = 5) -> MultiIndex:
-    """Codebooks for n vectors, and the visits that find target of the sample's links in both directions."""
+def fit(sample: np.ndarray, labels: np.ndarray, n: int, n_labels: int, threshold: float, seed: int = 5) -> MultiIndex:
+    """Codebooks for n vectors; the visits are still to be calibrated."""
     rng, dim = np.random.default_rng(seed), sample.shape[1]
     thin = thinned(sample, labels, threshold)
     codes = int(np.clip(np.ceil(np.sqrt(n / max(1, n_labels) / CELL)), LEAST_CODES, MAX_CODES))
     codes, half = min(codes, len(thin)), (dim + 1) // 2
-    index = MultiIndex(kmeans(thin[:, :half], codes, rng), kmeans(thin[:, half:], codes, rng), 1)
-    asked, askers, met, weight = rng.permutation(len(sample))[:4000], [], [], []
-    for at in range(0, len(asked), 512):
-        q = asked[at : at + 512]
-        link = (sample[q] @ sample.T >= threshold) & (labels[q][:, None] == labels[None]) & (q[:, None] != np.arange(len(sample))[None])
-        share = 1 / np.maximum(1, link.sum(axis=1))
-        link &= np.cumsum(link, axis=1) <= 8  # of a crowd the first eight speak for the rest
-        i, j = np.nonzero(link)
-        askers.append(q[i])
-        met.append(j)
-        weight.append(np.maximum(share, 1 / 8)[i])
-    askers, met, weight = (np.concatenate(x) for x in (askers, met, weight))
-    most = codes * codes
-    index.visits = min(LEAST_VISITS, most)
-    if len(askers):
-        rank = visits_until(index, sample[askers], sample[met])
-        order = np.argsort(rank, kind="stable")
-        reached = np.cumsum(weight[order]) / weight.sum()
-        index.visits = int(np.clip(rank[order][min(len(rank) - 1, int(np.searchsorted(reached, target)))], index.visits, most))
+    return MultiIndex(kmeans(thin[:, :half], codes, rng), kmeans(thin[:, half:], codes, rng), LEAST_VISITS)
+
+
+def rounded_up(rank: np.ndarray) -> np.ndarray:
+    """The next of few numbers (8 to each doubling), so that a histogram of ranks is small."""
+    return np.ceil(2.0 ** (np.ceil(8 * np.log2(np.maximum(rank, 1)) - 1e-9) / 8)).astype(np.int64)
+
+
+def enough_visits(rank: np.ndarray, weight: np.ndarray, target: float) -> int:
+    """How many cells must be visited so that links of target of all weight are found."""
+    order = np.argsort(rank, kind="stable")
+    reached = np.cumsum(weight[order]) / weight.sum()
+    return int(rank[order][min(len(rank) - 1, int(np.searchsorted(reached, target - 1e-12)))])
+
+
+def calibrated(good: DataFrame, index: MultiIndex, n: int, dim: int, threshold: float, target: float, seed: int = 5) -> MultiIndex:
+    """index with the visits that find target of the links of about ASKERS vectors among all rows of good."""
+    spark = good.sparkSession
+    asking = good.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, ASKERS / n))).select("key", "label", "v").toPandas()
+    if not len(asking):
+        return index
+    a, keys, labels = unit(np.array(asking["v"].tolist(), dtype=np.float64).reshape(-1, dim)), asking["key"].to_numpy(), asking["label"].to_numpy()
+    shared = spark.sparkContext.broadcast((index, a, keys, labels))
+
+    def meet(batches):
+        index, a, keys, labels = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, half = unit(np.array(pdf["v"].tolist(), dtype=np.float64)), index.half
+            cell = nearest(x[:, :half], index.first) * len(index.second) + nearest(x[:, half:], index.second)
+            seen = []
+            for at in range(0, len(x), 2048):
+                part = slice(at, at + 2048)
+                i, j = np.nonzero((a @ x[part].T >= threshold) & (labels[:, None] == pdf["label"].to_numpy()[part][None]) & (keys[:, None] != pdf["key"].to_numpy()[part][None]))
+                seen.append(np.unique(i * (len(index.first) * len(index.second)) + cell[at + j], return_counts=True))
+            met, at = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+            if len(met):
+                i, c = np.divmod(met, len(index.first) * len(index.second))
+                centre = np.concatenate([index.first[c // len(index.second)], index.second[c % len(index.second)]], axis=1)
+                yield pd.DataFrame({"asker": i, "rank": rounded_up(visits_until(index, a[i], centre)), "n": np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)})
+
+    found = good.mapInPandas(meet, "asker long, rank long, n long").groupBy("asker", "rank").agg(F.sum("n").alias("n")).toPandas()  # a few numbers an asker
+    rng = np.random.default_rng(seed)
+    far = rng.normal(size=a.shape)
+    far -= (far * a).sum(axis=1, keepdims=True) * a
+    made = visits_until(index, a, threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * far / np.maximum(np.sqrt((far * far).sum(axis=1, keepdims=True)), 1e-12))
+    visits = enough_visits(made, np.ones(len(made)), target)
+    if len(found):
+        rank, total = found["rank"].to_numpy(), found.groupby("asker")["n"].transform("sum").to_numpy()
+        weight = found["n"].to_numpy() / total
+        visits = max(visits, enough_visits(rank, weight, target))
+    index.visits = int(np.clip(visits, LEAST_VISITS, len(index.first) * len(index.second)))
+    seen = f"{weight[rank <= index.visits].sum() / weight.sum():.4f} of the links of {found['asker'].nunique()} askers" if len(found) else "no link of an asker"
+    logging.getLogger(__name__).info("%d of %d cells are visited; that finds %s", index.visits, len(index.first) * len(index.second), seen)
     return index
 
 
@@ -150,7 +195,7 @@ def near_vectors(vectors: DataFrame, key="vec_id", vector="embedding", label="la
     part = good.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))) if n > SAMPLE else good
     got = part.select("label", "v").toPandas()
     sample = unit(np.array(got["v"].tolist(), dtype=np.float64).reshape(-1, dim))
-    index = fit(sample, got["label"].to_numpy(), n, n_labels, threshold, target_recall)
+    index = calibrated(good, fit(sample, got["label"].to_numpy(), n, n_labels, threshold), n, dim, threshold, target_recall)
     shared = spark.sparkContext.broadcast(index)  # two codebooks of at most MAX_CODES words
 
     def place(batches):
