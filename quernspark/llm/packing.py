@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import frame_of, text_batches, whole_number
 
-CAPACITY, BLOCK, REMEMBERED = 2048, 4096, 150_000
+CAPACITY, BLOCK, REMEMBERED = 2048, 4096, 600_000
 _CLOSE_BLANKS = re.compile(r" (?:\s|$)")
 
 
@@ -213,4 +213,4 @@ def default_vocabulary() -> str:
 
 
 def op2_pack(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), digest_only=True, remembered=600_000)
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), digest_only=True)
