@@ -1,4 +1,4 @@
-"""python -m quernspark index CORPUS INDEX | validate EVAL INDEX | browse INDEX WORDS [--file F] [-n N] [--chunk N]
+"""python -m quernspark index CORPUS INDEX [--sections] [--vocabulary FILE] | validate EVAL INDEX | browse INDEX WORDS [--file F] [-n N] [--chunk N]
 | ask INDEX [QUESTION] [--mode M] | compare INDEX QUESTION... | run EVAL INDEX OUT | score EVAL OUT
 | rescore EVAL OUT --ids ID... | report EVAL OUT"""
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import evaluate, retrieve
+from .operators.table_functions import FileTokens
 from .plans import ask as plans
 from .sources import tables
 
@@ -51,6 +52,8 @@ def main(argv: list[str] | None = None) -> int:
         one = sub.add_parser(name)
         for a in args:
             one.add_argument(a)
+    sub.choices["index"].add_argument("--sections", action="store_true")
+    sub.choices["index"].add_argument("--vocabulary")
     sub.choices["browse"].add_argument("--file")
     sub.choices["browse"].add_argument("--chunk", type=int)
     sub.choices["browse"].add_argument("-n", type=int, default=3)
@@ -66,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("quernspark").getOrCreate()
     if a.job == "index":
-        plans.build_index(spark, a.corpus, a.index)
+        plans.build_index(spark, a.corpus, a.index, sections=a.sections, tokens=FileTokens(a.vocabulary) if a.vocabulary else None)
         return 0
     if a.job == "validate":
         return 0 if plans.validate_eval_set(spark, a.eval_set, spark.read.parquet(f"{a.index}/chunks")) else 1

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.html import page
 from .operators import chunk, diagnose, evaluate, generate, judge, retrieve, validate
 from .plans import ask
 from .sources import tables
@@ -46,6 +47,12 @@ def html_clean(spark, sf):
     return pages.select("page_id", T.html_title(F.col("html"), F.lit("")).alias("title"), T.html_text(F.col("html")).alias("text"))
 
 
+def page_texts(spark, sf):
+    """The same by the parser that reads the corpus."""
+    pages = _read(spark, sf, "pages").select("page_id", page(F.col("html")).alias("page"))
+    return pages.select("page_id", "page.title", "page.text")
+
+
 def html_flat(spark, sf):
     return _read(spark, sf, "pages").select("page_id", T.html_flat(F.col("html")).alias("text"))
 
@@ -388,7 +395,7 @@ def verdict_shares(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        html_clean, html_flat, tokenize, norm_text, doc_stats, term_stats, bm25_top20, l2_top20, rrf_fusion, rerank_top5, mode_topn_ablation,
+        html_clean, page_texts, html_flat, tokenize, norm_text, doc_stats, term_stats, bm25_top20, l2_top20, rrf_fusion, rerank_top5, mode_topn_ablation,
         side_by_side, context_block, sources_set, answers, gold_expand, answerable_split, hit_rates, refusal_rate, turn_pairs, percentile_latency,
         judge_input, judged_runs, run_facts, call_budget, right_file, diagnosed_runs, rescored, eval_violations, type_targets,
         ablation_table, collapse_multi_ref, poison_guard, diagnosis_hist, failure_rows, abstention, worst_n, rerank_delta, summary_grid,

@@ -37,6 +37,7 @@ def _body():
 _HTML_TEXT = f"array_to_string(list_filter(list_transform(string_split({_decoded(f"regexp_replace({_body()}, '<[^>]*>', chr(10), 'g')")}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10))"
 _HTML_FLAT = _strip(f"regexp_replace({_decoded(f"regexp_replace({_body()}, '<[^>]*>', ' ', 'g')")}, '{BLANKS}', ' ', 'g')")
 
+_PAGES = rf"SELECT page_id, {_strip(_decoded(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"))} AS title, {_HTML_TEXT} AS text FROM pages"
 _TERMS = f"""
 tok AS (SELECT doc_id AS chunk_id, unnest({_TOK.format('text')}) AS term FROM documents),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -136,7 +137,8 @@ _means = ", ".join(f"round_even(avg({m}), 4) AS {m}" for m in _METRICS)
 _names = ", ".join(_METRICS)
 
 ORACLE = {
-    "html_clean": rf"SELECT page_id, {_strip(_decoded(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"))} AS title, {_HTML_TEXT} AS text FROM pages",
+    "html_clean": _PAGES,
+    "page_texts": _PAGES,
     "html_flat": f"SELECT page_id, {_HTML_FLAT} AS text FROM pages",
     "tokenize": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY term",
     "norm_text": f"SELECT doc_id, md5({_NORM.format('text')}) AS norm_md5, length({_NORM_BLANKS.format('text')})::BIGINT AS n FROM documents",

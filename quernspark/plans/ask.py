@@ -14,9 +14,17 @@ from ..operators import chunk, diagnose, evaluate, generate, judge, models, post
 from ..sources import tables
 
 
-def build_index(spark: SparkSession, corpus: str, index: str, embedding=models.HashedTerms) -> None:
-    """Chunks, postings, statistics and vectors as tables that are replaced as a whole."""
-    chunks = chunk.chunk_documents(tables.read_corpus(spark, corpus).select("source", "title", "text"))
+def build_index(spark: SparkSession, corpus: str, index: str, embedding=models.HashedTerms, sections: bool = False, tokens=None) -> None:
+    """Chunks, postings, statistics and vectors as tables that are replaced as a whole.
+
+    Chunks are pieces of the pages' texts or, with sections, the pages' sections under their headers (kind and
+    member then stay with a chunk). tokens is the hook for token counts.
+    """
+    pages = tables.read_corpus(spark, corpus)
+    if sections:
+        chunks = chunk.chunk_sections(pages.select("source", "title", "raw"), html="raw", tokens=tokens)
+    else:
+        chunks = chunk.chunk_documents(pages.select("source", "title", "text"), tokens=tokens)
     tables.rebuild(chunks, f"{index}/chunks")
     chunks = spark.read.parquet(f"{index}/chunks")
     stats = retrieve.doc_stats(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
