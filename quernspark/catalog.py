@@ -351,7 +351,7 @@ def midsentence_ratio(spark, sf):
 
 
 def chunk_documents(spark, sf):
-    """Rows only: the splitter merges with overlap."""
+    """Chunks of at most 512 tokens; the next one begins with up to 50 of the last one."""
     return chunk.chunk_documents(_read(spark, sf, "documents", "doc_id", "text"), key="doc_id").select("doc_id", "pos", "chunk_id", "text")
 
 
@@ -360,7 +360,7 @@ def chunk_stats(spark, sf):
 
 
 def section_chunks(spark, sf):
-    """Rows only: pages without sections fall back to one chunk or more of the whole page."""
+    """The given pages have no sections: each falls back to one chunk or more of the whole page."""
     return chunk.chunk_sections(_read(spark, sf, "pages", F.col("page_id").alias("source"), "html"))
 
 

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of catalog.py."""
 
+from .operators.chunk import SENTENCE_SEPARATORS, SEPARATORS
 from .operators.generate import SYSTEM
 
 _PROMPT = "\n\nCONTEXT:\n" + "\n\nQUESTION: " + "\n\nANSWER:"
@@ -136,6 +137,41 @@ ch AS (SELECT doc_id, lang, pos, array_to_string(w[pos * 150 + 1 : pos * 150 + 2
 _means = ", ".join(f"round_even(avg({m}), 4) AS {m}" for m in _METRICS)
 _names = ", ".join(_METRICS)
 
+
+def _n_tokens(x):
+    return rf"len(regexp_extract_all({x}, '\p{{L}}+|\p{{N}}+|[^\s\v\x{{85}}\p{{Z}}\p{{L}}\p{{N}}]'))"
+
+
+def _split(source, separators, size=512, overlap=50):
+    """CTEs that end in cut(id, e, text): the chunks of source (id, text) in the order of e.
+
+    Pieces that are too long are cut before the next separator, level by level. Of the pieces' running sums c, a chunk
+    takes pieces b to e: e is the last with c[e] - c[b] within size, and the next b the first that leaves at most
+    overlap tokens and room for the piece after e.
+    """
+    parts = "[text]"
+    for sep in separators:
+        quoted = "'" + sep.replace("\n", "' || chr(10) || '") + "'"
+        opened = f"list_filter(list_transform(string_split(x, {quoted}), lambda s, i: CASE WHEN i = 1 THEN s ELSE {quoted} || s END), lambda s: s <> '')"
+        parts = f"flatten(list_transform({parts}, lambda x: CASE WHEN {_n_tokens('x')} > {size} AND contains(x, {quoted}) THEN {opened} ELSE [x] END))"
+    return f"""parts AS (SELECT id, {parts} AS parts FROM {source}),
+n AS (SELECT id, parts, list_transform(parts, lambda x: {_n_tokens('x')}) AS n FROM parts),
+c AS (SELECT id, parts, len(n) AS many, list_prepend(0, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])::BIGINT)) AS c FROM n),
+walk AS (SELECT id, 0 AS b, greatest(1, len(list_filter(c, lambda x: x <= {size})) - 1) AS e FROM c
+  UNION ALL SELECT id, b, greatest(b + 1, len(list_filter(c, lambda x: x <= c[b + 1] + {size})) - 1) FROM
+  (SELECT id, c, least(greatest(len(list_filter(c, lambda x: x < greatest(c[e + 1] - {overlap}, c[e + 2] - {size}))), b), e) AS b FROM walk JOIN c USING (id) WHERE e < many)),
+cut AS (SELECT id, e, {_strip("array_to_string(parts[b + 1:e], '')")} AS text FROM walk JOIN c USING (id))"""
+
+
+_SPLIT_DOCS = f"""WITH RECURSIVE source AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {_split('source', SEPARATORS)},
+ch AS (SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY e)::INT - 1 AS pos, text FROM cut WHERE text <> '' AND {_n_tokens('text')} >= 100)"""
+
+_SPLIT_PAGES = f"""WITH RECURSIVE body AS (SELECT page_id AS id, page_id::VARCHAR AS name, {_strip(f"regexp_replace(text, '{BLANKS}', ' ', 'g')")} AS text FROM ({_PAGES})),
+sized AS (SELECT id, text, {_n_tokens('text')} <= 512 - {_n_tokens('name')} - 2 AS fits FROM body), source AS (SELECT id, text FROM sized WHERE NOT fits), {_split('source', SENTENCE_SEPARATORS)},
+named AS (SELECT id, e, id::VARCHAR || chr(10) || chr(10) || text AS text FROM (SELECT * FROM cut UNION ALL SELECT id, 0, text FROM sized WHERE fits) WHERE text <> ''),
+ch AS (SELECT id AS source, row_number() OVER (PARTITION BY id ORDER BY e)::INT - 1 AS pos, text FROM named WHERE {_n_tokens('text')} >= 10)"""
+
+
 ORACLE = {
     "html_clean": _PAGES,
     "page_texts": _PAGES,
@@ -203,6 +239,9 @@ SELECT * FROM d WHERE gained OR lost OR {' OR '.join(f'coalesce(abs({m}) > 0.01,
     "type_counts": "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY lang",
     "window_chunks": f"WITH {_CHUNKS} SELECT doc_id, pos, md5(text) AS text_md5 FROM ch",
     "midsentence_ratio": rf"WITH {_CHUNKS} SELECT lang, round(avg(regexp_matches(ltrim(text), '^\p{{Ll}}')::INT), 6) AS ratio, count(*) AS n FROM ch GROUP BY lang",
+    "chunk_documents": f"{_SPLIT_DOCS} SELECT doc_id, pos, doc_id || '::' || pos AS chunk_id, text FROM ch",
+    "chunk_stats": f"{_SPLIT_DOCS} SELECT doc_id, count(*) AS chunks, min({_n_tokens('text')})::INT AS least, max({_n_tokens('text')})::INT AS most, round(avg({_n_tokens('text')}), 6) AS mean FROM ch GROUP BY doc_id",
+    "section_chunks": f"{_SPLIT_PAGES} SELECT source, source || '::' || pos AS chunk_id, pos, 'page' AS kind, '' AS member, text FROM ch",
     "top_sources": "SELECT source, count(*) AS chunks FROM documents GROUP BY source ORDER BY chunks DESC, source LIMIT 5",
     "anti_join_worklist": "SELECT mode, doc_id AS id FROM documents, (SELECT unnest(['dense_only', 'sparse_only', 'hybrid', 'hybrid_rerank']) AS mode) m WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND ['dense_only', 'sparse_only', 'hybrid', 'hybrid_rerank'][(l.doc_id % 4 + 1)::INT] = mode)",
     "token_batches": r"""WITH RECURSIVE t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,
