@@ -18,7 +18,7 @@ def violations(examples: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, problem). chunks: (source, pos, text); a passage may span chunks, as they are joined by a blank."""
     found = [examples.where(F.col(c).isNull()).select("id", F.lit(f"missing {c}").alias("problem")) for c in REQUIRED]
     nth = F.row_number().over(Window.partitionBy("id").orderBy("question"))
-    found.append(examples.withColumn("nth", nth).where("nth > 1").select("id", F.lit("duplicate id").alias("problem")))
+    found.append(examples.where("id is not null").withColumn("nth", nth).where("nth > 1").select("id", F.lit("duplicate id").alias("problem")))
     found.append(examples.where(~F.col("query_type").isin(*TARGETS)).select("id", F.lit("unknown type").alias("problem")))
     found.append(examples.where(T.norm_blanks(F.col("question")) == "").select("id", F.lit("blank question").alias("problem")))
     none = examples.where("query_type = 'unanswerable'")

@@ -205,7 +205,6 @@ SELECT * FROM ch WHERE abs(context_precision) > 1e-9 OR abs(context_recall) > 1e
     "eval_violations": f"""WITH {_FLAWED}, wh AS (SELECT source AS file, {_NORM_BLANKS.format("string_agg(text, ' ' ORDER BY doc_id)")} AS whole FROM documents GROUP BY source)
 SELECT id, problem, count(*) AS n FROM (
   SELECT id, 'missing id' AS problem FROM ff WHERE id IS NULL
-  UNION ALL SELECT NULL, 'duplicate id' FROM ff WHERE id IS NULL QUALIFY row_number() OVER () > 1
   UNION ALL SELECT id, 'unknown type' FROM ff WHERE query_type = 'odd' UNION ALL SELECT id, 'blank question' FROM ff WHERE kind = 1
   UNION ALL SELECT id, 'answer of an unanswerable question' FROM ff WHERE query_type = 'unanswerable' AND answer <> 'insufficient context'
   UNION ALL SELECT id, 'source of an unanswerable question' FROM ff WHERE query_type = 'unanswerable' AND (passage <> '' OR file <> '')

@@ -174,3 +174,12 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.write_judged(bad, str(tmp_path / "out.csv"), ("faithfulness",))
     assert tables.read_or_empty(spark, str(tmp_path / "none"), "id string").count() == 0
+
+
+def test_missing_ids_are_no_duplicates(spark):
+    row = ("q", "insufficient context", "", "", "unanswerable", [])
+    rows = [(None, *row), (None, *row), ("a", *row), ("a", *row)]
+    examples = spark.createDataFrame(rows, "id string, question string, ground_truth_answer string, source_passage string, source_file string, query_type string, alt_golds array<struct<ground_truth_answer: string, source_passage: string, source_file: string>>")
+    chunks = spark.createDataFrame([("f", 0, "text")], "source string, pos int, text string")
+    found = sorted((r.id or "", r.problem) for r in validate.violations(examples, chunks).collect())
+    assert found == [("", "missing id"), ("", "missing id"), ("a", "duplicate id")]
