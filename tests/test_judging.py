@@ -138,3 +138,14 @@ def test_score_rescore_and_report_commands(spark, index, tmp_path, capsys):
     with pytest.raises(ValueError, match="PARTIAL"):
         ask.score_runs(spark, examples(spark).withColumn("ground_truth_answer", judge.F.lit("changed")), out, judges=owes)
     assert os.path.exists(f"{out}/judged_dense_only.csv.PARTIAL") and not os.path.exists(f"{out}/judged_hybrid.csv.PARTIAL")
+
+
+def test_golds_with_one_reference_are_judged_once(spark):
+    """A passage that many files hold: as many golds, one text to judge; the scores are those of all golds."""
+    held = [("x", "one two", f"f{i}") for i in range(40)]
+    golds = frame(spark, [("a", "q a?", *held[0], "simple", held[1:] + [("y", "three", "g")], None)], tables.EVAL)
+    runs = runs_of(spark).where("id = 'a'")
+    every, once = judge.judge_input(runs, golds), judge.judge_input(runs, golds, every=False)
+    assert every.count() == 41 * runs.count() and once.count() == 2 * runs.count()
+    assert sorted(map(tuple, judge.judged(once).collect())) == sorted(map(tuple, judge.judged(every).collect()))
+    assert [r.gold_idx for r in once.select("gold_idx").distinct().orderBy("gold_idx").collect()] == [0, 40]
