@@ -77,15 +77,19 @@ def run_facts(runs: DataFrame, golds_: DataFrame) -> DataFrame:
     """file_hit and passage_hit by any accepted gold (null for unanswerable), refused, answerable.
 
     runs: (mode, id, answer, sources, contexts). Passages are looked for in the run's own contexts,
-    joined by a blank, so a pair of texts is compared only where the ids agree.
+    joined by a blank, so a pair of texts is compared only where the ids agree, and once for each
+    different passage, however many files hold it.
     """
-    text = runs.select("mode", "id", "sources", T.norm(F.array_join("contexts", " ")).alias("text"))
-    hit = text.join(golds_.select("id", "gold_idx", "source_file", "source_passage", T.norm(F.col("source_passage")).alias("passage")), "id")
     shown = F.array_sort(F.collect_list(F.struct("gold_idx", "source_file", "source_passage")))
-    hit = hit.groupBy("mode", "id").agg(
-        F.bool_or(F.array_contains("sources", F.col("source_file"))).alias("file_hit"),
-        F.bool_or((F.col("passage") != "") & F.contains("text", "passage")).alias("passage_hit"),
-        T.golds_shown(shown, "source_file").alias("gold_source"), T.golds_shown(shown, "source_passage").alias("gold_passage"),
+    held = golds_.groupBy("id").agg(F.collect_set("source_file").alias("files"), F.collect_set("source_passage").alias("passages"), shown.alias("shown"))
+    held = held.withColumn("passages", F.array_distinct(F.transform("passages", T.norm)))
+    text = runs.select("mode", "id", "sources", T.norm(F.array_join("contexts", " ")).alias("text"))
+    within = F.coalesce(F.exists("passages", lambda p: (p != "") & F.contains("text", p)), F.when(F.array_contains("passages", ""), False))
+    hit = text.join(held, "id").select(
+        "mode", "id",
+        F.when(F.size("files") > 0, F.exists("files", lambda f: F.array_contains("sources", f))).alias("file_hit"),
+        F.when(F.size("passages") > 0, within).alias("passage_hit"),
+        T.golds_shown(F.col("shown"), "source_file").alias("gold_source"), T.golds_shown(F.col("shown"), "source_passage").alias("gold_passage"),
     )
     rows = runs.select("mode", "id", T.is_refusal(F.col("answer")).alias("refused"), "answer", "sources").join(hit, ["mode", "id"], "left")
     return rows.withColumn("answerable", F.col("file_hit").isNotNull())

@@ -183,3 +183,17 @@ def test_missing_ids_are_no_duplicates(spark):
     chunks = spark.createDataFrame([("f", 0, "text")], "source string, pos int, text string")
     found = sorted((r.id or "", r.problem) for r in validate.violations(examples, chunks).collect())
     assert found == [("", "missing id"), ("", "missing id"), ("a", "duplicate id")]
+
+
+def test_facts_compare_a_text_once_for_each_passage(spark):
+    """A passage that many files hold is looked for once; null files, null and blank passages count as in a row-wise or."""
+    many = [("x", "the Pass", f"f{i}") for i in range(30)]
+    odd = {"n1": ("x", "pass", None), "n2": ("x", None, "f1"), "n3": ("x", " ", "f1"), "n4": ("x", "gone", "zz")}
+    rows = [("p", "q", *many[0], "simple", many[1:], None)] + [(i, "q", *g, "simple", None, None) for i, g in odd.items()]
+    gold = evaluate.golds(frame(spark, rows, tables.EVAL))
+    runs = frame(spark, [("m", i, "x", ["f1"], ["has the", "pass"]) for i in ("p", *odd)], "mode string, id string, answer string, sources array<string>, contexts array<string>")
+    facts = evaluate.run_facts(runs, gold)
+    told = {r.id: r for r in facts.collect()}
+    assert {i: (r.file_hit, r.passage_hit) for i, r in told.items()} == {"p": (True, True), "n1": (None, True), "n2": (True, None), "n3": (True, False), "n4": (False, False)}
+    assert told["p"].gold_source.split(" | ") == [f"f{i}" for i in range(30)] and told["p"].gold_passage.count("the Pass") == 30
+    assert "exists(passages" in facts._jdf.queryExecution().executedPlan().toString()  # no row a gold with a text
