@@ -16,6 +16,7 @@ METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_rec
 REF_DEPENDENT = ("context_precision", "context_recall")
 MODES = ("dense_only", "sparse_only", "hybrid", "hybrid_rerank")
 MOST_BYTES = 16 << 20  # of passages that are looked for at once
+BATCH = 500  # whole texts that a Python worker is given at once
 
 
 def golds(examples: DataFrame) -> DataFrame:

@@ -83,8 +83,9 @@ def rebuild(df: DataFrame, path: str, *by: str) -> None:
 _own_dir: str | None = None
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """df written once to a folder that all executors share, and read again: several plans can start from it.
+    batch: rows that a Python worker is given at once while df is made, where they are whole texts.
 
     The folder is spark.checkpoint.dir; only a local session without that setting, as in tests, gets one of its own.
     """
@@ -97,7 +98,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="spark-")
         base = _own_dir
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        if batch:
+            spark.conf.set(setting, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
