@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import BATCH, kept
 from . import postings as index
 from . import topk
 
@@ -86,8 +87,8 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, most: int =
     """Top k; ties by chunk_id; unscored documents fill up with score 0, as if all had been scored.
 
     Without an index every text is read twice: for the statistics of its terms, and to be scored in its
-    task, which keeps its k best of each question; only those meet. The questions' terms are sent to the
-    tasks, at most about most at once (more questions are taken in slices). With an index that is
+    task, which keeps its k best of each question; only those are stored, and meet. The questions' terms are sent
+    to the tasks, at most about most at once (more questions are taken in slices). With an index that is
     stored, stats, terms and postings come from it, and only what can be among the k best is scored.
     """
     n = stats[0] if stats else docs.count()
@@ -99,7 +100,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, most: int =
             held = {}
             for r in rows:
                 held.setdefault(r["query_id"], {})[r["term"]] = r["times"]
-            parts.append(topk.scored_by_terms(docs, list(held.items()), weights, avgdl, k, K1, B))
+            parts.append(kept(topk.scored_by_terms(docs, list(held.items()), weights, avgdl, k, K1, B), "scored", BATCH))
         out = topk.merged(reduce(DataFrame.unionByName, parts), k).withColumn("query_id", F.col("query_id").cast(kind))
         blank = questions.join(asked.select("query_id").distinct(), "query_id", "left_anti")  # questions without a word
         lead = docs.select("chunk_id").orderBy("chunk_id").limit(k)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import kept
-from .evaluate import BATCH, MOST_BYTES, golds
+from ..sources.tables import BATCH, kept
+from .evaluate import MOST_BYTES, golds
 from .retrieve import sliced
 
 REQUIRED = ("id", "question", "ground_truth_answer", "source_passage", "source_file", "query_type")

@@ -1,5 +1,6 @@
 """Plans, stored indices, model hooks, runs with failures, judging and re-scoring, readers of judgements."""
 
+import pyarrow as pa
 import pytest
 
 from quernspark.functions import text as T
@@ -210,3 +211,20 @@ def test_report_shows_failures_in_full(spark):
     assert "adjudicate" in told and "| q? |" in told and "pass" in told
     assert "3 rows more" in tables.markdown("t", spark.range(5), 2)
     assert diagnose.right_file_wrong_passage(facts).first().ids == ["a"]
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, asked = spark.conf.get(name), []
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches)
+    told = tables.kept(spark.range(100).coalesce(1).mapInArrow(sizes, "n long"), "sizes", 7)
+    assert max(r.n for r in told.collect()) == 7 and sum(r.n for r in told.collect()) == 100 and spark.conf.get(name) == before
+    spy = lambda df, tag, batch=None: asked.append((tag, batch)) or tables.kept(df, tag, batch)
+    monkeypatch.setattr(retrieve, "kept", spy)
+    monkeypatch.setattr(evaluate, "kept", spy)
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(30)], "chunk_id long, text string")
+    questions = spark.createDataFrame([(1, "word7")], "query_id long, question string")
+    assert retrieve.bm25(docs, questions, 3).orderBy("rank").first().chunk_id == 7
+    items = spark.createDataFrame([(1, "word7 common")], "item_id long, text string")
+    assert [tuple(r) for r in evaluate.contained_in(items, docs.withColumnRenamed("chunk_id", "doc_id")).collect()] == [(1, 7)]
+    assert asked == [("scored", tables.BATCH), ("held", tables.BATCH)] and spark.conf.get(name) == before
