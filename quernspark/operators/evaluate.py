@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..sources.tables import BATCH, kept
 from .retrieve import sliced
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 REF_DEPENDENT = ("context_precision", "context_recall")
 MODES = ("dense_only", "sparse_only", "hybrid", "hybrid_rerank")
 MOST_BYTES = 16 << 20  # of passages that are looked for at once
-BATCH = 500  # whole texts that a Python worker is given at once
 
 
 def golds(examples: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def contained_in(passages: DataFrame, docs: DataFrame, most_bytes: int = MOST_BY
     size, many = p.agg(F.sum(F.octet_length("p")), F.count("*")).first()
     found, types = [], {"item_id": passages.schema["item_id"].dataType, "doc_id": docs.schema["doc_id"].dataType}
     for part in sliced(p, "item_id", max(1, many * most_bytes // max(1, size or 0))) if many else []:
-        found.append(_held(docs, [(r["p"], r["item_id"]) for r in part.collect()], types))
+        found.append(kept(_held(docs, [(r["p"], r["item_id"]) for r in part.collect()], types), "held", BATCH))
     if not found:
         return docs.select(F.lit(None).cast(types["item_id"]).alias("item_id"), "doc_id").where("false")
     return reduce(DataFrame.unionByName, found).distinct()
