@@ -1,17 +1,19 @@
-"""Near-dedup by exact shingle similarity: MinHash bands find the candidates, whole shingle sets judge them.
+"""Near-dedup: SimHash with pivot distance tables and MinHash bands find the candidates, whole shingle sets judge them.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of at least
 threshold. Of each set 144 minima are taken; 24 keys of six minima each meet a pair at similarity s
 with a probability of 1 - (1 - s^6)^24: 99.9 % at 0.8, more above. Nothing is linked by an estimate.
 
 1. Equal sets are one node from here on, however many documents share it.
-2. Keys held by one node only go. In each of a few rounds every node meets one node of another
+2. SimHash with pivot distance tables, as in simhash.py, on the nodes' fingerprints: it proposes all that differ in
+   at most BITS bits. A similarity of 0.8 is about ten bits of 64, so the steps after it meet what lies further apart.
+3. Keys held by one node only go. In each of a few rounds every node meets one node of another
    component within its keys, so that a large group of copies is linked by about as many pairs as
    it has nodes.
-3. Whatever still shares a key and lies in different components is then met in full: crowded keys
+4. Whatever still shares a key and lies in different components is then met in full: crowded keys
    are cut into tiles, and each pair of tiles is a group of its own. Pairs whose minima agree far
    less than threshold asks (six standard deviations) are not looked at further.
-4. Each proposed pair is verified on both whole sets before it counts as a link.
+5. Each proposed pair is verified on both whole sets before it counts as a link.
 
 Defined cases: null texts and texts without words are one node; fewer words than a shingle count as
 one shingle; rows with a null key stay, and link others, but never name a component.
@@ -25,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .shared import connected_components, frame_of, stash, text_batches, text_key, whole_number
 
 BANDS, ROWS, TILE, ROUNDS = 24, 6, 2048, 2
+BITS = 3
 _ODD = np.random.default_rng(11).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _XOR = np.random.default_rng(12).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 
@@ -49,6 +53,24 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """A bit is 1 if set in over half the hashes of a set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def close_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that link nodes (node, fp) with at most BITS differing bits, by pivot distance tables."""
+    same = stash(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "neardup")  # a row for each different fingerprint
+    blocks, agree = simhash.plan_blocks(same.count(), BITS)
+    pairs = simhash.near_links(simhash.key_rows(same, blocks, agree, 1, 1), 1, BITS)
+    equal = nodes.select("fp", "node").join(same.hint("merge"), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = pairs.unionByName(equal)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
@@ -70,10 +92,10 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 low = minima(found)
                 bands = [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
                 node = np.array([xxhash.xxh3_64_intdigest(found.tobytes())], dtype=np.uint64).view(np.int64)[0]
-                rows.append((whole_number(key), th, node, len(found), np.array(bands, dtype=np.uint64).view(np.int64), low.astype(np.uint8).tobytes()))
+                rows.append((whole_number(key), th, node, len(found), np.array(bands, dtype=np.uint64).view(np.int64), low.astype(np.uint8).tobytes(), fingerprint(found)))
             yield frame_of(rows, schema)
 
-    schema = "key long, th long, node long, size int, bands array<long>, sketch binary"
+    schema = "key long, th long, node long, size int, bands array<long>, sketch binary, fp binary"
     return docs.select(F.col("key").cast("string").alias("key"), "th", "text").mapInPandas(make, schema)
 
 
@@ -146,11 +168,13 @@ def near_components(docs: DataFrame, key="doc_id", text="text", shingle: int = 5
     base = docs.select(F.col(key).cast("long").alias("key"), text_key(docs[text]).alias("th"), F.col(text).alias("text"))
     slim = stash(sketches(base, shingle), "neardup")
     spot = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("spot")
-    nodes = stash(slim.groupBy("node").agg(spot, *[F.first(c).alias(c) for c in ("size", "bands", "sketch")]), "neardup")
+    nodes = stash(slim.groupBy("node").agg(spot, *[F.first(c).alias(c) for c in ("size", "bands", "sketch", "fp")]), "neardup")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     members = stash(keyed.join(shared.hint("merge"), "key"), "neardup")  # (key, node)
-    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "spot.key", "spot.th")
+    close = stash(close_fingerprints(nodes), "neardup")
+    met = members.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = nodes.join(met.hint("merge"), "node", "left_semi").select("node", "spot.key", "spot.th")
     sets = stash(whole_sets(base, wanted, shingle), "neardup")
 
     edges = comps = None
@@ -173,6 +197,7 @@ def near_components(docs: DataFrame, key="doc_id", text="text", shingle: int = 5
         comps = stash(connected_components(edges), "neardup")
         return True
 
+    link(close)
     for seed in range(ROUNDS + 1):
         now, ends = open_keys(seed)
         if ends.isEmpty():
